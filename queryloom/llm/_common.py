@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,25 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        target = Path(tempfile.mkdtemp(prefix="queryloom-")) / "queryloom.zip"  # the driver serves it from here
+        with zipfile.ZipFile(target, "w") as z:
+            for path in sorted((root / "queryloom").rglob("*.py")):
+                z.write(path, path.relative_to(root))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
