@@ -36,19 +36,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is ``spark.checkpoint.dir``; only where nothing names one (tests in
-    local mode) a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder: ``spark.checkpoint.dir``, or a temporary one where nothing names any (tests)."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="queryloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The configured number of shuffle partitions, for explicit repartitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

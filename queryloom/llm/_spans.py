@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from queryloom.llm._common import inner_id, mix, shuffle_width
@@ -251,10 +251,17 @@ def settle(batches: Iterator[pa.RecordBatch], shape: Shape, last: bool = False)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i == 3 else c.astype(np.int64)) for i, c in enumerate(columns)], names)
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, text_hash, text as bytes; further columns stay behind."""
+def prepared(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> DataFrame:
+    """doc, text_hash, text as bytes; with ``row`` the row's other columns come along as a struct.
+
+    In that struct the text is only told from null, so it does not travel twice.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(inner_id(id_col).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("text_hash"), text.cast("binary").alias("text"))
+    return docs.select(inner_id(id_col).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("text_hash"), text.cast("binary").alias("text"), *([_row(docs, text_col)] if row else []))
+
+
+def _row(docs: DataFrame, text_col: str) -> Column:
+    return F.struct(*(F.when(F.col(c).isNotNull(), F.lit("")).alias(c) if c == text_col else F.col(c) for c in docs.columns)).alias("row")
 
 
 def by_key(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ than the two named are ignored and may have any name.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import compress
 
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queryloom.llm import _spans as S
-from queryloom.llm._common import checkpoint, mix, outer_id
+from queryloom.llm._common import checkpoint, mix
 
 WIDTH, GRAM = 13, 4
-OUT = "doc long, n_words long, n_removed long, kept binary"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class WordHash(dict):
@@ -84,21 +85,31 @@ def edges(batches: Iterator[pa.RecordBatch], shape: S.Shape) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(np.zeros(len(a), np.int32))], ["key", "seg", "doc", "pos", "size"])
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def kept_text(text: bytes, gone: np.ndarray) -> bytes:
+    """The text without the words marked gone: kept stretches as they are, one space between them."""
+    keep = np.flatnonzero(~gone)
+    if not len(keep):
+        return b""
+    words = [m.span() for m in WORD.finditer(text)]
+    cuts = np.flatnonzero(np.diff(keep) > 1)
+    return b" ".join(text[words[keep[i]][0] : words[keep[j]][1]] for i, j in zip(np.append(0, cuts + 1), np.append(cuts, len(keep) - 1)))
+
+
+def cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of at_text to their row, counts and kept text (with ``digest``, the hash of the kept words in place of the text)."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         n_words, n_removed, kept = [], [], []
-        for t, (starts, sizes) in zip(texts, S.mark_arrays(batch)):
+        for t, (starts, sizes) in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), S.mark_arrays(batch)):
             words = t.split()
+            gone = S.covered(len(words), starts, sizes) if len(starts) else None
             n_words.append(len(words))
-            if len(starts):
-                gone = S.covered(len(words), starts, sizes)
-                n_removed.append(int(gone.sum()))
-                words = compress(words, ~gone)
+            n_removed.append(0 if gone is None else int(gone.sum()))
+            if digest:
+                kept.append(hashlib.sha256(b" ".join(words if gone is None else compress(words, ~gone))).hexdigest())
             else:
-                n_removed.append(0)
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc", "n_words", "n_removed", "kept"])
+                kept.append(t if gone is None else kept_text(t, gone))
+        first = batch.column(batch.schema.get_field_index("row"))
+        yield pa.RecordBatch.from_arrays([first, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())], ["row", "n_words", "n_removed", "kept"])
 
 
 def repeated_ranges(prep: DataFrame, shape: S.Shape) -> DataFrame:
@@ -110,14 +121,20 @@ def repeated_ranges(prep: DataFrame, shape: S.Shape) -> DataFrame:
     return found.where("size > 0").select("doc", "pos", "size").unionByName(S.settled(single, shape, last=True).select("doc", "pos", "size"))
 
 
+def _done(docs: DataFrame, shape: S.Shape, id_col: str, text_col: str, digest: bool) -> DataFrame:
+    ranges = repeated_ranges(S.prepared(docs, id_col, text_col), shape)
+    rows = S.at_text(ranges, S.prepared(docs, id_col, text_col, row=True), "left")
+    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept " + ("string" if digest else "binary")
+    return rows.mapInArrow(lambda it: cut(it, digest), kind)
+
+
 def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, text (the words that stay, one space between)."""
-    shape = S.Shape(width, gram, inside=False)
-    prep = S.prepared(docs, id_col, text_col)
-    done = S.at_text(repeated_ranges(prep, shape), prep, "left").mapInArrow(cut, OUT)
-    return done.select(outer_id("doc").alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("text"))
+    """docs with the repeated words cut out of the text; a text without any stays as it is."""
+    done = _done(docs, S.Shape(width, gram, inside=False), id_col, text_col, digest=False)
+    text = F.when(F.col("row")[text_col].isNotNull() | (F.col("n_removed") > 0), F.col("kept").cast("string"))
+    return done.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = remove_repeated(docs)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    done = _done(docs.select("doc_id", "text"), S.Shape(WIDTH, GRAM, inside=False), "doc_id", "text", digest=True)
+    return done.select(F.col("row")["doc_id"].alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
