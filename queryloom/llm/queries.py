@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryloom.llm import bpe, packing, pii, simhash_dedup, substring_dedup, toxicity
+from queryloom.llm import bpe, embedding_dedup, packing, pii, simhash_dedup, substring_dedup, toxicity
 from queryloom.llm._common import table
 
 
@@ -25,6 +25,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op7_simhash_dedup, op8_substring_dedup, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_embedding_dedup, op7_simhash_dedup, op8_substring_dedup, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
