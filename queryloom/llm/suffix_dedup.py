@@ -49,7 +49,7 @@ def symbolize(texts: list[bytes]) -> Iterator[np.ndarray]:
         yield BYTES[np.frombuffer(t, np.uint8)]
 
 
-def collection_order(strings: list[bytes], cap: int = 255) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def collection_order(strings: list[bytes], cap: int = 254) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of all strings in order: string number, suffix length, common prefix with the one before (capped).
 
     Column-wise construction: after round j all suffixes of at most j symbols are in
@@ -58,61 +58,59 @@ def collection_order(strings: list[bytes], cap: int = 255) -> tuple[np.ndarray,
     """
     m = len(strings)
     lengths = np.array([len(s) for s in strings], np.int32)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    # 0 is the end mark, so symbols are bytes plus one.
-    begin = np.cumsum(lengths) - lengths
-    ids, size = np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
-    common = np.zeros(m, np.uint8)
+    # One mark (0) stands before each string and ends the round of its extensions.
+    flat = np.frombuffer(b"\0" + b"\0".join(strings), np.uint8)
+    begin = (np.cumsum(lengths + 1) - lengths).astype(np.int32)
+    inside = np.ones(len(flat), bool)
+    inside[begin - 1] = False
+    used = np.bincount(flat[inside], minlength=256) > 0
+    code = np.where(used, np.cumsum(used), 0)
+    text = code.astype(np.uint8 if code.max(initial=0) < 256 else np.uint16)[flat]
+    text[begin - 1] = 0
+    ends = begin + lengths
+    at, common = ends, np.zeros(m, np.uint8)  # where each suffix begins
     top = np.uint8(min(cap, 254))
-
-    def preceding(ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The transform: the symbol before each suffix, 0 where it is the whole string."""
-        left = lengths[ids] - size
-        out = np.zeros(len(ids), np.uint16)
-        has = left > 0
-        out[has] = flat[(begin[ids] + left - 1)[has]].astype(np.uint16) + 1
-        return out
-
-    bwt = preceding(ids, size)
-    # Of each suffix, the row its one-symbol extension got is implied by the counting sort.
+    bwt = text[at - 1]
     for _ in range(int(lengths.max(initial=0))):
-        rows = np.flatnonzero(bwt)
-        if not len(rows):
-            break
+        rows = np.flatnonzero(bwt).astype(np.int32)
         order = rows[np.argsort(bwt[rows], kind="stable")]
         symbol = bwt[order]
-        same = np.zeros(len(order), bool)
-        same[1:] = symbol[1:] == symbol[:-1]
+        same = np.flatnonzero(symbol[1:] == symbol[:-1])
         # Least common prefix on the way from the previous row with this symbol.
-        lows = _range_min(common, order[:-1][same[1:]] + 1, order[1:][same[1:]])
         fresh = np.zeros(len(order), np.uint8)
-        fresh[same] = np.minimum(lows, top) + 1
-        ids = np.concatenate((np.arange(m, dtype=np.int32), ids[order]))
-        size = np.concatenate((np.zeros(m, np.int32), size[order] + 1))
+        fresh[same + 1] = np.minimum(_range_min(common, order[same] + 1, order[same + 1]), top) + 1
+        at = np.concatenate((ends, at[order] - 1))
         common = np.concatenate((np.zeros(m, np.uint8), fresh))
-        new = preceding(ids, size)
-        if len(new) == len(bwt) and np.array_equal(new, bwt):
-            break
-        bwt = new
-    return ids, size, common
+        bwt = text[at - 1]
+    ids = np.searchsorted(begin, at, side="right") - 1
+    empty = ends == begin  # an empty string shares its place with the next one's mark
+    if empty.any():
+        ids[:m] = np.arange(m)
+    return ids, ends[ids] - at, common
+
+
+LEVEL = (np.frexp(np.arange(1 << 16, dtype=np.float32))[1] - 1).clip(0).astype(np.uint8)
 
 
 def _range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Least of values[first..last] for many ranges, by a table of powers of two."""
-    if not len(first):
-        return np.zeros(0, values.dtype)
+    out = values[last]
     span = last - first + 1
-    level = np.frexp(span.astype(np.float64))[1] - 1
-    out = np.empty(len(first), values.dtype)
+    level = LEVEL[np.minimum(span, 65535)]
+    far = np.flatnonzero(span > 65535)
+    level[far] = np.frexp(span[far].astype(np.float64))[1] - 1
+    # Neighbours in the transform are the most common case; they are done already.
+    todo = np.flatnonzero(level)
+    level = level[todo]
     row, k = values, 0
-    while True:
-        at = np.flatnonzero(level == k)
-        if len(at):
-            out[at] = np.minimum(row[first[at]], row[last[at] - (1 << k) + 1])
-        if k >= level.max():
-            return out
+    while len(todo):
         row = np.minimum(row[: -(1 << k)], row[1 << k :])
         k += 1
+        now = level == k
+        at = todo[now]
+        out[at] = np.minimum(row[first[at]], row[last[at] - (1 << k) + 1])
+        todo, level = todo[~now], level[~now]
+    return out
 
 
 def repeated(segments: list[tuple[bytes, int, int]], width: int) -> tuple[list[int], list[int], list[int]]:

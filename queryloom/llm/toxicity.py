@@ -137,8 +137,13 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(votes, pa.binary())], ["toxic", "ids", "form"])
 
     rows = text.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(read, "toxic int, ids binary, form binary")
-    rows = rows.dropDuplicates(["ids"])  # copies would pose as evidence
-    return [(r["toxic"], np.frombuffer(r["ids"], np.int64), [bool(x) for x in r["form"]]) for r in rows.toLocalIterator()]
+    # Copies would pose as evidence: of equal term sets the one with the larger label stays.
+    one: dict[bytes, tuple] = {}
+    for r in rows.toLocalIterator():
+        key = xxhash.xxh3_128_digest(r["ids"])
+        if key not in one or one[key][0] < r["toxic"]:
+            one[key] = (r["toxic"], np.frombuffer(r["ids"], np.int64), [bool(x) for x in r["form"]])
+    return [one[k] for k in sorted(one)]
 
 
 def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.9, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
