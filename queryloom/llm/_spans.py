@@ -12,9 +12,10 @@ no look at their text at all.
 are settled by an equal earlier run and which meet a different run with their key
 and hence need to be compared window by window (``candidates``).
 
-Rows: ``pos`` packs 16 bits of the text's hash (it tells apart different texts filed
-under one id), 40 bits of the start and 8 bits of the number of windows. ``size`` is 0
-for a run, else the number of symbols to remove from ``start``.
+Rows: ``pos`` packs 15 bits of the text's hash (it tells apart different texts filed
+under one id), 32 bits of the start, 8 bits of the anchor's offset in the run and 8
+bits of the number of windows. ``size`` is 0 for a run, else the number of symbols to
+remove from ``start``.
 """
 
 from __future__ import annotations
@@ -78,12 +79,12 @@ class Rolling:
 KEY, SEG = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
 
 
-def pack(text_hash: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return (text_hash.astype(np.int64) << 48) | (start.astype(np.int64) << 8) | n.astype(np.int64)
+def pack(text_hash: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
+    return (text_hash.astype(np.int64) << 48) | (start.astype(np.int64) << 16) | (anchor << 8) | n.astype(np.int64)
 
 
 def start_of(pos: np.ndarray) -> np.ndarray:
-    return (pos >> 8) & ((1 << 40) - 1)
+    return (pos >> 16) & ((1 << 32) - 1)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -142,7 +143,7 @@ def runs(held: list[tuple[int, int, int, np.ndarray]], shape: Shape) -> dict[str
     n = np.minimum(ends, stop) - starts
     seg_prefix = SEG.prefix(symbols)
     seg = mix(SEG.ranges(seg_prefix, starts, starts + n + shape.width - 1) + ((n.astype(np.uint64) << U(8)) + (anchor[starts] - starts).astype(np.uint64)) * U(0xA0761D6478BD642F))
-    return {"key": grams[anchor[starts]], "seg": seg, "doc": owner[starts], "start": starts - begins[owner[starts]], "n": n}
+    return {"key": grams[anchor[starts]], "seg": seg, "doc": owner[starts], "start": starts - begins[owner[starts]], "n": n, "anchor": anchor[starts] - starts}
 
 
 def merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +171,7 @@ def scan_chunk(held, shape: Shape) -> tuple[np.ndarray, ...]:
     offsets = np.array([x[2] for x in held], dtype=np.int64)
     start, which = r["start"] + offsets[r["doc"]], r["doc"]
     doc = ids[which]
-    pos = pack(hashes[which], start, r["n"])
+    pos = pack(hashes[which], start, r["n"], r["anchor"])
     order = np.lexsort((pos, doc, r["seg"], r["key"]))
     key, seg = r["key"][order], r["seg"][order]
     doc, pos, which, start, n = doc[order], pos[order], which[order], start[order], r["n"][order]

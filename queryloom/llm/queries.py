@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryloom.llm import bpe, embedding_dedup, packing, pii, simhash_dedup, substring_dedup, toxicity
+from queryloom.llm import bpe, embedding_dedup, packing, pii, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 from queryloom.llm._common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_bpe, op4_embedding_dedup, op7_simhash_dedup, op8_substring_dedup, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_bpe, op4_embedding_dedup, op7_simhash_dedup, op8_substring_dedup, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

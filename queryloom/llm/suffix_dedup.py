@@ -40,6 +40,8 @@ from queryloom.llm._common import checkpoint, mix, outer_id, shuffle_width
 WIDTH, GRAM = 100, 28
 #: Segments of one anchor up to which it stays one group, and those that make a batch.
 GROUP, BATCH = 2_000, 1_500
+#: Anchor offsets to a part of a segment.
+STEP = 18
 SEGMENT = "key long, text binary, doc long, pos long"
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -94,25 +96,49 @@ LEVEL = (np.frexp(np.arange(1 << 16, dtype=np.float32))[1] - 1).clip(0).astype(n
 
 def _range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Least of values[first..last] for many ranges, by a table of powers of two."""
-    out = values[last]
     span = last - first + 1
     level = LEVEL[np.minimum(span, 65535)]
     far = np.flatnonzero(span > 65535)
     level[far] = np.frexp(span[far].astype(np.float64))[1] - 1
-    # Neighbours in the transform are the most common case; they are done already.
-    todo = np.flatnonzero(level)
-    level = level[todo]
-    row, k = values, 0
-    while len(todo):
-        row = np.minimum(row[: -(1 << k)], row[1 << k :])
-        k += 1
-        now = level == k
-        at = todo[now]
-        out[at] = np.minimum(row[first[at]], row[last[at] - (1 << k) + 1])
-        todo, level = todo[~now], level[~now]
+    order = np.argsort(level, kind="stable")
+    first, last = first[order], last[order]
+    found, row, done = np.empty(len(order), values.dtype), values, 0
+    for k, n in enumerate(np.bincount(level)):
+        if k:
+            row = np.minimum(row[: -(1 << k - 1)], row[1 << k - 1 :])
+        at = slice(done, done + n)
+        found[at] = np.minimum(row[first[at]], row[last[at] - ((1 << k) - 1)])
+        done += n
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
+def divide(group: list[tuple[bytes, int, int]], width: int) -> tuple[list[list[tuple[bytes, int, int]]], list[tuple[bytes, int, int]]]:
+    """Segments of one anchor to sets that may share a window, and what an equal earlier one settles.
+
+    The windows of a segment are divided by the anchor's offset in them, ``STEP`` offsets
+    to a part; the windows of a part have a core in common. Parts with different
+    cores share no window, and equal parts need no sorting.
+    """
+    by_core: dict[tuple[int, bytes], dict[bytes, tuple[int, int]]] = {}
+    settled = []
+    for text, doc, pos in group:
+        anchor, n = pos >> 8 & 0xFF, pos & 0xFF
+        for low in range((anchor - n + 1) // STEP * STEP, anchor + 1, STEP):
+            i, j = max(0, anchor - low - STEP + 1), min(n - 1, anchor - low)
+            core = text[anchor - low : anchor - low + width - STEP + 1]
+            part = text[i : j + width]
+            new = (doc, pos + (i << 16))
+            known = by_core.setdefault((low, core), {})
+            old = known.setdefault(part, new)
+            if old is not new:
+                early, late = (old, new) if (old[0], old[1] >> 16) <= (new[0], new[1] >> 16) else (new, old)
+                known[part] = early
+                settled.append((part, *late))
+    return [[(t, *at) for t, at in known.items()] for known in by_core.values() if len(known) > 1], settled
+
+
 def repeated(segments: list[tuple[bytes, int, int]], width: int) -> tuple[list[int], list[int], list[int]]:
     """doc, start, size of repeated stretches in segments (text, doc, pos), each distinct text once."""
     ids, size, common = collection_order([s[0] for s in segments], width)
@@ -124,52 +150,61 @@ def repeated(segments: list[tuple[bytes, int, int]], width: int) -> tuple[list[i
         return [], [], []
     block = np.cumsum(common[at] < width)
     who, start = ids[at], np.array([len(s[0]) for s in segments])[ids[at]] - size[at]
-    place = (pos[who] >> 8) + start  # the text's hash over the start
+    place = (pos[who] >> 16) + start  # the text's hash stands over the start
     order = np.lexsort((place, doc[who], block))
     again = np.zeros(len(order), bool)
     again[1:] = block[order][1:] == block[order][:-1]
     hit = order[again]
     d, s, z = S.merged(who[hit], start[hit], np.full(len(hit), width))
-    return doc[d].tolist(), ((S.start_of(pos[d]) + s) | (pos[d] >> 48 << 40)).tolist(), z.tolist()
+    return doc[d].tolist(), (((pos[d] >> 16) + s) << 16).tolist(), z.tolist()
 
 
 def suffix_stage(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """SEGMENT rows sorted by key, text, doc, pos to ranges (doc, pos, size)."""
-    names = ["doc", "pos", "size"]
-    held: list[tuple[bytes, int, int]] = []  # complete groups
-    group: list[tuple[bytes, int, int]] = []  # distinct texts of the open group
+    held: list[tuple[bytes, int, int]] = []  # sets that are complete
+    group: list[tuple[bytes, int, int]] = []  # distinct texts of the open anchor
     open_key = None
-    for batch in batches:
-        docs, poss, sizes = [], [], []
-
-        def flush() -> None:
-            if len(held) > 1:
-                d, p, z = repeated(held, width)
-                docs.extend(d)
-                poss.extend(x << 8 for x in p)
-                sizes.extend(z)
+    docs: list[int] = []
+    poss: list[int] = []
+    sizes: list[int] = []
+
+    def close(last: bool) -> None:
+        if len(group) > 1:
+            sets, settled = divide(group, width)
+            for part, doc, pos in settled:
+                docs.append(doc)
+                poss.append(pos)
+                sizes.append(len(part))
+            for x in sets:
+                held.extend(x)
+        group.clear()
+        if held and (last or len(held) >= BATCH):
+            d, p, z = repeated(held, width)
+            docs.extend(d)
+            poss.extend(p)
+            sizes.extend(z)
             held.clear()
 
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(poss, pa.int64()), pa.array(sizes, pa.int32())], ["doc", "pos", "size"])
+        for x in (docs, poss, sizes):
+            x.clear()
+        return out
+
+    for batch in batches:
         for key, text, doc, pos in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if key != open_key:
-                if len(group) > 1:
-                    held += group
-                if len(held) >= BATCH:
-                    flush()
-                group, open_key = [], key
+                close(last=False)
+                open_key = key
             if group and group[-1][0] == text:
                 docs.append(doc)
                 poss.append(pos)
                 sizes.append(len(text))
             else:
                 group.append((text, doc, pos))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(poss, pa.int64()), pa.array(sizes, pa.int32())], names)
-    docs, poss, sizes = [], [], []
-    held += group if len(group) > 1 else []
-    if len(held) > 1:
-        d, p, z = repeated(held, width)
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array([x << 8 for x in p], pa.int64()), pa.array(z, pa.int32())], names)
+        yield rows()
+    close(last=True)
+    yield rows()
 
 
 def segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -179,14 +214,14 @@ def segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         keys, texts, docs, poss = [], [], [], []
         for text, doc, h, marks in zip(column("text").to_pylist(), column("doc").to_pylist(), column("text_hash").to_pylist(), column("marks").to_pylist()):
             for mark in marks:
-                start, n = mark["pos"] >> 8 & (1 << 40) - 1, mark["pos"] & 0xFF
+                start, n = mark["pos"] >> 16 & (1 << 32) - 1, mark["pos"] & 0xFF
                 if mark["size"] < 0:
                     s = BYTES[np.frombuffer(text[start : start + n + width - 1], np.uint8)]
                     at = np.arange(n)
                     keys += mix(S.KEY.ranges(S.KEY.prefix(s), at, at + width)).view(np.int64).tolist()
                     texts += [text[k : k + width] for k in range(start, start + n)]
                     docs += [doc] * n
-                    poss += [h << 48 | k << 8 | 1 for k in range(start, start + n)]
+                    poss += [h << 48 | k << 16 | 1 for k in range(start, start + n)]
                 else:
                     keys.append(mark["key"])
                     texts.append(text[start : start + n + width - 1])
