@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from queryloom.llm import bpe, embedding_dedup, html_extract, packing, pii, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from queryloom.llm import bm25, bpe, embedding_dedup, html_extract, packing, pii, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 from queryloom.llm._common import table
 
 
@@ -33,6 +34,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 100 == 0))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -54,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_bpe, op4_embedding_dedup, op6_html_extract, op7_simhash_dedup, op8_substring_dedup, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_bpe, op4_embedding_dedup, op5_bm25_search, op6_html_extract, op7_simhash_dedup, op8_substring_dedup, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
