@@ -115,7 +115,7 @@ class Index:
         term, tf = (np.concatenate(x) if x else np.zeros(0) for x in (terms, counts))
         impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
         order = np.argsort(term, kind="stable")
-        term, self.doc, self.impact = term[order], doc[order], impact[order]
+        term, self.doc, self.impact = term[order], doc[order].astype(np.int32), impact[order]
         # Segments: the postings of a term in a block.
         key_new = np.ones(len(term), bool)
         key_new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)
@@ -143,6 +143,7 @@ class Index:
         rank = np.argsort(-bound, kind="stable")
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
+        slot = (place[:, None] * BLOCK + np.arange(BLOCK)).ravel()  # of each document, in order of block rank
         # Segments in order of their block's rank; within a block in order of terms.
         order = np.argsort(place[blocks], kind="stable")
         segments, of, cuts = segments[order], of[order], np.searchsorted(place[blocks][order], np.arange(len(rank) + 1))
@@ -152,10 +153,9 @@ class Index:
             while bound[rank[stop - 1]] < least:
                 stop -= 1
             s, o = segments[cuts[done] : cuts[stop]], of[cuts[done] : cuts[stop]]
-            posting, which = ranges(self.segment[s], self.segment[s + 1])
-            local = place[self.doc[posting] // BLOCK] - done
-            slot = local * BLOCK + self.doc[posting] % BLOCK
-            got = np.bincount(slot, weights=weights[o[which]] * self.impact[posting], minlength=(stop - done) * BLOCK)
+            n = self.segment[s + 1] - self.segment[s]
+            posting = np.arange(n.sum(), dtype=np.int64) + np.repeat(self.segment[s] - np.cumsum(n) + n, n)
+            got = np.bincount(slot[self.doc[posting]] - done * BLOCK, weights=np.repeat(weights[o], n) * self.impact[posting], minlength=(stop - done) * BLOCK)
             hit = np.flatnonzero(got)
             docs = rank[done + hit // BLOCK] * BLOCK + hit % BLOCK
             ids, scores = np.append(ids, self.ids[docs]), np.append(scores, got[hit])
