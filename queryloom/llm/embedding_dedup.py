@@ -27,88 +27,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import checkpoint, inner_id, mix, outer_id, shuffle_width
+from queryloom.llm._common import checkpoint, inner_id, outer_id, shuffle_width
 from queryloom.llm.components import components
 
 SIMILARITY, TREES, LEAF, SPILL, DENSE = 0.93, 5, 384, 0.3, 0.15
-U = np.uint64
-NODE = "node long, rep long, vec binary"
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, label, embedding (array of double) to id, label, vec (bytes, null if unusable)."""
+def vectors(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """id, label, embedding to id, label, vec (bytes, null if unusable)."""
     for batch in batches:
         out = []
         for x in batch.column(2).to_pylist():
-            v = None if x is None or not len(x) or any(y is None for y in x) else np.array(x, np.float64)
-            ok = v is not None and np.isfinite(v).all() and 0 < float(v @ v) < np.inf
-            out.append((v + 0.0).tobytes() if ok else None)
+            v = None if x is None or not len(x) or any(y is None for y in x) else np.array(x, kind) + 0  # makes -0 equal to 0
+            ok = v is not None and np.isfinite(v).all() and 0 < float(v.astype(np.float64) @ v) < np.inf
+            out.append(v.tobytes() if ok else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vec"])
 
 
-def child(node: np.ndarray, side: int) -> np.ndarray:
-    return mix(mix(node.view(U)) + U(side + 1)).view(np.int64)
-
-
 def direction(node: int, dim: int) -> np.ndarray:
     r = np.random.default_rng(node & (2**64 - 1)).standard_normal(dim)
     return r / np.linalg.norm(r)
 
 
-def roots(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        reps, vecs = batch.column(0), batch.column(2)
-        key = np.array([xxhash.xxh3_64_intdigest(f"{label}|{len(v)}") for label, v in zip(batch.column(1).to_pylist(), vecs.to_pylist())], U)
-        for t in range(trees):
-            yield pa.RecordBatch.from_arrays([pa.array(mix(key + U(t + 1)).view(np.int64)), reps, vecs], ["node", "rep", "vec"])
-
-
-def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def project(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """rep, vec, nodes to rep, node, p (projection on the node's direction), dim."""
     for batch in batches:
-        nodes, raw = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-        p = np.zeros(len(raw))
-        order = np.argsort(nodes, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(nodes[order]) != 0)) if len(order) else []
-        for s, e in zip(cuts, np.append(cuts[1:], len(order)) if len(order) else []):
+        if not batch.num_rows:
+            continue
+        lists = batch.column(2)
+        node = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+        raw = batch.column(1).to_pylist()
+        dims = np.array([len(v) for v in raw]) // np.dtype(kind).itemsize
+        x = {int(d): (np.cumsum(dims == d) - 1, unit([v for v, e in zip(raw, dims) if e == d], kind)) for d in np.unique(dims)}
+        p = np.zeros(len(node))
+        order = np.argsort(node, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(node[order]) != 0))
+        for s, e in zip(cuts, np.append(cuts[1:], len(order))):
             at = order[s:e]
-            x = unit([raw[i] for i in at])
-            p[at] = x @ direction(int(nodes[at[0]]), x.shape[1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], ["node", "rep", "vec", "p"])
-
-
-def split(batches: Iterator[pa.RecordBatch], spill: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, p, mean, dev = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("node", "p", "mean", "dev"))
-        for side, at in ((0, p <= mean + spill * dev), (1, p >= mean - spill * dev)):
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(child(node, side)[at]), batch.column(batch.schema.get_field_index("rep")).filter(take), batch.column(batch.schema.get_field_index("vec")).filter(take)], ["node", "rep", "vec"])
+            place, y = x[int(dims[row[at[0]]])]
+            p[at] = y[place[row[at]]] @ direction(int(node[at[0]]), y.shape[1])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(node), pa.array(p), pa.array(dims[row].astype(np.int32))], ["rep", "node", "p", "dim"])
 
 
-def leaves(reps: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
-    """(node, rep, vec) of all leaves of all trees."""
-    open_rows, closed = reps.mapInArrow(lambda it: roots(it, trees), NODE), None
+def leaves(reps: DataFrame, trees: int, leaf: int, spill: float, kind: str) -> DataFrame:
+    """(rep, node) of all leaves of all trees. Only ids go from level to level; the vectors stay in ``reps``."""
+    tree = F.explode(F.array(*(F.lit(t) for t in range(trees))))
+    state = reps.select("rep", "label", F.length("vec").alias("n"), tree.alias("tree")).select("rep", F.xxhash64("label", "n", "tree").alias("node"))
+    closed = None
     while True:
-        rows = checkpoint(open_rows.mapInArrow(project, NODE + ", p double"))
+        at_vector = reps.select("rep", "vec").join(state.groupBy("rep").agg(F.collect_list("node").alias("nodes")), "rep")
+        rows = checkpoint(at_vector.mapInArrow(lambda it: project(it, kind), "rep long, node long, p double, dim int"))
         if rows.isEmpty():
-            return closed if closed is not None else rows.drop("p")
-        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("dev"), (F.first(F.length("vec")) / 8).alias("dim"))
-        full = stats.withColumn("ends", (F.col("n") <= leaf) | (F.col("dev") ** 2 * F.col("dim") < DENSE))
-        joined = checkpoint(rows.join(full, "node"))
-        done = joined.where("ends").select("node", "rep", "vec")
+            return closed if closed is not None else rows.select("rep", "node")
+        stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("dev"), F.first("dim").alias("d"))
+        stats = stats.select("node", "mean", "dev", ((F.col("n") <= leaf) | (F.col("dev") ** 2 * F.col("d") < DENSE)).alias("ends"))
+        joined = rows.join(stats, "node")
+        done = joined.where("ends").select("rep", "node")
         closed = done if closed is None else closed.unionByName(done)
-        open_rows = joined.where("not ends").mapInArrow(lambda it: split(it, spill), NODE)
+        live, margin = joined.where("not ends"), F.lit(spill) * F.col("dev")
+        low = live.where(F.col("p") <= F.col("mean") + margin).select("rep", F.xxhash64("node", F.lit(0)).alias("node"))
+        high = live.where(F.col("p") >= F.col("mean") - margin).select("rep", F.xxhash64("node", F.lit(1)).alias("node"))
+        state = low.unionByName(high)
 
 
-def compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def compare(batches: Iterator[pa.RecordBatch], similarity: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Block pairs, sorted by (node, i, j), to rep, links (weighted), other (a forest edge's end, or null).
 
     Of a block pair with i < j only pairs across the blocks are compared.
@@ -119,7 +110,7 @@ def compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         rep = np.array([r[4] for r in rows])
         block = np.array([r[3] for r in rows])
         weight = np.array([r[6] for r in rows])
-        x = unit([r[5] for r in rows])
+        x = unit([r[5] for r in rows], kind)
         near = x @ x.T >= similarity
         np.fill_diagonal(near, False)
         if i != j:
@@ -171,11 +162,13 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
 
 def near_duplicates(table: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row of table: vec_id, n_links, component_id, kept."""
-    source = table.select(inner_id(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    vec = checkpoint(source.mapInArrow(vectors, "id long, label string, vec binary"))
+    # Single-precision input is kept as it is and widened where it is compared: the same numbers in half the bytes.
+    kind = "f4" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "f8"
+    source = table.select(inner_id(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{'float' if kind == 'f4' else 'double'}>").alias("embedding"))
+    vec = checkpoint(source.mapInArrow(lambda it: vectors(it, kind), "id long, label string, vec binary"))
     usable = vec.where("label is not null and vec is not null")
     reps = checkpoint(usable.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    leaf_rows = checkpoint(leaves(reps.select("rep", "label", "vec"), trees, leaf, spill))
+    leaf_rows = checkpoint(leaves(reps, trees, leaf, spill, kind))
     sizes = leaf_rows.groupBy("node").count()
     of_rep = leaf_rows.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
     blocks = F.ceil(F.col("count") / leaf).cast("int")
@@ -183,9 +176,9 @@ def near_duplicates(table: DataFrame, similarity: float = SIMILARITY, trees: int
     rows = leaf_rows.join(sizes.where("count > 1"), "node").withColumn("blocks", blocks).withColumn("own", own)
     rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("own", "partner")).withColumn("j", F.greatest("own", "partner"))
-    rows = rows.join(of_rep, "rep").join(reps.select("rep", "weight"), "rep").select("node", "i", "j", "own", "rep", "vec", "weight", "nodes")
+    rows = rows.join(of_rep, "rep").join(reps.select("rep", "vec", "weight"), "rep").select("node", "i", "j", "own", "rep", "vec", "weight", "nodes")
     width = shuffle_width(table.sparkSession)
-    found = checkpoint(rows.repartition(width, "node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(lambda it: compare(it, similarity), "rep long, links long, other long"))
+    found = checkpoint(rows.repartition(width, "node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(lambda it: compare(it, similarity, kind), "rep long, links long, other long"))
     links = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_set = reps.join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
