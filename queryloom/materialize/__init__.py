@@ -1,0 +1 @@
+"""Materialized tables: manifests, generations, refresh planning, the refresh job, administration."""

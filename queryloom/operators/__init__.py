@@ -1,0 +1 @@
+"""Statements that write."""
