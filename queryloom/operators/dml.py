@@ -158,8 +158,8 @@ class Writer:
         new = self.spark.read.parquet(path)
         some = reduce(lambda a, b: a & b, (F.col(quoted(c)).isNotNull() for c in key))
         w = Window.partitionBy(*map(quoted, key))
-        new = new.withColumn("_last", F.when(some, F.row_number().over(w.orderBy(F.col("_n").desc()))).otherwise(1)).withColumn("_many", F.when(some, F.count(F.lit(1)).over(w)).otherwise(1))
-        new = new.where("_last = 1").select(F.struct(*map(quoted, names)).alias("n"), "_many", *(F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(key)))
+        new = new.withColumn("_last", F.when(some, F.row_number().over(w.orderBy(F.col("_n").desc()))).otherwise(1))
+        new = new.where("_last = 1").select(F.struct(*map(quoted, names)).alias("_row"), *(F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(key)))
         old = self.store.find(name).alias(name)
         on = reduce(lambda a, b: a & b, (F.col(quoted(name, c)) == F.col(f"_k{i}") for i, c in enumerate(key)))
         both = old.withColumn("_there", F.lit(True)).alias(name).join(new, on, "full_outer")
@@ -171,11 +171,11 @@ class Writer:
             if column not in q["on_duplicate"]:
                 return F.col(quoted(name, column))
             if isinstance(value, dict) and value.get("type") == "fn" and str(value.get("function", "")).upper() == "VALUES":
-                return F.col("n")[value["params"][0]["field"] if isinstance(value["params"][0], dict) else value["params"][0]]
+                return F.col("_row")[value["params"][0]["field"] if isinstance(value["params"][0], dict) else value["params"][0]]
             return build.build(value).cast(schema[column].dataType)
 
-        is_old, is_new = F.col(quoted(name, "_there")).isNotNull(), F.col("n").isNotNull()
-        out = both.select(*(F.when(is_old & is_new, changed(c)).when(is_old, F.col(quoted(name, c))).otherwise(F.col("n")[c]).cast(schema[c].dataType).alias(c) for c in names), F.when(is_old & is_new, 2).when(is_new, 1).otherwise(0).alias("_w"))
+        is_old, is_new = F.col(quoted(name, "_there")).isNotNull(), F.col("_row").isNotNull()
+        out = both.select(*(F.when(is_old & is_new, changed(c)).when(is_old, F.col(quoted(name, c))).otherwise(F.col("_row")[c]).cast(schema[c].dataType).alias(c) for c in names), F.when(is_old & is_new, 2).when(is_new, 1).otherwise(0).alias("_w"))
         path = self.store.write(out)
         done = self.spark.read.parquet(path)
         n = done.agg(F.sum("_w")).first()[0] or 0
