@@ -101,9 +101,12 @@ class Writer:
     def _number(self, new: DataFrame, info: dict) -> tuple[DataFrame, int | None, int]:
         """Numbers for nulls in the auto-increment column: places in a partition after prefix sums of counts."""
         auto, start = info["auto"], int(info["next"])
-        path = self.store.write(new)
-        new = self.spark.read.schema(new.schema).parquet(path)
-        marked = new.withColumn("_part", F.spark_partition_id()).withColumn("_open", F.col(quoted(auto)).isNull().cast("long")).withColumn("_at", F.monotonically_increasing_id())
+        # The order of the rows is fixed before they are written, since files are read in any order.
+        names = new.columns
+        path = self.store.write(new.withColumn("_at", F.monotonically_increasing_id()))
+        marked = self.spark.read.parquet(path)
+        marked = marked.withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_open", F.col(quoted(auto)).isNull().cast("long"))
+        new = marked.select(*map(quoted, names))
         counts = sorted((r[0], r[1]) for r in marked.groupBy("_part").agg(F.sum("_open")).collect())
         offsets = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0)))
         place = F.sum("_open").over(Window.partitionBy("_part").orderBy("_at"))
@@ -111,7 +114,7 @@ class Writer:
         total = sum(n for _, n in counts)
         if base is not None and total:
             number = F.lit(start - 1) + base[F.col("_part")] + place
-            new = marked.withColumn(auto, F.coalesce(F.col(quoted(auto)), number.cast(new.schema[auto].dataType))).select(*new.columns)
+            new = marked.withColumn(auto, F.coalesce(F.col(quoted(auto)), number.cast(new.schema[auto].dataType))).select(*map(quoted, names))
         given = new.agg(F.max(quoted(auto))).first()[0]
         return new, (start if total else None), max(start + total, int(given or 0) + 1)
 
