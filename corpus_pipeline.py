@@ -29,8 +29,10 @@ def _as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.apply(docs, model, score_col="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    model, name = toxicity.train(docs, table(spark, sf_dir, "labels")), "_toxicity"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return toxicity.apply(docs, model, score_col=name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,14 +211,18 @@ def fit(rows: list[tuple[int, np.ndarray, list[bool]]]) -> Model:
     return Model(all_ids[used], weights, bias, rates, corr)
 
 
-def logistic(doc: np.ndarray, term: np.ndarray, target: np.ndarray, n: int, m: int, rounds: int = 600, ridge: float = 5e-6) -> tuple[np.ndarray, float]:
+def logistic(doc: np.ndarray, term: np.ndarray, target: np.ndarray, n: int, m: int, rounds: int = 600, prior: float = 0.3, balance: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and constant over sparse 0/1 features (adaptive gradient steps, L2 penalty)."""
-    w, b = np.zeros(m), float(np.log(target.mean() / (1 - target.mean())))
+    # Both classes weigh the same, so that a few clear terms suffice; the penalty fades with the sample.
+    share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
+    weight = target / share**balance + (1 - target) / (1 - share) ** balance
+    weight /= weight.sum()
+    w, b = np.zeros(m), float(np.log(share / (1 - share)))
     mom, var, mb, vb = np.zeros(m), np.zeros(m), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = b + np.bincount(doc, weights=w[term], minlength=n)
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        g, gb = np.bincount(term, weights=err[doc], minlength=m) + ridge * w, err.sum()
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
+        g, gb = np.bincount(term, weights=err[doc], minlength=m) + prior / n * w, err.sum()
         mom, var = 0.9 * mom + 0.1 * g, 0.99 * var + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = 0.05 / (1 + t / 100)

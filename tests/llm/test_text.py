@@ -1,0 +1,212 @@
+"""BPE, packing, pseudonyms, toxicity, extraction, search and the pipeline on small tables."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from queryloom.llm import bm25, bpe, html_extract, packing, pii, toxicity
+from queryloom.llm.queries import tokenizer_path
+
+tokenizers = pytest.importorskip("tokenizers")
+ODD = ["", "   ", "a  b\n\n\nc \t x ", "<|endoftext|>hi<|endoftext|> <|startoftext|>", "it's we're I'LL 'S  ١٢٣ é é x  y 　 \x1cz \x85 ​", "Σίσυφος ΣΑΣ İstanbul ﬁ ½ 漢字 한글 👩‍👩‍👧", " \n", " x\n ", "\x00\x01", "x" * 3000, "!" * 500]
+
+
+def texts(corpus):
+    return ODD + [t or "" for _, t in corpus]
+
+
+def test_byte_pairs_match_the_library(corpus):
+    path = tokenizer_path("byte_bpe_50k.json")
+    mine, theirs = bpe.BytePairs(path, cache=50), tokenizers.Tokenizer.from_file(path)
+    for t in texts(corpus):
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == ids
+        assert mine.decode(mine.encode(t)) == theirs.decode(ids, skip_special_tokens=False)
+
+
+def test_word_ids_match_the_library(corpus):
+    path = tokenizer_path("word_bpe_49k.json")
+    mine, theirs = packing.WordIds(path, cache=50), tokenizers.Tokenizer.from_file(path)
+    for _ in range(2):
+        for t, ids in zip(texts(corpus), mine.encode(texts(corpus))):
+            assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_bpe_query(docs, no_docs, corpus):
+    got = bpe.digest(docs, tokenizer_path("byte_bpe_50k.json")).collect()
+    assert len(got) == len(corpus) and {r["n_tokens"] for r in got if r["doc_id"] in (64, 65)} == {0}
+    assert bpe.digest(no_docs, tokenizer_path("byte_bpe_50k.json")).collect() == []
+    assert sorted(r["decoded"] for r in bpe.encode_decode(docs, tokenizer_path("byte_bpe_50k.json")).collect()) == sorted(t or "" for _, t in corpus)
+
+
+def test_packing(docs, no_docs, corpus):
+    path = tokenizer_path("word_bpe_49k.json")
+    got = packing.pack(docs, path, length=256).collect()
+    theirs = tokenizers.Tokenizer.from_file(path)
+    want = Counter(np.array([*theirs.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, t in corpus)
+    filled, whole, open_ = defaultdict(list), Counter(), b""
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        ids = bytes(r["ids"])
+        assert len(ids) == 4 * r["length"] and zlib.crc32(ids) == r["ids_crc32"] and r["start"] == len(open_) // 4
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+        open_ += ids
+        if len(open_) == 4 * r["doc_tokens"]:
+            whole[open_] += 1
+            open_ = b""
+    assert whole == want and not open_
+    assert sorted(filled) == list(range(len(filled)))
+    for k, parts in filled.items():
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) == 256 or k == len(filled) - 1
+    assert packing.digest(no_docs, path).collect() == []
+
+
+def test_pseudonyms_permute_their_format():
+    f = pii.Feistel(b"k")
+    assert sorted(f.number("t", x, 1000) for x in range(1000)) == list(range(1000))
+    assert len({f.text("t", f"{x:03d}") for x in range(1000)}) == 1000
+    p = pii.Pseudonymizer(b"k")
+    for kind, value in [("email", "jo.1@mail3.example.com"), ("phone", "+1 (337) 555-7349"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111112"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789"), ("ip", "10.0.255.1"), ("date", "2024-02-29"), ("date", "31.12.1999"), ("secret", "0a" * 20)]:
+        new = p.value(kind, value)
+        assert new != value and p.value(kind, new, True) == value and pii.FIND.fullmatch(new).lastgroup == kind
+        if kind != "ip":
+            assert len(new) == len(value)
+    assert pii.luhn(pii.compact(p.value("card", "4111111111111111"))) == 0
+    assert p.value("date", "30.02.1999") is None and p.value("ip", "10.0.256.1") is None and p.value("ssn", "000-45-6789") is None and p.value("iban", "GB83 WEST 1234 5698 7654 32") is None
+    assert pii.Pseudonymizer(b"other").value("ssn", "123-45-6789") != p.value("ssn", "123-45-6789")
+    assert pii.compact(p.value("phone", "+1 (337) 555-7349")) == pii.compact(p.value("phone", "+1 337-555-7349"))
+
+
+def test_pseudonymize(spark, no_docs):
+    rows = [(1, "write to jo.1@mail3.example.com or +1 (337) 555-7349, born 1990-05-06"), (2, "jo.1@mail3.example.com again"), (3, None), (4, ""), (5, "version 1.2.3, 12 apples, 10:30"), (None, "at 10.20.30.40.")]
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, pii_email int")
+    out = pii.pseudonymize(df)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns[:3] == df.columns and "_pii_email" in out.columns
+    assert got[3]["text"] is None and got[5]["text"] == rows[4][1] and got[1]["_pii_date"] == 1
+    assert got[2]["text"].split()[0] in got[1]["text"] and "jo.1@" not in got[1]["text"] + got[2]["text"] and "10.20.30.40" not in got[None]["text"]
+    assert pii.digest(no_docs).collect() == []
+
+
+@pytest.fixture(scope="module")
+def labelled(words):
+    r = random.Random(3)
+    bad = ["vile", "nasty", "grumbling", "grumbled", "hateful"]
+    rows = []
+    for i in range(900):
+        t, y = r.choices(words, k=40), int(i % 6 == 0)
+        if y:
+            for _ in range(5):
+                t[r.randrange(40)] = r.choice(bad)
+        rows.append((i, " ".join(t), y if r.random() > 0.02 else 1 - y, y))
+    return rows
+
+
+def test_toxicity(spark, labelled, no_docs):
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _, _ in labelled] + [(5000, None, None), (None, "vile nasty hateful", "x")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in labelled] + [(None, 1), (7777, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels).collect()
+    truth = {i: y for i, _, _, y in labelled}
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == len(labelled) + 2 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got if r["doc_id"] is not None)
+    hit = sum(r["predicted"] and truth[r["doc_id"]] for r in held if r["doc_id"] in truth)
+    assert hit >= 0.9 * sum(truth[r["doc_id"]] for r in held if r["doc_id"] in truth) and hit >= 0.95 * sum(r["predicted"] for r in held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    flipped = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, _, y, _ in labelled], "doc_id long, toxic int")
+    assert sorted(map(str, toxicity.score(docs, flipped).collect())) == sorted(map(str, toxicity.score(docs, labels.where("doc_id <> 7777 and toxic is not null")).collect()))
+    none = labels.limit(0)
+    assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5} and toxicity.score(no_docs, none).collect() == []
+
+
+def test_label_model_finds_the_better_voter():
+    r = np.random.default_rng(0)
+    y = (r.random(2000) < 0.3).astype(float)
+    good, copy, poor = (np.where(r.random(2000) < q, y, 1 - y) for q in (0.95, 0.95, 0.6))
+    p, rates, corr = toxicity.label_model(np.stack([good, good.copy(), poor], 1), copy)
+    assert ((p > 0.5) == (y > 0.5)).mean() > 0.93 and abs(corr[0, 1]) > 0.9 and rates[1][0] - rates[0][0] > rates[1][2] - rates[0][2]
+
+
+PAGE = '<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><header class="site-header">Site {h}</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>{body}<div class="sidebar"><p>Links {i}</p></div><div id="comments"><p>me too {i}</p></div><form><label>Search</label><input></form><footer>&copy; {h}</footer></body></html>'
+
+
+def test_extraction_of_one_page():
+    body = "<article><h1>T &amp; x</h1><p>Hello <a href=x>wor</a>ld<p>Two\nlines &nbsp; here<br>and<ul><li>one<li>two</ul></article>"
+    assert html_extract.main_text(PAGE.format(h="h", i=1, body=body), {}) == "T & x\nHello world\nTwo lines here and\none\ntwo"
+    assert html_extract.main_text(PAGE.format(h="h", i=1, body="<div><div><p>first paragraph</p><p>second one</p></div></div>"), {}) == "first paragraph\nsecond one"
+    for broken in ("", "<", "<p", "plain", "<p>a<b", "<!-- x", "<script>x", "</p></p>"):
+        html_extract.main_text(broken, {})
+    assert html_extract.main_text("plain &lt;text&gt;", {}) == "plain <text>"
+
+
+def test_extraction_by_template(spark):
+    rows = []
+    for i in range(12):
+        body = f"<section><span>Read our latest offers</span><div><p>story number {i} {'word ' * i}</p><p>more of {i}</p></div><span>All rights kept here</span></section>"
+        rows.append((i, f"http://site.example.com/{i}", PAGE.format(h="s", i=i, body=body)))
+    rows += [(100, None, None), (101, "nonsense", "<p>alone</p>"), (102, "http://b.example.com", ""), (1, rows[1][1], rows[1][2])]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "page_id long, url string, html string, text int")
+    want = {i: f"story number {i} {'word ' * i}".strip() + f"\nmore of {i}" for i in range(12)} | {100: "", 101: "alone", 102: ""}
+    for limit in (1 << 20, 0):  # broadcast, and joined by salted host
+        got = html_extract.extract(df, broadcast_bytes=limit).collect()
+        assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert html_extract.extract(df.limit(0)).collect() == []
+    assert html_extract.holding([1, 2, 1, 2, 3], {1: 7, 2: 7, 3: 8, 4: 8}) == {1, 2}
+
+
+def test_search_is_exact(spark, docs, no_docs, corpus):
+    rows = [(i, t) for i, t in dict((r[0], r) for r in corpus).values() if i is not None]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int").repartition(3)
+    asked = df.where("doc_id % 10 = 0 or doc_id = 64")
+    terms = bm25.Terms()
+    bags = {i: dict(zip(*(x.tolist() for x in terms(t or "")))) for i, t in rows}
+    n, mean = len(bags), sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df_of = Counter(t for b in bags.values() for t in b)
+    want = {}
+    for q in [i for i in bags if i % 10 == 0 or i == 64]:
+        scores = {}
+        for d, b in bags.items():
+            k = 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)
+            s = sum(c * np.log1p((n - df_of[t] + 0.5) / (df_of[t] + 0.5)) * b[t] * 2.2 / (b[t] + k) for t, c in sorted(bags[q].items()) if t in b)
+            if s > 0:
+                scores[d] = s
+        want[q] = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+    for size in (1 << 30, 20_000):  # one shard, and several
+        got = defaultdict(list)
+        for r in sorted(bm25.search(df, asked, shard_bytes=size).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got[r["query_id"]].append((r["doc_id"], r["score"]))
+        assert set(got) == {q for q in want if want[q]}
+        for q, hits in got.items():
+            assert [s for _, s in hits] == pytest.approx([s for _, s in want[q]]) and [r for r, _ in hits] == [r for r, _ in want[q]]
+    assert bm25.search(no_docs, no_docs).collect() == []
+
+
+def test_pipeline(spark, tmp_path, words, labelled):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    passage = " ".join(r.choices(words, k=60))
+    rows = [(i, t, "en", "s", len(t)) for i, t, _, _ in labelled]
+    rows += [(1000 + i, " ".join(r.choices(words, k=30)) + " " + passage + f" call +1 (33{i}) 555-7349", "en", "s", 1) for i in range(5)]
+    rows += [(2000 + i, rows[1][1], "en", "s", 1) for i in range(3)] + [(3000, None, None, None, None), (3001, "", "de", "t", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y, _ in labelled], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen[name] = {x["doc_id"]: x["text"] for x in docs.collect()}
+    truth = {i: y for i, _, _, y in labelled}
+    gone = set(truth) - set(seen["toxicity"])
+    assert len(gone & {i for i, y in truth.items() if y}) >= 0.9 * sum(truth.values()) and not gone & {i for i, y in truth.items() if not y}
+    assert set(seen["toxicity"]) - set(seen["simhash_dedup"]) == {2000, 2001, 2002}
+    assert sum(passage in (t or "") for t in seen["substring_dedup"].values()) == 1 and seen["substring_dedup"][3000] is None
+    assert "555-7349" not in " ".join(t or "" for t in seen["pii"].values()) and set(seen["pii"]) == set(seen["simhash_dedup"])
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p["doc_id"] for p in pieces} == set(seen["pii"])
+    assert sum(p["length"] for p in pieces) == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
