@@ -3,34 +3,34 @@
 from __future__ import annotations
 
 import json
-import os
 import threading
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import SparkSession
+
+from queryloom.sources.files import Document
+
 GENERATION = ("id", "schema_name", "logical_table", "physical_table", "generation", "schema_hash", "query_hash", "row_count", "status", "is_current", "published_at", "created_at", "meta")
 RUN = ("id", "manifest_id", "schema_name", "logical_table", "physical_table", "generation", "mode", "status", "message", "row_count", "started_at", "finished_at", "meta")
 
 
 class Registry:
-    """Kept on a file system all writers share; the rename is the commit."""
+    """Kept on a file system all writers share; the rename is the commit. With a session any Hadoop path will do."""
 
-    def __init__(self, path: str | Path, now: Callable[[], int]) -> None:
-        self.path, self.now, self._lock = Path(path), now, threading.Lock()
+    def __init__(self, path: str | Path, now: Callable[[], int], spark: SparkSession | None = None) -> None:
+        self.file, self.now, self._lock = Document(path, spark), now, threading.Lock()
 
     def _load(self) -> dict[str, Any]:
-        return json.loads(self.path.read_text()) if self.path.exists() else {"generations": [], "runs": [], "next": 1}
+        text = self.file.read()
+        return json.loads(text) if text else {"generations": [], "runs": [], "next": 1}
 
     def _change(self, f: Callable[[dict[str, Any]], Any]) -> Any:
         with self._lock:
             state = self._load()
             out = f(state)
-            self.path.parent.mkdir(parents=True, exist_ok=True)
-            new = self.path.with_suffix(f".{uuid.uuid4().hex}")
-            new.write_text(json.dumps(state))
-            os.replace(new, self.path)
+            self.file.replace(json.dumps(state))
             return out
 
     @staticmethod

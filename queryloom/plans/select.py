@@ -98,8 +98,9 @@ class Compiler:
             name = derived or next((f["table"] for e in elements for f in walk(e) if f["type"] == "fld" and f.get("table")), None)
             if not name:
                 raise CompileError("Query must contain 'table' or at least one field reference with 'table'.")
-            name = self._in_schema(name, q)
             base = Node(name, q.get("tablealias") or name)
+            if provider := q.get("schema") or q.get("provider"):
+                frame = self.sources.find(f"{provider}:{name}")  # else the plain name is scanned
         df, scope = self.joined(base, elements, outer, frame)
         for i in items:
             if alias := i.get("alias") or (i["element"].get("alias") if isinstance(i["element"], dict) else None):
@@ -141,10 +142,6 @@ class Compiler:
             df = df.select(*columns)
         return Compiled(self._cut(df, q), fields, wildcard)
 
-    def _in_schema(self, name: str, q: dict) -> str:
-        provider = q.get("schema") or q.get("provider")
-        return name if not provider or self.sources.find(f"{provider}:{name}") is None else f"{provider}:{name}"
-
     @staticmethod
     def _cut(df: DataFrame, q: dict) -> DataFrame:
         if q.get("offset") is not None and int(q["offset"]) > 0:

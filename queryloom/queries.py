@@ -349,8 +349,7 @@ RAW = {
 def _materializer(spark: SparkSession, sf_dir: str) -> tuple[QueryService, Materializer, Manifests]:
     folder = shared_folder(spark, "materialized")
     store = Store(spark, folder)
-    # The registry is metadata of a few rows; it is kept where the driver runs.
-    registry = Registry(f"{shared_folder(spark, 'registry').removeprefix('file://')}/registry.json", lambda: int(datetime.now(UTC).timestamp()))
+    registry = Registry(f"{folder}/registry.json", lambda: int(datetime.now(UTC).timestamp()), spark)
     manifests = Manifests([SPEND, RAW])
     both = CompositeCatalog({"main": catalog(), "reports": manifests}, "main")
     service = QueryService(spark, both, Sources(Resolver(registry, store), ParquetFolder(spark, sf_dir)), store, strict=True)
