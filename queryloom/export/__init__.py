@@ -140,7 +140,8 @@ class SpreadsheetExporter(Exporter):
 
     def to_string(self) -> str:
         names, rows = self.table()
-        spaces = 'xmlns:o="urn:schemas-microsoft-com:office:office" xmlns:x="urn:schemas-microsoft-com:office:excel" xmlns="http://www.w3.org/TR/REC-html40"'
+        office = "urn:schemas-microsoft-com:office:"
+        spaces = " ".join(f'{key}="{uri}"' for key, uri in (("xmlns:x", office + "excel"), ("xmlns:o", office + "office"), ("xmlns", "http://www.w3.org/TR/REC-html40")))
         body = "".join(f"<tr>{_cells(r, 'td')}</tr>" for r in rows)
         return f'<html {spaces}><head><meta charset="utf-8"></head><body><table border="1"><tr>{_cells(names, "th")}</tr>{body}</table></body></html>'
 

@@ -141,7 +141,7 @@ class Manifests:
         query = dict(spec.get("query") or {})
         parts = [x for x in (query.get("where"), *extra) if x]
         if parts:
-            query["where"] = parts[0] if len(parts) == 1 else {"type": "op", "operator": "AND", "params": parts}
+            query["where"] = parts[0] if len(parts) == 1 else dict(type="op", operator="AND", params=parts)
         return {**spec, "query": query, "dependsOn": depends}
 
     def all(self) -> list[Manifest]:

@@ -38,7 +38,7 @@ class Registry:
         state["next"] += 1
         return state["next"] - 1
 
-    # -- generations ---------------------------------------------------------------------
+    # Generations.
 
     def publish(self, row: dict[str, Any]) -> None:
         """Makes a generation the current one; the change of the pointer and its row are one write."""
@@ -60,7 +60,7 @@ class Registry:
     def current(self, logical: str, schema: str = "") -> dict[str, Any] | None:
         return next((g for g in self.generations(logical, schema) if g["is_current"]), None)
 
-    # -- runs ----------------------------------------------------------------------------
+    # Runs.
 
     def start(self, row: dict[str, Any]) -> int:
         def go(state: dict[str, Any]) -> int:
@@ -84,7 +84,7 @@ class Registry:
     def runs(self, manifest: str | None = None) -> list[dict[str, Any]]:
         return sorted((r for r in self._load()["runs"] if manifest is None or r["manifest_id"] == manifest), key=lambda r: r["id"], reverse=True)
 
-    # -- clean-up ------------------------------------------------------------------------
+    # Clean-up.
 
     def clean(self, exists: Callable[[str], bool], keep_runs: int = 100) -> dict[str, int]:
         """Drops rows of generations that are gone, and but the newest ended runs of each manifest."""

@@ -38,7 +38,7 @@ class Writer:
         self.compiler, self.store = compiler, store
         self.spark = store.spark
 
-    # -- insert --------------------------------------------------------------------------
+    # Insert.
 
     def insert(self, q: dict) -> Written:
         validate.insert(q)
@@ -186,7 +186,7 @@ class Writer:
         self.store.replace(name, path, **changes)
         return Written(int(n), first)
 
-    # -- update and delete -----------------------------------------------------------------
+    # Update and delete.
 
     def _rows(self, name: str) -> DataFrame:
         df = self.store.find(name)

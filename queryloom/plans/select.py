@@ -56,7 +56,7 @@ class Compiler:
         validate.select(q)
         return self._union(q, outer) if "union" in q else self._select(q, outer)
 
-    # -- FROM and joins, also used by statements that write ------------------------------
+    # FROM and joins, also used by statements that write.
 
     def scan(self, name: str) -> DataFrame:
         try:
@@ -81,7 +81,7 @@ class Compiler:
     def builder(self, scope: Scope, known: dict[str, Column] | None = None, missing: Any = None) -> Builder:
         return Builder(scope, lambda q: self.compile({"type": "select", **q}, scope).df, known, missing)
 
-    # -- select --------------------------------------------------------------------------
+    # Select.
 
     def _select(self, q: dict, outer: Scope | None) -> Compiled:
         items = q["fields"]
@@ -263,7 +263,7 @@ class Compiler:
                     return True
         return False
 
-    # -- union ---------------------------------------------------------------------------
+    # Union.
 
     def _union(self, q: dict, outer: Scope | None) -> Compiled:
         spec = q["union"]

@@ -255,7 +255,7 @@ SELECTS: dict[str, tuple[dict, str]] = {
     ),
 }
 
-# -- statements that write ------------------------------------------------------------------
+# Statements that write.
 
 NATIONS = {"type": "create", "table": "stock", "columns": [{"name": "id", "type": "bigint", "primary_key": True, "nullable": False}, {"name": "name", "type": "varchar(50)"}, {"name": "n", "type": "int", "default": 0}]}
 
@@ -326,7 +326,7 @@ WRITES: dict[str, tuple[Query, str]] = {
 }
 
 
-# -- materialization ------------------------------------------------------------------------
+# Materialization.
 
 SPEND = {
     "id": "customer_spend",
@@ -396,7 +396,7 @@ MATERIALIZED: dict[str, tuple[Query, str | None]] = {
 }
 
 
-# -- a table met twice ------------------------------------------------------------------------
+# A table met twice.
 
 
 def _with_tables(document: dict, frames: dict[str, dict], *tables: dict) -> Query:

@@ -62,7 +62,7 @@ class QueryService:
         self.sources = sources if store is None or store in sources.sources else Sources(store, *sources.sources)
         self.compiler = Compiler(catalog, self.sources)
 
-    # -- metadata ------------------------------------------------------------------------
+    # Metadata.
 
     def list_tables(self) -> list[TableMeta]:
         return self.catalog.tables()
@@ -79,7 +79,7 @@ class QueryService:
     def list_tags(self) -> list[str]:
         return catalogues.tags(self.catalog)
 
-    # -- queries -------------------------------------------------------------------------
+    # Queries.
 
     def compile(self, q: dict) -> Compiled:
         """The plan of a SELECT, without a result around it."""
