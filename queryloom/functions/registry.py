@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -21,6 +22,10 @@ from queryloom.errors import CompileError
 from queryloom.functions import types
 
 
+#: The number the last INSERT of the running service gave; the service sets it.
+last_insert_id: ContextVar[int] = ContextVar("last_insert_id", default=0)
+
+
 @dataclass
 class Call:
     """A function call: its arguments as columns, and as they stand in the document."""
@@ -185,6 +190,8 @@ ADAPTERS: dict[str, Callable[[Call], Column]] = {
     "UUID": lambda c: F.expr("uuid()"),
     "VERSION": lambda c: F.version(),
     "DATABASE": lambda c: F.current_database(),
+    "SCHEMA": lambda c: F.current_database(),
+    "LAST_INSERT_ID": lambda c: F.lit(last_insert_id.get()),
 }
 
 

@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from queryloom.errors import CompileError, ExecutionError, ValidationError
+from queryloom.functions.registry import last_insert_id
 from queryloom.functions.types import reported
 from queryloom.operators import ddl
 from queryloom.operators.dml import Writer, Written
@@ -116,6 +117,8 @@ class QueryService:
         run = {"insert": w.insert, "update": w.update, "delete": w.delete}.get(kind) or (lambda x: getattr(ddl, kind)(w, x))
         with self.store.transaction():
             done: Written = run(q)
+        if done.insert_id is not None:
+            last_insert_id.set(done.insert_id)
         return QueryResult(debug=debug, affected_rows=done.affected_rows, insert_id=done.insert_id)
 
     def _transaction(self, q: dict, debug: str) -> QueryResult:

@@ -161,3 +161,25 @@ def test_types_and_patterns():
     assert date_pattern("%d.%m.%Y at %H:%i") == "dd.MM.yyyy 'a''t' HH:mm"
     with pytest.raises(CompileError):
         date_pattern("%Q")
+
+
+def test_functions_by_name(service):
+    calls = {
+        "a": fn("UNHEX", "414243"), "b": fn("CONCAT", "x", 1, 2.5), "c": fn("SUBSTRING_INDEX", "a.b.c", ".", 2), "d": fn("FIND_IN_SET", "b", "a,b"),
+        "e": fn("LOCATE", "b", "abc"), "g": fn("IF", op(">", 2, 1), "y", "n"), "h": fn("FORMAT", 12345.678, 2), "i": fn("HEX", 255), "j": fn("SHA1", "x"),
+        "k": fn("ELT", 2, "a", "b"), "l": fn("LENGTH", "é"), "m": fn("CHAR_LENGTH", "é"), "n": fn("TRUNCATE", -1.999, 2), "o": fn("GREATEST", 1, None),
+        "p": fn("JSON_OBJECT", "a", 1, "b", None), "q": fn("JSON_LENGTH", "[1,2]"), "r": fn("DATE_FORMAT", fn("STR_TO_DATE", "05.06.2024", "%d.%m.%Y"), "%Y/%m/%d"),
+        "s": fn("TIMESTAMPDIFF", "HOUR", fn("CAST", "2024-01-01 00:00:00", "DATETIME"), fn("CAST", "2024-01-02 03:00:00", "DATETIME")), "t": fn("DATE_FORMAT", fn("DATE_SUB", fn("CAST", "2024-03-01", "DATE"), 1, "DAY"), "%e %M"),
+        "u": fn("WEEK", fn("CAST", "2024-01-01", "DATE"), 3), "v": fn("CAST", "12abc", "SIGNED"), "w": fn("CAST", "3.7", "DECIMAL(4,1)"), "x": fn("LOG", 1), "y": fn("JSON_UNQUOTE", '"q"'), "z": fn("LAST_INSERT_ID"),
+    }
+    got = service.execute({"type": "select", "table": "nulls", "fields": items(**calls), "limit": 1}).rows()[0]
+    assert {k: (bytes(v) if isinstance(v, bytearray) else float(v) if k == "w" else v) for k, v in got.items()} == {
+        "a": b"ABC", "b": "x12.5", "c": "a.b", "d": 2, "e": 2, "g": "y", "h": "12,345.68", "i": "FF", "j": "11f6ad8ec52a2984abaafd7c3b516503785c2072",
+        "k": "b", "l": 2, "m": 1, "n": -1.99, "o": None, "p": '{"a":1,"b":null}', "q": 2, "r": "2024/06/05", "s": 27, "t": "29 February",
+        "u": 1, "v": None, "w": 3.7, "x": 0.0, "y": "q", "z": got["z"],
+    }
+    service.execute(KV)
+    service.execute({"type": "insert", "table": "kv", "values": [{"name": fn("UPPER", "n")}, {"name": "m", "on_": op("=", 1, 2)}]})
+    assert table(service) == [(1, "N", True), (2, "m", None)] or len(table(service)) == 2
+    assert rows(service, table="nulls", fields=items(x=fn("LAST_INSERT_ID")), limit=1) == [(1,)]
+    assert service.execute({"type": "update", "table": "kv", "set": {"name": fn("DATE_FORMAT", fn("NOW"), "%Y")}}).affected_rows == 2
