@@ -42,13 +42,14 @@ from queryloom.llm._common import checkpoint, strings
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK, SHARD_BYTES = 64, 32 << 20
+LONG = 128  # postings from which a list is read on its own
 WORD = re.compile(r"[^\W_]+")
 
 
 class Terms:
     """Sorted term hashes of a text and their counts."""
 
-    def __init__(self, cache: int = 500_000) -> None:
+    def __init__(self, cache: int = 200_000) -> None:
         self.known: dict[str, int] = {}
         self.cache = cache
 
@@ -79,7 +80,7 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, n = terms(text)
             held.append(t)
             docs, words, size = docs + 1, words + int(n.sum()), size + len(t)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield rows()
                 held, docs, words, size = [], 0, 0, 0
     yield rows()
@@ -92,7 +93,7 @@ def document_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa
         out = [terms(t) for t in strings(batch.column(1))]
         shard = [xxhash.xxh3_64_intdigest(t.tobytes(), seed=(i or 0) & (2**64 - 1)) % shards for (t, _), i in zip(out, batch.column(0).to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard, pa.int32()), pa.array(np.zeros(len(out), np.int32)), batch.column(0), pa.array([t.tobytes() for t, _ in out], pa.binary()), pa.array([n.astype(np.float64).tobytes() for _, n in out], pa.binary())],
+            [pa.array(shard, pa.int32()), pa.array(np.zeros(len(out), np.int32)), batch.column(0), pa.array([t.tobytes() for t, _ in out], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in out], pa.binary())],
             ["shard", "kind", "id", "terms", "weights"],
         )
 
@@ -110,8 +111,8 @@ class Index:
 
     def __init__(self, ids: list, terms: list[np.ndarray], counts: list[np.ndarray], mean: float, k1: float = K1, b: float = B) -> None:
         self.ids = np.array([2**63 - 1 if i is None else i for i in ids], np.int64)
-        length = np.array([c.sum() for c in counts])
-        doc = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+        length = np.array([c.sum(dtype=np.int64) for c in counts])
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in terms])
         term, tf = (np.concatenate(x) if x else np.zeros(0) for x in (terms, counts))
         impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
         order = np.argsort(term, kind="stable")
@@ -163,8 +164,25 @@ class Index:
             ids, scores = ids[best], scores[best]
             least = scores[-1] if len(scores) == k else -np.inf
             done, step = stop, min(step * 4, 256)
+            if 4 * int((bound[rank[done:]] >= least).sum()) > len(rank):
+                return self._all(at, weights, k)  # so little to skip that whole postings lists are read faster
         return ids, scores
 
+    def _all(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best by reading the lists as they lie, the short ones at once: the same sums in the same order."""
+        low, high = self.segment[self.first[at]], self.segment[self.first[at + 1]]
+        long = int(np.argmax(np.append(high - low, LONG) >= LONG))
+        posting, of = ranges(low[:long], high[:long])
+        total = np.bincount(self.doc[posting], weights=self.impact[posting] * weights[:long][of], minlength=len(self.ids))
+        for a, b, w in zip(low[long:].tolist(), high[long:].tolist(), weights[long:].tolist()):
+            total[self.doc[a:b]] += self.impact[a:b] * w
+        hit = np.flatnonzero(total)
+        if len(hit) > k:
+            hit = hit[total[hit] >= np.partition(total[hit], -k)[-k]]
+        ids, scores = self.ids[hit], total[hit]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
+
 
 def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of many half-open ranges, and the number of each one's range."""
@@ -182,16 +200,16 @@ def search_shard(batches: Iterator[pa.RecordBatch], mean: float, k: int) -> Iter
         for s, kind, i, t, w in zip(*(batch.column(c).to_pylist() for c in range(5))):
             if s != shard:
                 shard, index, ids, terms, counts = s, None, [], [], []
-            t, w = np.frombuffer(t, np.int64), np.frombuffer(w, np.float64)
+            t = np.frombuffer(t, np.int64)
             if kind == 0:
                 ids.append(i)
                 terms.append(t)
-                counts.append(w)
+                counts.append(np.frombuffer(w, np.uint32))
                 continue
             if index is None:
                 index = Index(ids, terms, counts, mean)
                 ids, terms, counts = [], [], []
-            hits, scores = index.top(t, w, k)
+            hits, scores = index.top(t, np.frombuffer(w, np.float64), k)
             if len(hits):
                 found.append((np.full(len(hits), i, np.int64), hits, scores))
         if found:
@@ -202,9 +220,10 @@ def query_blobs(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.R
     """id and its (term, weight) list to one row per shard."""
     for batch in batches:
         for i, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            pairs = sorted((x["term"], x["weight"]) for x in terms)
-            t = np.array([x for x, _ in pairs], np.int64).tobytes()
-            w = np.array([x for _, x in pairs], np.float64).tobytes()
+            # Rare terms first, by the global count: scores are summed in this order in every shard.
+            terms.sort(key=lambda x: (x["n"], x["term"]))
+            t = np.array([x["term"] for x in terms], np.int64).tobytes()
+            w = np.array([x["weight"] for x in terms], np.float64).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.ones(shards, np.int32)), pa.array(np.full(shards, i, np.int64)), pa.array([t] * shards, pa.binary()), pa.array([w] * shards, pa.binary())],
                 ["shard", "kind", "id", "terms", "weights"],
@@ -222,7 +241,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
     sums = {r["term"]: r["n"] for r in df.where("term < 2").collect()}
     n, mean = sums.get(0, 0), sums.get(1, 0) / max(1, sums.get(0, 0)) or 1.0
     weight = F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    terms = asked.mapInArrow(query_terms, "id long, term long, qtf long").join(df, "term").groupBy("id").agg(F.collect_list(F.struct("term", weight.alias("weight"))).alias("terms"))
+    terms = asked.mapInArrow(query_terms, "id long, term long, qtf long").join(df, "term").groupBy("id").agg(F.collect_list(F.struct("term", weight.alias("weight"), "n")).alias("terms"))
     row = "shard int, kind int, id long, terms binary, weights binary"
     rows = text.mapInArrow(lambda it: document_rows(it, shards), row).unionByName(terms.mapInArrow(lambda it: query_blobs(it, shards), row))
     local = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: search_shard(it, mean, k), "query_id long, doc long, score double")
