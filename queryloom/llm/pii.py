@@ -43,7 +43,7 @@ FIND = re.compile(
     r"|(?<![\w.-])(?P<date>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4})(?![\w-])"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30})(?!\w)"
-    r"|(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4})(?!\w)"
+    r"|(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-])"
     r"|(?<![\w.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
     r"|(?<!\w)(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)"
 )
