@@ -8,9 +8,8 @@ and different ones different, and its result is again valid (check digits fit, o
 stay below 256, a date is a date).
 
 Formats: e-mail addresses (the registrable domain stays), telephone numbers (digits
-only; the spelling and the country code stay), payment-card-like numbers of 13 to 19
-digits (a number that passes the Luhn test is mapped to one that does, one that fails
-it to one of the same length), IBANs, US social security numbers, IPv4 addresses, dates (ISO,
+only; the spelling and the country code stay), payment card numbers of 13 to 19 digits
+that pass the Luhn test (as their pseudonyms do; other digits stay), IBANs, US social security numbers, IPv4 addresses, dates (ISO,
 day.month.year and day/month/year) and long hexadecimal secrets.
 
 Defined results: a null text stays null with no findings; ids, ties and repeated rows
@@ -44,7 +43,7 @@ FIND = re.compile(
     r"|(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30})(?!\w)"
     r"|(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-])"
-    r"|(?<![\w.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
+    r"|(?<![\w.-])(?P<card>\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
     r"|(?<!\w)(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)"
 )
 SOME = re.compile(r"[0-9@]|[a-f]{32}|[A-F]{32}")
@@ -131,12 +130,12 @@ def _phone(f: Feistel, s: str, back: bool) -> str | None:
     return spread(s, digits[:country] + f.text("phone" + digits[:country], digits[country:], back))
 
 
-def _card(f: Feistel, s: str, back: bool) -> str:
+def _card(f: Feistel, s: str, back: bool) -> str | None:
     digits = compact(s)
-    # The sum's remainder is kept, so valid numbers stay valid and the rest stay the rest.
-    rest = luhn(digits)
-    body = f.text(f"card{rest}", digits[:-1], back)
-    return spread(s, body + str((rest - luhn(body + "0")) % 10))
+    if luhn(digits):
+        return None
+    body = f.text("card", digits[:-1], back)
+    return spread(s, body + str(-luhn(body + "0") % 10))
 
 
 def _iban(f: Feistel, s: str, back: bool) -> str | None:

@@ -69,19 +69,19 @@ def test_pseudonyms_permute_their_format():
     assert sorted(f.number("t", x, 1000) for x in range(1000)) == list(range(1000))
     assert len({f.text("t", f"{x:03d}") for x in range(1000)}) == 1000
     p = pii.Pseudonymizer(b"k")
-    for kind, value in [("email", "jo.1@mail3.example.com"), ("phone", "+1 (337) 555-7349"), ("card", "4111 1111 1111 1111"), ("card", "4111111111111112"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789"), ("ip", "10.0.255.1"), ("date", "2024-02-29"), ("date", "31.12.1999"), ("secret", "0a" * 20)]:
+    for kind, value in [("email", "jo.1@mail3.example.com"), ("phone", "+1 (337) 555-7349"), ("card", "4111 1111 1111 1111"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789"), ("ip", "10.0.255.1"), ("date", "2024-02-29"), ("date", "31.12.1999"), ("secret", "0a" * 20)]:
         new = p.value(kind, value)
         assert new != value and p.value(kind, new, True) == value and pii.FIND.fullmatch(new).lastgroup == kind
         if kind != "ip":
             assert len(new) == len(value)
     assert pii.luhn(pii.compact(p.value("card", "4111111111111111"))) == 0
-    assert p.value("date", "30.02.1999") is None and p.value("ip", "10.0.256.1") is None and p.value("ssn", "000-45-6789") is None and p.value("iban", "GB83 WEST 1234 5698 7654 32") is None
+    assert p.value("card", "4111111111111112") is None and p.value("date", "30.02.1999") is None and p.value("ip", "10.0.256.1") is None and p.value("ssn", "000-45-6789") is None and p.value("iban", "GB83 WEST 1234 5698 7654 32") is None
     assert pii.Pseudonymizer(b"other").value("ssn", "123-45-6789") != p.value("ssn", "123-45-6789")
     assert pii.compact(p.value("phone", "+1 (337) 555-7349")) == pii.compact(p.value("phone", "+1 337-555-7349"))
 
 
 def test_pseudonymize(spark, no_docs):
-    rows = [(1, "write to jo.1@mail3.example.com or +1 (337) 555-7349, born 1990-05-06"), (2, "jo.1@mail3.example.com again"), (3, None), (4, ""), (5, "version 1.2.3, 12 apples, 10:30"), (None, "at 10.20.30.40.")]
+    rows = [(1, "write to jo.1@mail3.example.com or +1 (337) 555-7349, born 1990-05-06"), (2, "jo.1@mail3.example.com again"), (3, None), (4, ""), (5, "version 1.2.3, 12 apples, 10:30, 1 2 3 4 5 6 7 8 9 10 11 12 13, 4111111111111112"), (None, "at 10.20.30.40.")]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, pii_email int")
     out = pii.pseudonymize(df)
     got = {r["doc_id"]: r for r in out.collect()}
