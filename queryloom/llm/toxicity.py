@@ -190,7 +190,7 @@ def fit(rows: list[tuple[int, np.ndarray, list[bool]]]) -> Model:
     low = rate - 1.5 * np.sqrt(rate * (1 - rate) / (df + 1))
     lexicon = np.flatnonzero((pos >= 4) & (low > max(0.5, 1.5 * base)))
     spread = np.abs(pos - df * base) / np.sqrt(df * base * (1 - base) + 1)
-    extra = np.argsort(-spread * (df >= 5), kind="stable")[:2000]
+    extra = np.argsort(-spread * (df >= 5), kind="stable")[: max(50, len(rows) // 8)]  # as many as the sample can weigh
     used = np.union1d(lexicon[np.argsort(-pos[lexicon], kind="stable")[:4000]], extra)
     place = np.full(len(all_ids), -1)
     place[used] = np.arange(len(used))
