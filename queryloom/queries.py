@@ -446,5 +446,21 @@ def queries() -> dict[str, Query]:
     return {n: _select(d) for n, (d, _) in SELECTS.items()} | {n: q for n, (q, _) in (TWICE | WRITES | MATERIALIZED).items()}
 
 
+#: Integer widths that DuckDB chooses otherwise for the same functions.
+WIDTHS = {
+    "arith_ops": {"g": "BIGINT"},
+    "string_funcs": {"e": "INTEGER", "i": "INTEGER", "o": "BIGINT"},
+    "date_funcs": {"y": "INTEGER", "m": "INTEGER", "d": "INTEGER", "q": "INTEGER", "days": "INTEGER"},
+    "group_by_expression": {"y": "INTEGER"},
+    "window_row_number": {"rn": "INTEGER"},
+    "window_ranks": {"a": "INTEGER", "b": "INTEGER", "c": "INTEGER"},
+    "window_rank_over_agg": {"place": "INTEGER"},
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {n: s for n, (_, s) in (SELECTS | TWICE | WRITES | MATERIALIZED).items() if s}
+    found = {n: s for n, (_, s) in (SELECTS | TWICE | WRITES | MATERIALIZED).items() if s}
+    for name, columns in WIDTHS.items():
+        casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c, kind in columns.items())
+        found[name] = f"SELECT * REPLACE ({casts}) FROM ({found[name]})"
+    return found
