@@ -173,7 +173,7 @@ class Index:
         low, high = self.segment[self.first[at]], self.segment[self.first[at + 1]]
         long = int(np.argmax(np.append(high - low, LONG) >= LONG))
         posting, of = ranges(low[:long], high[:long])
-        total = np.bincount(self.doc[posting], weights=self.impact[posting] * weights[:long][of], minlength=len(self.ids))
+        total = np.bincount(self.doc[posting], weights=self.impact[posting] * weights[:long][of], minlength=len(self.ids)).astype(np.float64)  # whole numbers if there is no short list
         for a, b, w in zip(low[long:].tolist(), high[long:].tolist(), weights[long:].tolist()):
             total[self.doc[a:b]] += self.impact[a:b] * w
         hit = np.flatnonzero(total)

@@ -156,7 +156,9 @@ def test_extraction_by_template(spark):
     assert html_extract.holding([1, 2, 1, 2, 3], {1: 7, 2: 7, 3: 8, 4: 8}) == {1, 2}
 
 
-def test_search_is_exact(spark, docs, no_docs, corpus):
+@pytest.mark.parametrize("long", [128, 1])
+def test_search_is_exact(spark, docs, no_docs, corpus, monkeypatch, long):
+    monkeypatch.setattr(bm25, "LONG", long)  # 1: every list is read on its own
     rows = [(i, t) for i, t in dict((r[0], r) for r in corpus).values() if i is not None]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int").repartition(3)
     asked = df.where("doc_id % 10 = 0 or doc_id = 64")
