@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queryloom.llm import _spans as S
-from queryloom.llm._common import checkpoint, mix
+from queryloom.llm._common import checkpoint, mix, outer_id
 
 WIDTH, GRAM = 13, 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -108,8 +108,9 @@ def cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBa
                 kept.append(hashlib.sha256(b" ".join(words if gone is None else compress(words, ~gone))).hexdigest())
             else:
                 kept.append(t if gone is None else kept_text(t, gone))
-        first = batch.column(batch.schema.get_field_index("row"))
-        yield pa.RecordBatch.from_arrays([first, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())], ["row", "n_words", "n_removed", "kept"])
+        name = "doc" if digest else "row"
+        first = batch.column(batch.schema.get_field_index(name))
+        yield pa.RecordBatch.from_arrays([first, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())], [name, "n_words", "n_removed", "kept"])
 
 
 def repeated_ranges(prep: DataFrame, shape: S.Shape) -> DataFrame:
@@ -122,10 +123,12 @@ def repeated_ranges(prep: DataFrame, shape: S.Shape) -> DataFrame:
 
 
 def _done(docs: DataFrame, shape: S.Shape, id_col: str, text_col: str, digest: bool) -> DataFrame:
-    ranges = repeated_ranges(S.prepared(docs, id_col, text_col), shape)
+    prep = S.prepared(docs, id_col, text_col)
+    ranges = repeated_ranges(prep, shape)
+    if digest:  # over the same columns as the search for ranges, so that the texts are exchanged once
+        return S.at_text(ranges, prep, "left").mapInArrow(lambda it: cut(it, True), "doc long, n_words long, n_removed long, kept string")
     rows = S.at_text(ranges, S.prepared(docs, id_col, text_col, row=True), "left")
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept " + ("string" if digest else "binary")
-    return rows.mapInArrow(lambda it: cut(it, digest), kind)
+    return rows.mapInArrow(lambda it: cut(it, False), f"row {rows.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept binary")
 
 
 def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,4 +140,4 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
 
 def digest(docs: DataFrame) -> DataFrame:
     done = _done(docs.select("doc_id", "text"), S.Shape(WIDTH, GRAM, inside=False), "doc_id", "text", digest=True)
-    return done.select(F.col("row")["doc_id"].alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    return done.select(outer_id("doc").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
