@@ -12,8 +12,12 @@
    few go on, never all pairs.
 4. Candidate edges are verified: both shingle sets are brought together and the edge
    stays if their Jaccard similarity is at least ``similarity``.
-5. Connected components of the verified edges are the classes (label propagation with
-   pointer jumping, each round cut by a checkpoint).
+5. Connected components of the verified edges are the first classes (alternating stars,
+   each round cut by a checkpoint).
+6. Pairs that step 3 left out and whose ends are in different classes are all verified:
+   their buckets are cut into blocks, block pairs with a pair to verify get the shingle
+   sets, and what is found joins classes. So every pair within the candidate distance in
+   a common bucket is verified or lies in one class of verified edges.
 
 Everything is keyed, salted or spread by hash of content, so copies, however many,
 cost one row in the tables, and a hot bucket splits. Nothing is collected.
@@ -27,12 +31,12 @@ of its rows is dropped; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from queryloom.llm._common import checkpoint, inner_id, mix, outer_id, shuffle_width
@@ -41,6 +45,8 @@ from queryloom.llm.components import components
 BITS, SHINGLE, SIMILARITY = 256, 5, 0.8
 #: Candidate distance: at similarity 0.8 about 39 of 256 bits differ, with a deviation of 5.8.
 DISTANCE, TABLES, SAMPLED, BUCKET, NEAREST = 58, 36, 14, 2048, 3
+#: A block of step 6 has at most so many rows, and bytes of shingles (one larger text is a block).
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 WORD = re.compile(r"[^\W_]+")
 U = np.uint64
 
@@ -84,17 +90,18 @@ def simhash(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text to doc, set_hash (of the whole shingle set), signature."""
+    """doc, text to doc, set_hash (of the whole shingle set), signature, number of shingles."""
     shingles = Shingles()
     for batch in batches:
-        a, b, sigs = [], [], []
+        a, b, sigs, sizes = [], [], [], []
         for t in batch.column(1).to_pylist():
             s = shingles(t)
             d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
             a.append(d and int.from_bytes(d[:8], "little", signed=True))
             b.append(d and int.from_bytes(d[8:], "little", signed=True))
             sigs.append(d and simhash(s).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary())], ["doc", "set_a", "set_b", "sig"])
+            sizes.append(len(s))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], ["doc", "set_a", "set_b", "sig", "size"])
 
 
 def coordinates(table: int, n: int) -> np.ndarray:
@@ -154,21 +161,21 @@ def narrow(rows: DataFrame, sampled: int, limit: int, step: int = 8) -> DataFram
     return out
 
 
-def link(docs: np.ndarray, sigs: np.ndarray, distance: int, nearest: int, block: int = 512) -> np.ndarray:
-    """Candidate edges in one bucket: spanning forest by least distance, and nearest neighbours."""
+def link(docs: np.ndarray, sigs: np.ndarray, distance: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate edges in one bucket: spanning forest by least distance, and nearest neighbours; the members of pairs left out."""
     n = len(docs)
     if n > BUCKET:  # equal in every bit that was left to split by
         order = np.lexsort((docs, *sigs.T))
         same = (sigs[order[1:]] == sigs[order[:-1]]).all(1)
-        return np.stack([docs[order[:-1]][same], docs[order[1:]][same]], 1)
+        return np.stack([docs[order[:-1]][same], docs[order[1:]][same]], 1), docs[:0]
     d = np.zeros((n, n), np.uint16)
     for k in range(sigs.shape[1]):
         d += np.bitwise_count(sigs[:, None, k] ^ sigs[None, :, k])
     i, j = np.nonzero(np.triu(d <= distance, 1))
     if not len(i):
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 2), np.int64), docs[:0]
     order = np.argsort(d[i, j], kind="stable")
-    parent, degree, out = list(range(n)), [0] * n, []
+    parent, degree, out, left = list(range(n)), [0] * n, [], np.zeros(n, bool)
     for a, b in zip(i[order].tolist(), j[order].tolist()):
         x, y = a, b
         while parent[x] != x:
@@ -178,23 +185,34 @@ def link(docs: np.ndarray, sigs: np.ndarray, distance: int, nearest: int, block:
         if x != y:
             parent[max(x, y)] = min(x, y)
         elif degree[a] >= nearest and degree[b] >= nearest:
+            left[a] = left[b] = True
             continue
         degree[a] += 1
         degree[b] += 1
         out.append((docs[a], docs[b]))
-    return np.array(out, np.int64)
+    return np.array(out, np.int64), docs[left]
 
 
 def bucket_edges(batches: Iterator[pa.RecordBatch], distance: int, nearest: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket to candidate edges (a < b); a bucket is at most BUCKET rows or all equal."""
+    """Rows sorted by bucket to candidate edges (a < b) with bucket -1, and rows (doc, doc, bucket) for members of pairs
+    left out; a bucket is at most BUCKET rows or all equal."""
     words = BITS // 64
     held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def finish(bucket, doc, sig):
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(cut[1:], len(bucket))
-        pairs = [link(doc[s:e], sig[s:e], distance, nearest) for s, e in zip(cut, ends) if e - s > 1]
-        return [p for p in pairs if len(p)]
+        out = []
+        for s, e in zip(cut, ends):
+            if e - s > 1:
+                pairs, left = link(doc[s:e], sig[s:e], distance, nearest)
+                out.append(np.column_stack((np.sort(pairs, 1), np.full(len(pairs), -1))))
+                out.append(np.column_stack((left, left, np.full(len(left), bucket[s]))))
+        return [x for x in out if len(x)]
+
+    def batch_of(rows):
+        e = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, k]) for k in range(3)], ["a", "b", "bucket"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -210,11 +228,9 @@ def bucket_edges(batches: Iterator[pa.RecordBatch], distance: int, nearest: int)
             pairs = finish(*(x[:last] for x in now)) if last else []
             held = tuple(x[last:] for x in now)
         if pairs:
-            e = np.sort(np.concatenate(pairs), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+            yield batch_of(pairs)
     if held is not None and (pairs := finish(*held)):
-        e = np.sort(np.concatenate(pairs), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        yield batch_of(pairs)
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,12 +241,13 @@ def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "shingles"])
 
 
-def jaccard(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    def numbers(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        return wide.view(U).ravel()
+def numbers(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view(U).ravel()
+
 
+def jaccard(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -240,22 +257,118 @@ def jaccard(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
 
+def halves(rows: pa.Table) -> tuple[pa.Table, int, bool]:
+    """Rows of a block pair with those of the first block in front, how many these are, and whether both are one block."""
+    i, j, block = (rows[c].to_numpy() for c in ("i", "j", "block"))
+    return rows.take(np.argsort(block != i, kind="stable")), int((block == i).sum()), bool(i[0] == j[0])
+
+
+def unsettled(rows: pa.Table, distance: int, similarity: float, sampled: int) -> pa.Table:
+    """The members of a block pair that have a pair to verify: within the distance, of different classes, of sizes
+    that allow the similarity, and in no common bucket of an earlier table (where the same is done)."""
+    rows, m, one = halves(rows)
+    comp, size = rows["comp"].to_numpy(), rows["size"].to_numpy()
+    raw = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(rows), -1)
+    sigs, bits = raw.view(U), np.unpackbits(raw, axis=1)
+    weights = U(1) << np.arange(sampled, dtype=U)
+    earlier = [(bits[:, coordinates(t, BITS)[:sampled]] * weights).sum(1, dtype=U) for t in range(rows["bucket"][0].as_py() >> 40)]
+    hit = np.zeros(len(rows), bool)
+    for x in range(m):
+        at = np.arange(x + 1 if one else m, len(rows))
+        at = at[comp[at] != comp[x]]
+        at = at[np.bitwise_count(sigs[at] ^ sigs[x]).sum(1, dtype=np.int64) <= distance]
+        at = at[np.minimum(size[at], size[x]) + 2 >= similarity * np.maximum(size[at], size[x])]
+        for key in earlier:
+            if not len(at):
+                break
+            at = at[key[at] != key[x]]
+        if len(at):
+            hit[x] = hit[at] = True
+    return rows.select(["bucket", "i", "j", "block", "doc", "comp"]).filter(pa.array(hit))
+
+
+def verified(rows: pa.Table, similarity: float) -> pa.Table:
+    """Links between classes by the shingle sets of a block pair; of links that close a circle here, none."""
+    rows, m, one = halves(rows)
+    comp = rows["comp"].to_numpy()
+    sets = [numbers(x) for x in rows["shingles"].to_pylist()]
+    n = np.array([len(x) for x in sets])
+    ends = np.cumsum(n)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(values), bool)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (p := parent.get(c, c)) != c:
+            parent[c] = parent.get(p, p)
+            c = p
+        return c
+
+    out = []
+    for x in range(m):
+        lo = x + 1 if one else m
+        if lo >= len(sets):
+            continue
+        own = flat[ends[x] - n[x] : ends[x]]
+        marked[own] = True
+        start = ends[lo] - n[lo]
+        both = np.add.reduceat(marked[flat[start:]], ends[lo:] - n[lo:] - start, dtype=np.int64)
+        marked[own] = False
+        near = both >= similarity * (n[x] + n[lo:] - both)
+        for c in comp[lo:][near & (comp[lo:] != comp[x])].tolist():
+            a, b = sorted((root(int(comp[x])), root(c)))
+            if a != b:
+                parent[b] = a
+                out.append((int(comp[x]), c))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def settle(again: DataFrame, rep: DataFrame, comp: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int, block_bytes: int) -> DataFrame:
+    """comp with the classes joined that any pair within the distance links among the rows ``again`` (bucket, doc)."""
+    rows = again.join(comp, again["doc"] == comp["node"], "left").select("bucket", "doc", F.coalesce("root", "doc").alias("comp"))
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    rows = checkpoint(rows.join(mixed, "bucket", "left_semi"))
+    if rows.isEmpty():
+        return comp
+    # Blocks in the order of classes: most block pairs of a large class have nothing to compare and are not made.
+    weight = F.greatest(F.col("size") * 8, F.lit(block_bytes // block))
+    order = Window.partitionBy("bucket").orderBy("comp", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = checkpoint(rows.join(rep.select("doc", "sig", "size"), "doc").withColumn("block", F.floor((F.sum(weight).over(order) - 1) / block_bytes).cast("long")))
+    cut = checkpoint(rows.groupBy("bucket", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    pairs = cut.select("bucket", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i")).join(cut.withColumnRenamed("block", "j"), "bucket")
+    pairs = pairs.where("i <= j and not (lo_i = hi_i and lo = hi and lo_i = lo)").select("bucket", "i", "j")
+    sides = pairs.withColumn("block", F.col("i")).union(pairs.where("i < j").withColumn("block", F.col("j")))
+    open_ = rows.join(sides, ["bucket", "block"]).groupBy("bucket", "i", "j").applyInArrow(lambda t: unsettled(t, DISTANCE, similarity, SAMPLED), "bucket long, i long, j long, block long, doc long, comp long")
+    open_ = checkpoint(open_)
+    with_sets = open_.join(sets_of(open_.select("doc").distinct()), "doc")
+    links = with_sets.groupBy("bucket", "i", "j").applyInArrow(lambda t: verified(t, similarity), "a long, b long")
+    joined = components(links).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    every = rep.join(comp, rep["doc"] == comp["node"], "left").select("doc", F.coalesce("root", "doc").alias("was"))
+    return every.join(joined, "was", "left").select(F.col("doc").alias("node"), F.coalesce("now", "was").alias("root"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id (smallest id of the class), class_size, kept."""
     text = docs.select(inner_id(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = checkpoint(text.mapInArrow(sign, "doc long, set_a long, set_b long, sig binary"))
+    signed = checkpoint(text.mapInArrow(sign, "doc long, set_a long, set_b long, sig binary, size long"))
     # Equal sets (exact copies and the like) become one representative before anything is compared.
-    rep = checkpoint(signed.where("sig is not null").groupBy("set_a", "set_b").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig")))
+    rep = checkpoint(signed.where("sig is not null").groupBy("set_a", "set_b").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.first("size").alias("size")))
     rows = rep.select("doc", "sig").mapInArrow(lambda it: keyed(it, tables, SAMPLED), "bucket long, doc long, sig binary, tab int")
     rows = narrow(rows, SAMPLED, BUCKET).select("bucket", "doc", "sig")
     width = shuffle_width(docs.sparkSession)
-    edges = rows.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: bucket_edges(it, DISTANCE, NEAREST), "a long, b long")
-    edges = checkpoint(edges.where("a != b").distinct())
-    need = edges.select(F.col("a").alias("doc")).union(edges.select("b")).distinct()
-    sets = checkpoint(text.join(need, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(shingle_sets, "doc long, shingles binary"))
+    edges = rows.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: bucket_edges(it, DISTANCE, NEAREST), "a long, b long, bucket long")
+    found = checkpoint(edges.where(f"a != b or bucket between 0 and {(tables << 40) - 1}").distinct())
+    edges = found.where("a != b").select("a", "b")
+
+    def sets_of(need: DataFrame) -> DataFrame:
+        return text.join(need, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(shingle_sets, "doc long, shingles binary")
+
+    sets = checkpoint(sets_of(edges.select(F.col("a").alias("doc")).union(edges.select("b")).distinct()))
     left = edges.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
     comp = components(both.mapInArrow(lambda it: jaccard(it, similarity), "a long, b long"))
+    again = found.where("a = b").select("bucket", F.col("a").alias("doc"))
+    comp = settle(again, rep, comp, sets_of, similarity, BLOCK, BLOCK_BYTES)
     # Members of a set have the class of their representative.
     root = rep.join(comp, rep["doc"] == comp["node"], "left").select("set_a", "set_b", F.coalesce("root", "doc").alias("root"))
     out = signed.join(root, ["set_a", "set_b"], "left").select("doc", F.coalesce("root", "doc").alias("class"))

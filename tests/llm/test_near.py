@@ -64,6 +64,42 @@ def test_simhash_classes(spark, words, monkeypatch, bucket):
         assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want.values()))
 
 
+def by_signature(rows):
+    """Classes by brute force over the pairs that share a bucket and are within the distance."""
+    sh, m = simhash_dedup.Shingles(), simhash_dedup
+    sets = {i: sh(t) for i, t in rows}
+    sigs = np.stack([m.simhash(s) for s in sets.values()])
+    bits = np.unpackbits(sigs.view(np.uint8), axis=1)
+    keys = [bits[:, m.coordinates(t, m.BITS)[: m.SAMPLED]] for t in range(m.TABLES)]
+    ids, own, links = list(sets), [set(s.tolist()) for s in sets.values()], []
+    for x in range(len(ids)):
+        near = np.bitwise_count(sigs ^ sigs[x]).sum(1) <= m.DISTANCE
+        near &= np.any([(k == k[x]).all(1) for k in keys], 0)
+        links += [(ids[x], ids[y]) for y in np.flatnonzero(near) if y > x and len(own[x] & own[y]) >= 0.8 * len(own[x] | own[y])]
+    return roots(ids, links), len(links)
+
+
+def family(r, n, planted):
+    """Texts on one template at Jaccard 0.78, the first of them with a partner at 0.81."""
+    own = lambda k: [f"u{r.getrandbits(40):x}" for _ in range(k)]
+    common = own(200)
+    tails = [own(28) for _ in range(n)]
+    for k in range(planted):
+        tails.append(tails[k][:5] + own(23))
+    rows = [(i, " ".join(common + tail)) for i, tail in enumerate(tails)]
+    r.shuffle(rows)
+    return rows
+
+
+def test_simhash_family_below_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK_BYTES", 1 << 16)  # several blocks in a bucket
+    rows = family(random.Random(3), 1200, 60)
+    want, links = by_signature(rows)
+    assert links >= 50
+    got = {x["doc_id"]: x["class_id"] for x in simhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_simhash_edges(spark, docs, no_docs, corpus):
     got = simhash_dedup.classes(docs).collect()
     assert len(got) == len(corpus)
