@@ -5,8 +5,8 @@
    texts with the same set collapse to one representative with its members.
 2. Each of several tables samples some coordinates of the signature and groups
    representatives that agree on them. A bucket with more than ``bucket`` members is
-   split by further sampled bits, again and again; the last bits are the whole
-   signature, so what is left together is equal and needs only a chain.
+   split for the first comparison by further sampled bits, again and again; the last
+   bits are the whole signature, so what is left together is equal and gets a chain.
 3. In a bucket, signatures are compared by distance; of the pairs within the candidate
    distance only the edges of a minimum spanning forest and each member's nearest
    few go on, never all pairs.
@@ -14,7 +14,7 @@
    stays if their Jaccard similarity is at least ``similarity``.
 5. Connected components of the verified edges are the first classes (alternating stars,
    each round cut by a checkpoint).
-6. Pairs that step 3 left out and whose ends are in different classes are all verified:
+6. Pairs that a split (2) or the forest (3) left out and whose ends are in different classes are all verified:
    their buckets are cut into blocks, block pairs with a pair to verify get the shingle
    sets, and what is found joins classes. So every pair within the candidate distance in
    a common bucket is verified or lies in one class of verified edges.
@@ -123,16 +123,17 @@ def keyed(batches: Iterator[pa.RecordBatch], tables: int, sampled: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1), pa.array(np.full(len(bucket), t, np.int32))], ["bucket", "doc", "sig", "tab"])
 
 
-def narrow(rows: DataFrame, sampled: int, limit: int, step: int = 8) -> DataFrame:
-    """Buckets of at most ``limit`` members, by more bits where there are more.
+def narrow(rows: DataFrame, sampled: int, limit: int, step: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Buckets of at most ``limit`` members, by more bits where there are more; and the buckets that were split.
 
     Each round counts bucket sizes (combined before the shuffle); only members of large
     buckets are looked at again. Rounds end when no bucket is too large or the bits are
     used up, where the members of a bucket are equal in all bits.
     """
-    done, used = [], sampled
+    done, used, split = [], sampled, None
     while True:
         large = checkpoint(rows.groupBy("bucket").count().where(F.col("count") > limit).select("bucket"))
+        split = large if split is None else split
         if used >= BITS or large.isEmpty():
             done.append(rows)
             break
@@ -158,7 +159,7 @@ def narrow(rows: DataFrame, sampled: int, limit: int, step: int = 8) -> DataFram
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out, split
 
 
 def link(docs: np.ndarray, sigs: np.ndarray, distance: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -353,8 +354,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLE
     signed = checkpoint(text.mapInArrow(sign, "doc long, set_a long, set_b long, sig binary, size long"))
     # Equal sets (exact copies and the like) become one representative before anything is compared.
     rep = checkpoint(signed.where("sig is not null").groupBy("set_a", "set_b").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.first("size").alias("size")))
-    rows = rep.select("doc", "sig").mapInArrow(lambda it: keyed(it, tables, SAMPLED), "bucket long, doc long, sig binary, tab int")
-    rows = narrow(rows, SAMPLED, BUCKET).select("bucket", "doc", "sig")
+    keys = rep.select("doc", "sig").mapInArrow(lambda it: keyed(it, tables, SAMPLED), "bucket long, doc long, sig binary, tab int")
+    rows, split = narrow(keys, SAMPLED, BUCKET)
+    rows = rows.select("bucket", "doc", "sig")
     width = shuffle_width(docs.sparkSession)
     edges = rows.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: bucket_edges(it, DISTANCE, NEAREST), "a long, b long, bucket long")
     found = checkpoint(edges.where(f"a != b or bucket between 0 and {(tables << 40) - 1}").distinct())
@@ -368,6 +370,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLE
     both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
     comp = components(both.mapInArrow(lambda it: jaccard(it, similarity), "a long, b long"))
     again = found.where("a = b").select("bucket", F.col("a").alias("doc"))
+    if not split.isEmpty():
+        again = again.union(keys.join(split, "bucket", "left_semi").select("bucket", "doc")).distinct()
     comp = settle(again, rep, comp, sets_of, similarity, BLOCK, BLOCK_BYTES)
     # Members of a set have the class of their representative.
     root = rep.join(comp, rep["doc"] == comp["node"], "left").select("set_a", "set_b", F.coalesce("root", "doc").alias("root"))

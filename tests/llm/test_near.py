@@ -100,6 +100,15 @@ def test_simhash_family_below_the_threshold(spark, monkeypatch):
     assert got == want
 
 
+def test_simhash_family_in_split_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BUCKET", 16)
+    rows = family(random.Random(4), 300, 60)
+    want, links = by_signature(rows)
+    assert links >= 50
+    got = {x["doc_id"]: x["class_id"] for x in simhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_simhash_edges(spark, docs, no_docs, corpus):
     got = simhash_dedup.classes(docs).collect()
     assert len(got) == len(corpus)
