@@ -10,12 +10,14 @@ combine before the shuffle and a host with a third of all pages costs one row pe
 token and batch.
 
 A page is then read against its host's template. A class holds on a page if its
-tokens stand there equally often and in the same order in each round (ordered); the
-classes that hold, nested by the spans of their tokens, are the page's template, and
-the text between template tokens are its slots. A slot is left out if it lies under a
+tokens stand there equally often and in the same order in each round (ordered) and its
+rounds and those of each larger class that holds lie in one gap of each other (nested);
+the classes that hold are the page's template, and the text between template tokens are
+its slots. A slot is left out if it lies under a
 template or page element that names itself navigation, header, footer, advert, notice,
 form, comments or the like; a block that is itself a template token is fixed text and
-is left out too unless it lies in the article. Of the slots that remain, the article
+is left out too, also in the article, unless an article has more fixed text than other:
+then it is a text that the host has repeatedly and stays whole. Of the slots that remain, the article
 or main element is the text; without one, the deepest element that holds most of it.
 
 Defined results: null html is empty and its text too; a page whose url is null or
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -202,20 +205,38 @@ def templates(pages: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     return kept.groupBy("host").agg(F.collect_list(F.struct("token", F.xxhash64("vector").alias("class"))).alias("classes"))
 
 
+def nested(a: list[list[int]], b: list[list[int]]) -> bool:
+    """Whether the rounds (places of the tokens) of one class lie each in one gap of the other."""
+
+    def within(rounds: list[list[int]], other: list[list[int]]) -> bool:
+        places = [p for r in other for p in r]
+        return all(bisect_left(places, r[0]) == bisect_left(places, r[-1]) for r in rounds)
+
+    return within(a, b) or within(b, a)
+
+
 def holding(sequence: list[int], classes: dict[int, int]) -> set[int]:
-    """Template tokens of the classes that hold on this page: equally often, and in one order."""
+    """Template tokens of the classes that hold on this page: equally often, in one order, and nested."""
     by_class: dict[int, list[int]] = defaultdict(list)
-    for t in sequence:
+    places: dict[int, list[int]] = defaultdict(list)
+    for at, t in enumerate(sequence):
         if (c := classes.get(t)) is not None:
             by_class[c].append(t)
+            places[c].append(at)
     members: dict[int, set[int]] = defaultdict(set)
     for t, c in classes.items():
         members[c].add(t)
     held: set[int] = set()
-    for c, tokens in by_class.items():
+    spans: list[list[list[int]]] = []
+    for c, tokens in sorted(by_class.items(), key=lambda x: (-len(members[x[0]]), places[x[0]][0])):
         n = len(members[c])
         first = tokens[:n]
         if set(first) == members[c] and tokens == first * (len(tokens) // n):
+            rounds = [places[c][k : k + n] for k in range(0, len(tokens), n)]
+            if n > 1:
+                if not all(nested(rounds, other) for other in spans):
+                    continue
+                spans.append(rounds)
             held |= members[c]
     return held
 
@@ -223,15 +244,21 @@ def holding(sequence: list[int], classes: dict[int, int]) -> set[int]:
 def main_text(page: str, classes: dict[int, int]) -> str:
     blocks, sequence = parse(page)
     fixed = holding(sequence, classes) if classes else set()
-    slots = [b for b in blocks if not b.out and (b.article or b.token not in fixed)]
+    # Fixed and other text of each article.
+    size: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for b in blocks:
+        if not b.out:
+            size[b.article][b.token not in fixed] += len(b.text)
+    repeated = {a for a, (same, other) in size.items() if a and same > other}
+    slots = [b for b in blocks if not b.out and (b.token not in fixed or b.article in repeated)]
     in_article = [b for b in slots if b.article]
     if in_article:
-        size: dict[int, int] = defaultdict(int)
+        letters: dict[int, int] = defaultdict(int)
         for b in in_article:
-            size[b.article] += len(b.text)
+            letters[b.article] += len(b.text)
         # Teaser articles beside the article proper are a fraction of it.
-        most = max(size.values())
-        slots = [b for b in in_article if size[b.article] * 3 >= most]
+        most = max(letters.values())
+        slots = [b for b in in_article if letters[b.article] * 3 >= most]
     elif slots:
         total, best = sum(len(b.text) for b in slots), ""
         while True:

@@ -156,6 +156,16 @@ def test_extraction_by_template(spark):
     assert html_extract.holding([1, 2, 1, 2, 3], {1: 7, 2: 7, 3: 8, 4: 8}) == {1, 2}
 
 
+def test_template_inside_articles(spark):
+    rows = [(i, f"http://n.example.com/{i}", PAGE.format(h="n", i=i, body=f'<article><h1>title {i}</h1><p>story {i} {"word " * 9}</p><div class="box">Read it in our app</div><p>end of {i}</p></article>')) for i in range(8)]
+    rows += [(20 + i, f"http://c.example.com/{i}", PAGE.format(h="c", i=i, body="<article><p>the same text on each page</p></article>")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"title {i}\nstory {i} {'word ' * 9}".strip() + f"\nend of {i}" for i in range(8)} | {20 + i: "the same text on each page" for i in range(4)}
+    # A class whose round crosses that of a larger one does not hold.
+    assert html_extract.holding([1, 4, 2, 5, 3], {1: 7, 2: 7, 3: 7, 4: 8, 5: 8}) == {1, 2, 3}
+    assert html_extract.holding([1, 4, 5, 2, 3, 1, 2, 4, 5, 3], {1: 7, 2: 7, 3: 7, 4: 8, 5: 8}) == {1, 2, 3, 4, 5}
+
+
 @pytest.mark.parametrize("long", [128, 1])
 def test_search_is_exact(spark, docs, no_docs, corpus, monkeypatch, long):
     monkeypatch.setattr(bm25, "LONG", long)  # 1: every list is read on its own
