@@ -17,8 +17,8 @@ its slots. A slot is left out if it lies under a
 template or page element that names itself navigation, header, footer, advert, notice,
 form, comments or the like; a block that is itself a template token is fixed text and
 is left out too, also in the article, unless an article has more fixed text than other:
-then it is a text that the host has repeatedly and stays whole. Of the slots that remain, the article
-or main element is the text; without one, the deepest element that holds most of it.
+then it is a text that the host has repeatedly and stays whole. Of the slots that remain, those in
+article and main elements are the text; without such an element, all of them.
 
 Defined results: null html is empty and its text too; a page whose url is null or
 unreadable belongs to the host ""; a host with fewer than ``support`` pages
@@ -252,28 +252,7 @@ def main_text(page: str, classes: dict[int, int]) -> str:
     repeated = {a for a, (same, other) in size.items() if a and same > other}
     slots = [b for b in blocks if not b.out and (b.token not in fixed or b.article in repeated)]
     in_article = [b for b in slots if b.article]
-    if in_article:
-        letters: dict[int, int] = defaultdict(int)
-        for b in in_article:
-            letters[b.article] += len(b.text)
-        # Teaser articles beside the article proper are a fraction of it.
-        most = max(letters.values())
-        slots = [b for b in in_article if letters[b.article] * 3 >= most]
-    elif slots:
-        total, best = sum(len(b.text) for b in slots), ""
-        while True:
-            under: dict[str, int] = defaultdict(int)
-            for b in slots:
-                if b.path.startswith(best + "/"):
-                    step = b.path[len(best) + 1 :].split("/", 1)
-                    if len(step) > 1:  # an element that holds the block's element
-                        under[f"{best}/{step[0]}"] += len(b.text)
-            top = max(under, key=under.get, default=None)
-            if top is None or under[top] < 0.6 * total:
-                break
-            best = top
-        slots = [b for b in slots if b.path == best or b.path.startswith(best + "/")]
-    return "\n".join(b.text for b in slots)
+    return "\n".join(b.text for b in in_article or slots)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], known: dict[str, list] | None) -> Iterator[pa.RecordBatch]:

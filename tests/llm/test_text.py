@@ -141,6 +141,13 @@ def test_extraction_of_one_page():
     assert html_extract.main_text("plain &lt;text&gt;", {}) == "plain <text>"
 
 
+def test_extraction_keeps_all_slots():
+    page = lambda body: html_extract.main_text(PAGE.format(h="h", i=1, body=body), {})
+    assert page(f"<div><h1>Title</h1><p>Intro</p><div class=body><p>{'word ' * 50}</p><p>last</p></div></div>") == f"Title\nIntro\n{('word ' * 50).strip()}\nlast"
+    assert page(f"<section><p>{'a' * 65}</p></section><section><p>{'b' * 35}</p></section>") == f"{'a' * 65}\n{'b' * 35}"
+    assert page(f"<article><p>{'a' * 90}</p></article><article><p>{'b' * 10}</p></article>") == f"{'a' * 90}\n{'b' * 10}"
+
+
 def test_extraction_by_template(spark):
     rows = []
     for i in range(12):
