@@ -10,7 +10,13 @@ stay below 256, a date is a date).
 Formats: e-mail addresses (the registrable domain stays), telephone numbers (digits
 only; the spelling and the country code stay), payment card numbers of 13 to 19 digits
 that pass the Luhn test (as their pseudonyms do; other digits stay), IBANs, US social security numbers, IPv4 addresses, dates (ISO,
-day.month.year and day/month/year) and long hexadecimal secrets.
+day.month.year, day/month/year, and month/day/year where that is no day/month/year) and
+long hexadecimal secrets.
+
+A match that swallowed a group behind its value is read again as a shorter one that ends at
+a group: an IBAN by its country's length, a telephone number by the length of its country's
+numbers where that is known. What passes no test is tried as the formats that come later,
+and then searched from its second character on.
 
 Defined results: a null text stays null with no findings; ids, ties and repeated rows
 do not matter, since a row's result depends on its text alone; other columns stay as
@@ -36,17 +42,29 @@ ROUNDS = 8
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 ALPHABET = {ch: a for a in CLASSES for ch in a}
 
-FIND = re.compile(
-    r"(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
-    r"|(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
-    r"|(?<![\w.-])(?P<date>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4})(?![\w-])"
-    r"|(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])"
-    r"|(?<!\w)(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30})(?!\w)"
-    r"|(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-])"
-    r"|(?<![\w.-])(?P<card>\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"
-    r"|(?<!\w)(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)"
+PATTERNS = (
+    r"(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})",
+    r"(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)",
+    r"(?<![\w.-])(?P<date>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4})(?![\w-])",
+    r"(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])",
+    r"(?<!\w)(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30})(?!\w)",
+    r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-])",
+    r"(?<![\w.-])(?P<card>\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
+    r"(?<!\w)(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)",
 )
+FIND = re.compile("|".join(PATTERNS))
+ONE = {kind: re.compile(next(x for x in PATTERNS if f"<{kind}>" in x)) for kind in ("email", "ip", "date", "ssn", "iban", "phone", "card", "secret")}
 SOME = re.compile(r"[0-9@]|[a-f]{32}|[A-F]{32}")
+#: Letters and digits of an IBAN by country.
+IBAN = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+        "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+#: Least and most digits of a national number, by country code, where they are fixed.
+NATIONAL = {"1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (6, 11), "52": (10, 10), "55": (10, 11), "61": (9, 9), "65": (8, 8), "81": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "351": (9, 9), "353": (7, 9), "420": (9, 9), "421": (9, 9)}
 
 
 class Feistel:
@@ -172,13 +190,19 @@ def _date(f: Feistel, s: str, back: bool) -> str | None:
     mark = next(ch for ch in s if not ch.isdigit())
     parts = list(map(int, s.split(mark)))
     y, m, d = parts if mark == "-" else parts[::-1]
+    if american := mark == "/" and m > 12:
+        m, d = d, m
     try:
         x = datetime.date(y, m, d).toordinal() - FIRST
     except ValueError:
         return None
     if not 0 <= x < DAYS:
         return None
-    new = datetime.date.fromordinal(FIRST + f.number("date", x, DAYS, back))
+    new = datetime.date.fromordinal(FIRST + (x := f.number("date", x, DAYS, back)))
+    if american:
+        while new.day < 13:  # else it would be read as day/month
+            new = datetime.date.fromordinal(FIRST + (x := f.number("date", x, DAYS, back)))
+        return f"{new.month:02d}/{new.day:02d}/{new.year}"
     return new.isoformat() if mark == "-" else f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year}"
 
 
@@ -188,6 +212,30 @@ def _secret(f: Feistel, s: str, back: bool) -> str:
     return f"{x:0{len(s)}{'X' if upper else 'x'}}"
 
 
+def _groups(s: str) -> list[str]:
+    """s and its beginnings that end at a group, the longest first."""
+    return [s, *(s[: m.start()] for m in reversed(list(re.finditer(r"[ .-]+", s))))]
+
+
+def _ibans(s: str) -> list[str]:
+    """The readings of a match as an IBAN, best first."""
+    size, all_ = IBAN.get(s[:2]), _groups(s)
+    return all_ if size is None else [*(x for x in all_ if len(compact(x)) == size), s]
+
+
+def _phones(s: str) -> list[str]:
+    if not s.startswith("+"):
+        return [s]
+    all_, lead = _groups(s), re.match(r"\+(\d+)", s)[1]
+    code = next((lead[:n] for n in (1, 2, 3) if lead[:n] in NATIONAL), None)
+    if code is None or len(code) < len(lead) <= 3:
+        return all_
+    least, most = NATIONAL[code]
+    return [*(x for x in all_ if least <= len(compact(x)) - len(code) - ("(0)" in x) <= most), *all_]
+
+
+#: Formats whose pattern may take a group too many.
+READINGS: dict[str, Callable[[str], list[str]]] = {"iban": _ibans, "phone": _phones}
 MAKE: dict[str, Callable[[Feistel, str, bool], str | None]] = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret}
 
 
@@ -207,15 +255,28 @@ class Pseudonymizer:
     def text(self, text: str) -> tuple[str, dict[str, int]]:
         counts = dict.fromkeys(KINDS, 0)
 
-        def swap(m: re.Match) -> str:
-            kind = m.lastgroup
-            new = self.value(kind, m[0])
-            if new is None:
-                return m[0]
+        if not SOME.search(text):
+            return text, counts
+        out, at, done = [], 0, 0
+        while m := FIND.search(text, at):
+            if (found := self._first(text, m)) is None:
+                at = m.start() + 1
+                continue
+            kind, size, new = found
             counts[kind] += 1
-            return new
-
-        return (FIND.sub(swap, text) if SOME.search(text) else text), counts
+            out += (text[done : m.start()], new)
+            at = done = m.start() + size
+        return "".join((*out, text[done:])), counts
+
+    def _first(self, text: str, m: re.Match) -> tuple[str, int, str] | None:
+        """Kind, length and pseudonym of the first reading of a match that is valid."""
+        kinds = list(ONE)
+        for kind in kinds[kinds.index(m.lastgroup) :]:
+            if here := m if kind == m.lastgroup else ONE[kind].match(text, m.start()):
+                for s in READINGS[kind](here[0]) if kind in READINGS else (here[0],):
+                    if (new := self.value(kind, s)) is not None:
+                        return kind, len(s), new
+        return None
 
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:

@@ -80,6 +80,25 @@ def test_pseudonyms_permute_their_format():
     assert pii.compact(p.value("phone", "+1 (337) 555-7349")) == pii.compact(p.value("phone", "+1 337-555-7349"))
 
 
+def test_pseudonyms_end_at_their_value():
+    p = pii.Pseudonymizer(b"k")
+    iban, phone, card = "DE89 3704 0044 0532 0130 00", "+1 (337) 555-7349", "4111 1111 1111 1111"
+    for kind, value, behind in [
+        ("iban", iban, " BIC COBADEFF now"), ("iban", iban, " 2024"), ("iban", "GB82WEST12345698765432", " REF 77"),
+        ("phone", phone, " 2024"), ("phone", phone, " 20 2024"), ("phone", "+13375557349", " 2024"), ("phone", "+44 20 7946 0958", " 2024"), ("phone", "+49 30 123456", "."),
+    ]:
+        text, counts = p.text(f"see {value}{behind}")
+        assert text == f"see {p.value(kind, value)}{behind}" and sum(counts.values()) == counts[kind] == 1
+    assert p.text(f"{phone} 2024-05-06")[0] == f"{p.value('phone', phone)} {p.value('date', '2024-05-06')}"
+    assert p.text(f"{iban} {card}")[0] == f"{p.value('iban', iban)} {p.value('card', card)}"
+    assert p.text(f"AB12 {iban}")[0] == f"AB12 {p.value('iban', iban)}"
+    assert p.text("AB12" * 8)[1]["secret"] == 1
+    days = [f"{m}/{d}/2024" for m in range(10, 13) for d in range(13, 31)]
+    new = [p.value("date", x) for x in days]
+    assert None not in new and len(set(new)) == len(days) and [p.value("date", x, True) for x in new] == days
+    assert p.text("on 12/25/2024")[0] == "on " + p.value("date", "12/25/2024") != "on 12/25/2024" and p.value("date", "13/13/2024") is None
+
+
 def test_pseudonymize(spark, no_docs):
     rows = [(1, "write to jo.1@mail3.example.com or +1 (337) 555-7349, born 1990-05-06"), (2, "jo.1@mail3.example.com again"), (3, None), (4, ""), (5, "version 1.2.3, 12 apples, 10:30, 1 2 3 4 5 6 7 8 9 10 11 12 13, 4111111111111112"), (None, "at 10.20.30.40.")]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, pii_email int")
