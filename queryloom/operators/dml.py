@@ -12,14 +12,15 @@ from functools import reduce
 from itertools import accumulate
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from queryloom.errors import ExecutionError
+from queryloom.errors import CompileError, ExecutionError
 from queryloom.plans import validate
 from queryloom.plans.expressions import quoted
 from queryloom.plans.joins import Node
+from queryloom.plans.scope import Scope
 from queryloom.plans.select import Compiler
 from queryloom.sources.store import Store
 
@@ -58,6 +59,8 @@ class Writer:
                 raise ExecutionError(f"Unknown column '{c}' in '{name}'")
         new = new.select(*((self._convert(F.col(quoted(f.name)), f, new.schema[f.name].dataType) if f.name in given else self._default(info, f)).alias(f.name) for f in schema.fields))
         first, changes = None, {}
+        # The order in which rows came; files that are read again have none.
+        new = new.withColumn("_at", F.monotonically_increasing_id())
         if info["auto"]:
             new, first, after = self._number(new, info)
             changes["next"] = after
@@ -66,7 +69,7 @@ class Writer:
             return self._upsert(q, name, info, schema, new, keys, first, changes)
         if q.get("ignore"):
             new = self._without_known(new, name, keys)
-        path = self.store.write(new)  # written once; checks read what was written
+        path = self.store.write(new.drop("_at"))  # written once; checks read what was written
         new = self.spark.read.schema(self.store.schema(name)).parquet(path)
         self._required(new, info)
         if not q.get("ignore"):
@@ -101,20 +104,16 @@ class Writer:
     def _number(self, new: DataFrame, info: dict) -> tuple[DataFrame, int | None, int]:
         """Numbers for nulls in the auto-increment column: places in a partition after prefix sums of counts."""
         auto, start = info["auto"], int(info["next"])
-        # The order of the rows is fixed before they are written, since files are read in any order.
         names = new.columns
-        path = self.store.write(new.withColumn("_at", F.monotonically_increasing_id()))
-        marked = self.spark.read.parquet(path)
+        marked = self.spark.read.schema(new.schema).parquet(self.store.write(new))
         marked = marked.withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_open", F.col(quoted(auto)).isNull().cast("long"))
-        new = marked.select(*map(quoted, names))
         counts = sorted((r[0], r[1]) for r in marked.groupBy("_part").agg(F.sum("_open")).collect())
-        offsets = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0)))
-        place = F.sum("_open").over(Window.partitionBy("_part").orderBy("_at"))
-        base = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)) if offsets else None
         total = sum(n for _, n in counts)
-        if base is not None and total:
-            number = F.lit(start - 1) + base[F.col("_part")] + place
-            new = marked.withColumn(auto, F.coalesce(F.col(quoted(auto)), number.cast(new.schema[auto].dataType))).select(*map(quoted, names))
+        new = marked.select(*map(quoted, names))
+        if total:
+            before = self.spark.createDataFrame(list(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0))), "_part int, _before long")
+            number = F.lit(start - 1) + F.col("_before") + F.sum("_open").over(Window.partitionBy("_part").orderBy("_at"))
+            new = marked.join(before, "_part").withColumn(auto, F.coalesce(F.col(quoted(auto)), number.cast(new.schema[auto].dataType))).select(*map(quoted, names))
         given = new.agg(F.max(quoted(auto))).first()[0]
         return new, (start if total else None), max(start + total, int(given or 0) + 1)
 
@@ -131,60 +130,71 @@ class Writer:
             if found[c]:
                 raise ExecutionError(f"Column '{c}' cannot be null")
 
+    @staticmethod
+    def _once(df: DataFrame, keys: list[list[str]]) -> None:
+        """Refuses rows that share a key; null in one of its columns makes a row unlike any other."""
+        for key in keys:
+            some = reduce(lambda a, b: a & b, (F.col(quoted(c)).isNotNull() for c in key))
+            if not df.where(some).groupBy(*map(quoted, key)).count().where("count > 1").isEmpty():
+                raise ExecutionError(f"Duplicate entry for key ({', '.join(key)})")
+
     def _unique(self, new: DataFrame, name: str, keys: list[list[str]]) -> None:
+        self._once(new, keys)
         old = self.store.find(name)
         for key in keys:
-            some = reduce(lambda a, b: a & b, (F.col(quoted(c)).isNotNull() for c in key))
-            mine = new.where(some).select(*map(quoted, key))
-            if not mine.groupBy(*key).count().where("count > 1").isEmpty() or not mine.join(old.select(*map(quoted, key)), key, "left_semi").isEmpty():
+            if not new.select(*map(quoted, key)).join(old.select(*map(quoted, key)), key, "left_semi").isEmpty():
                 raise ExecutionError(f"Duplicate entry for key ({', '.join(key)})")
 
     def _without_known(self, new: DataFrame, name: str, keys: list[list[str]]) -> DataFrame:
-        """INSERT IGNORE: of new rows with one key the first stays, and none whose key is there."""
+        """INSERT IGNORE: none whose key is there, and of new rows with one key the first."""
         old = self.store.find(name)
-        new = new.withColumn("_n", F.monotonically_increasing_id())
+        for key in keys:
+            new = new.join(old.select(*map(quoted, key)), key, "left_anti")
         for key in keys:
             some = reduce(lambda a, b: a & b, (F.col(quoted(c)).isNotNull() for c in key))
-            first = F.row_number().over(Window.partitionBy(*map(quoted, key)).orderBy("_n"))
+            first = F.row_number().over(Window.partitionBy(*map(quoted, key)).orderBy("_at"))
             new = new.withColumn("_r", F.when(some, first).otherwise(1)).where("_r = 1").drop("_r")
-            new = new.join(old.select(*map(quoted, key)), key, "left_anti")
-        return new.select(*old.columns)
+        return new.select(*map(quoted, old.columns))
 
     def _upsert(self, q: dict, name: str, info: dict, schema: T.StructType, new: DataFrame, keys: list[list[str]], first: int | None, changes: dict) -> Written:
-        """Rows whose key is there (or earlier among the new ones) change the row that has it."""
+        """Rows one of whose keys is there (or earlier among the new ones) change the row that has it.
+
+        New rows that meet in one row are folded into it in the order they came.
+        """
         if not keys:
             raise ExecutionError("on_duplicate needs a primary or unique key")
-        key = keys[0]
-        names = schema.fieldNames()
-        # Of new rows with one key the last one decides, as if they came one by one.
-        path = self.store.write(new.withColumn("_n", F.monotonically_increasing_id()))
-        new = self.spark.read.parquet(path)
-        some = reduce(lambda a, b: a & b, (F.col(quoted(c)).isNotNull() for c in key))
-        w = Window.partitionBy(*map(quoted, key))
-        new = new.withColumn("_last", F.when(some, F.row_number().over(w.orderBy(F.col("_n").desc()))).otherwise(1))
-        new = new.where("_last = 1").select(F.struct(*map(quoted, names)).alias("_row"), *(F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(key)))
-        old = self.store.find(name).alias(name)
-        on = reduce(lambda a, b: a & b, (F.col(quoted(name, c)) == F.col(f"_k{i}") for i, c in enumerate(key)))
-        both = old.withColumn("_there", F.lit(True)).alias(name).join(new, on, "full_outer")
-        _, scope = self.compiler.joined(Node(name, name), [], frame=self.store.find(name))
-        build = self.compiler.builder(scope)
+        names, old = schema.fieldNames(), self._rows(name)
+        known = schema.fieldNames()
+        for c in q["on_duplicate"]:
+            if c not in known:
+                raise ExecutionError(f"Unknown column '{c}' in '{name}'")
+        new = new.select("_at", F.struct(*map(quoted, names)).alias("_row"))
+        for i, key in enumerate(keys):
+            there = old.select(*(F.col(quoted(c)).alias(f"_k{j}") for j, c in enumerate(key)), F.struct(*ROW).alias(f"_hit{i}"))
+            on = reduce(lambda a, b: a & b, (F.col("_row")[c] == F.col(f"_k{j}") for j, c in enumerate(key)))
+            new = new.join(there, on, "left").drop(*(f"_k{j}" for j in range(len(key))))
+        target, mine = F.coalesce(*(F.col(f"_hit{i}") for i in range(len(keys)))), [F.col("_row")[c] for c in keys[0]]
+        whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in mine))
+        group = F.when(target.isNotNull(), F.to_json(target)).when(whole, F.to_json(F.struct(*(c.alias(f"k{j}") for j, c in enumerate(mine))))).otherwise(F.col("_at").cast("string"))
+        met = new.select(group.alias("_group"), target.alias("_target"), "_at", "_row").groupBy("_group").agg(F.first("_target").alias("_target"), F.array_sort(F.collect_list(F.struct("_at", "_row"))).alias("_rows"))
+        both = old.select(F.struct(*ROW).alias("_id"), F.struct(*map(quoted, names)).alias("_old")).join(met, F.col("_id") == F.col("_target"), "full_outer")
+        values = {c: _given(v) for c, v in q["on_duplicate"].items()}
 
-        def changed(column: str) -> Column:
-            value = q["on_duplicate"].get(column)
-            if column not in q["on_duplicate"]:
-                return F.col(quoted(name, column))
-            if isinstance(value, dict) and value.get("type") == "fn" and str(value.get("function", "")).upper() == "VALUES":
-                return F.col("_row")[value["params"][0]["field"] if isinstance(value["params"][0], dict) else value["params"][0]]
-            return build.build(value).cast(schema[column].dataType)
+        def change(row: Column, entry: Column) -> Column:
+            build = self.compiler.builder(_InRow(Node(name, name), schema, row, entry["_row"]))
+            return F.struct(*((build.build(values[c]) if c in values else row[c]).cast(schema[c].dataType).alias(c) for c in names))
 
-        is_old, is_new = F.col(quoted(name, "_there")).isNotNull(), F.col("_row").isNotNull()
-        out = both.select(*(F.when(is_old & is_new, changed(c)).when(is_old, F.col(quoted(name, c))).otherwise(F.col("_row")[c]).cast(schema[c].dataType).alias(c) for c in names), F.when(is_old & is_new, 2).when(is_new, 1).otherwise(0).alias("_w"))
-        path = self.store.write(out)
+        is_old, is_new, n = F.col("_old").isNotNull(), F.col("_rows").isNotNull(), F.size("_rows")
+        start = F.coalesce(F.col("_old"), F.col("_rows")[0]["_row"])
+        todo = F.when(is_old, F.col("_rows")).otherwise(F.slice("_rows", F.lit(2), n))
+        out = both.select(F.when(is_new, F.aggregate(todo, start, change)).otherwise(F.col("_old")).alias("_out"), F.when(~is_new, 0).when(is_old, 2 * n).otherwise(2 * n - 1).alias("_w"))
+        path = self.store.write(out.select("_out.*", "_w"))
         done = self.spark.read.parquet(path)
-        n = done.agg(F.sum("_w")).first()[0] or 0
+        written = done.agg(F.sum("_w")).first()[0] or 0
         self._required(done.drop("_w"), info)
+        self._once(done, keys)
         self.store.replace(name, path, **changes)
-        return Written(int(n), first)
+        return Written(int(written), first)
 
     # Update and delete.
 
@@ -219,11 +229,7 @@ class Writer:
         n = done.where("_hit").count()
         if any(c in q["set"] for c in {*info["not_null"], *info["primary_key"]}):
             self._required(done, info)
-        for key in self._keys(info):
-            if set(key) & set(q["set"]):
-                some = reduce(lambda a, b: a & b, (F.col(quoted(c)).isNotNull() for c in key))
-                if not done.where(some).groupBy(*map(quoted, key)).count().where("count > 1").isEmpty():
-                    raise ExecutionError(f"Duplicate entry for key ({', '.join(key)})")
+        self._once(done, [key for key in self._keys(info) if set(key) & set(q["set"])])
         self.store.replace(name, path)
         return Written(n)
 
@@ -234,22 +240,52 @@ class Writer:
         df, scope = self.compiler.joined(Node(name, name), [q["where"], *(e for e, _ in orders)], frame=self._rows(name))
         build = self.compiler.builder(scope)
         hit = F.coalesce(build.predicate(q["where"]), F.lit(False))
-        before = self.store.find(name).count()
         if q.get("limit") is None and len(scope.schemas) == 1:
-            kept = df.where(~hit).select(*(F.col(quoted(name, c)).alias(c) for c in self.store.schema(name).fieldNames()))
-        else:
-            gone = df.where(hit)
-            gone = gone.orderBy(*(build.ordered(e, d) for e, d in orders), *(F.col(quoted(name, r)) for r in ROW))
-            gone = gone.select(*(F.col(quoted(name, r)) for r in ROW))
-            gone = gone.limit(int(q["limit"])) if q.get("limit") is not None else gone.distinct()
-            kept = self._rows(name).join(gone, ROW, "left_anti").drop(*ROW)
-        path = self.store.write(kept)
+            seen = Observation()
+            kept = df.observe(seen, F.count_if(hit).alias("n")).where(~hit).select(*(F.col(quoted(name, c)).alias(c) for c in self.store.schema(name).fieldNames()))
+            self.store.replace(name, self.store.write(kept))
+            return Written(int(seen.get["n"]))
+        gone = df.where(hit)
+        gone = gone.orderBy(*(build.ordered(e, d) for e, d in orders), *(F.col(quoted(name, r)) for r in ROW))
+        gone = gone.select(*(F.col(quoted(name, r)) for r in ROW))
+        gone = gone.limit(int(q["limit"])) if q.get("limit") is not None else gone.distinct()
+        before = self.store.find(name).count()  # counts come from the files' footers
+        path = self.store.write(self._rows(name).join(gone, ROW, "left_anti").drop(*ROW))
         after = self.spark.read.parquet(path).count()
         self.store.replace(name, path)
         return Written(before - after)
 
 
-def _no_fields() -> Any:
-    from queryloom.plans.scope import Scope
-
+def _no_fields() -> Scope:
     return Scope(Node("", ""))
+
+
+GIVEN = "values()"
+
+
+def _given(e: Any) -> Any:
+    """An element in which VALUES(field) is a field of the row that was to be inserted."""
+    if isinstance(e, list):
+        return [_given(x) for x in e]
+    if not isinstance(e, dict):
+        return e
+    if e.get("type") == "fn" and str(e.get("function", "")).upper() == "VALUES":
+        p = e["params"][0]
+        return {"type": "fld", "table": GIVEN, "field": p["field"] if isinstance(p, dict) else p}
+    return {k: _given(v) for k, v in e.items()}
+
+
+class _InRow(Scope):
+    """Fields of a row that is there, and of the one that was to be inserted."""
+
+    def __init__(self, base: Node, schema: T.StructType, row: Column, given: Column) -> None:
+        super().__init__(base)
+        self.row, self.given = row, given
+        self.nodes[GIVEN] = Node(GIVEN, GIVEN)
+        self.schemas = {base.alias: schema, GIVEN: schema}
+
+    def column(self, f: dict) -> Column:
+        alias, name = self.locate(f)
+        if name not in self.schemas[self.base.alias].fieldNames():
+            raise CompileError(f"Unknown column '{name}'")
+        return (self.given if alias == GIVEN else self.row)[name]
