@@ -19,6 +19,7 @@ from queryloom.functions.types import column_type
 from queryloom.materialize import manifest as manifests
 from queryloom.materialize.manifest import Manifest
 from queryloom.materialize.registry import Registry
+from queryloom.operators.dml import Writer
 from queryloom.plans.expressions import quoted
 from queryloom.service import QueryService
 
@@ -75,16 +76,21 @@ class Materializer:
         physical = manifests.physical_name(m, generation, secrets.token_hex(2))
         run = self.registry.start({"manifest_id": m.id, "schema_name": m.target_schema, "logical_table": m.logical_table, "physical_table": physical, "generation": generation, "mode": "full"})
         try:
-            n = self._write(m, physical)
+            with self.store.transaction():
+                n = self._write(m, physical)
             self.registry.publish({"schema_name": m.target_schema, "logical_table": m.logical_table, "physical_table": physical, "generation": generation, "schema_hash": _digest(m.columns), "query_hash": _digest(m.query), "row_count": n, "meta": {"manifest": m.id}})
         except Exception as e:  # whatever a query can raise becomes the run's message
             if physical in self.store.names():
-                self.store.drop(physical)
+                self.store.discard(physical)
             self.registry.finish(run, False, str(e)[:2000])
             return Outcome(False, str(e), None, physical, generation)
-        self.retire(m)
-        self.registry.finish(run, True, None, n)
-        return Outcome(True, f"{n} rows", n, physical, generation)
+        note = None
+        try:
+            self.retire(m)
+        except Exception as e:  # the new generation is published; the next build retires what is left
+            note = f"Old generations were not retired: {e}"[:2000]
+        self.registry.finish(run, True, note, n)
+        return Outcome(True, f"{n} rows" if note is None else f"{n} rows. {note}", n, physical, generation)
 
     def _write(self, m: Manifest, physical: str) -> int:
         df = self._frame(m)
@@ -93,12 +99,18 @@ class Materializer:
         df = df.toDF(*(f"_c{i}" for i in range(len(m.columns))))
         schema = T.StructType([T.StructField(c["name"], spark_type(c), True, {"type": str(c.get("type", "string"))}) for c in m.columns])
         df = df.select(*(F.col(f"_c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)))
+        auto = next((c["name"] for c in m.columns if c.get("autoIncrement") or c.get("auto_increment")), None)
+        defaults = {c["name"]: c["default"] for c in m.columns if c.get("default") is not None}
         indexes = index_names(m)
         plain = [x["columns"] for x in indexes.values() if not x["unique"]]
         if plain:  # sorted files carry narrow ranges, which is what an index is for here
             df = df.sortWithinPartitions(*map(quoted, plain[0]))
         key = [c["name"] for c in m.columns if c.get("primaryKey") or c.get("primary_key")]
         required = [c["name"] for c in m.columns if c.get("nullable") is False or c.get("required")]
+        after = 1
+        if auto is not None:
+            numbered, _, after = Writer(self.service.compiler, self.store)._number(df.withColumn("_at", F.monotonically_increasing_id()), {"auto": auto, "next": 1})
+            df = numbered.drop("_at")
         path = self.store.write(df)
         done = self.store.spark.read.schema(schema).parquet(path)
         checks = [F.count(F.lit(1)).alias("_n"), *(F.count(F.when(F.col(quoted(c)).isNull(), 1)).alias(c) for c in {*required, *key})]
@@ -109,7 +121,7 @@ class Materializer:
         for columns in [x for x in (key, *(x["columns"] for x in indexes.values() if x["unique"])) if x]:
             if not done.groupBy(*map(quoted, columns)).count().where("count > 1").isEmpty():
                 raise ValueError(f"Duplicate entry for key ({', '.join(columns)})")
-        self.store.create(physical, schema, primary_key=key, not_null=required, unique={n: x["columns"] for n, x in indexes.items() if x["unique"]}, indexes={n: x["columns"] for n, x in indexes.items() if not x["unique"]}, paths=[path])
+        self.store.create(physical, schema, primary_key=key, not_null=required, unique={n: x["columns"] for n, x in indexes.items() if x["unique"]}, indexes={n: x["columns"] for n, x in indexes.items() if not x["unique"]}, defaults=defaults, auto=auto, next=after, paths=[path])
         return int(found["_n"])
 
     def _frame(self, m: Manifest) -> DataFrame:
@@ -140,14 +152,14 @@ class Materializer:
         return self.store.spark.sql(re.sub("\0(t\\d+)\0", r"{\1}", marked), **frames)
 
     def retire(self, m: Manifest) -> list[str]:
-        """Drops all but the newest generations, never the current one."""
+        """Drops all but the newest generations and deletes their files, never the current one."""
         pattern = manifests.generation_pattern(m)
         names = sorted((n for n in self.store.names() if pattern.fullmatch(n)), reverse=True)
         current = self.registry.current(m.logical_table, m.target_schema)
         keep = set(names[: m.keep]) | ({current["physical_table"]} if current else set())
         gone = [n for n in names if n not in keep]
         for n in gone:
-            self.store.drop(n)
+            self.store.discard(n)
         return gone
 
 

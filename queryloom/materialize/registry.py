@@ -10,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from queryloom.sources.files import Document
+from queryloom.sources.files import Conflict, Document
 
 GENERATION = ("id", "schema_name", "logical_table", "physical_table", "generation", "schema_hash", "query_hash", "row_count", "status", "is_current", "published_at", "created_at", "meta")
 RUN = ("id", "manifest_id", "schema_name", "logical_table", "physical_table", "generation", "mode", "status", "message", "row_count", "started_at", "finished_at", "meta")
@@ -23,15 +23,23 @@ class Registry:
         self.file, self.now, self._lock = Document(path, spark), now, threading.Lock()
 
     def _load(self) -> dict[str, Any]:
-        text = self.file.read()
+        return self._state(self.file.read())
+
+    @staticmethod
+    def _state(text: str | None) -> dict[str, Any]:
         return json.loads(text) if text else {"generations": [], "runs": [], "next": 1}
 
     def _change(self, f: Callable[[dict[str, Any]], Any]) -> Any:
         with self._lock:
-            state = self._load()
-            out = f(state)
-            self.file.replace(json.dumps(state))
-            return out
+            while True:
+                version, text = self.file.load()
+                state = self._state(text)
+                out = f(state)
+                try:
+                    self.file.commit(json.dumps(state), version)
+                    return out
+                except Conflict:  # another writer was first: do it again on top of that
+                    continue
 
     @staticmethod
     def _id(state: dict[str, Any]) -> int:

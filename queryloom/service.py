@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,9 +19,11 @@ from queryloom.plans import validate
 from queryloom.plans.select import Compiled, Compiler
 from queryloom.sources import catalog as catalogues
 from queryloom.sources.catalog import Provider, TableMeta
+from queryloom.sources.files import Conflict
 from queryloom.sources.store import Store
 from queryloom.sources.tables import Sources
 
+TRIES = 8
 ERROR_MARK = "\n\n❌ DB Error: "
 
 
@@ -115,12 +117,21 @@ class QueryService:
         w = Writer(self.compiler, self.store)
         kind = q["type"]
         run = {"insert": w.insert, "update": w.update, "delete": w.delete}.get(kind) or (lambda x: getattr(ddl, kind)(w, x))
-        with self.store.transaction():
-            done: Written = run(q)
+        done: Written = self._committed(lambda: run(q))
         if done.insert_id is not None:
             last_insert_id.set(done.insert_id)
         return QueryResult(debug=debug, affected_rows=done.affected_rows, insert_id=done.insert_id)
 
+    def _committed(self, work: Callable[[], Any]) -> Any:
+        """Work in a transaction, again if another writer was faster (unless a transaction around it decides)."""
+        for attempt in range(TRIES):
+            try:
+                with self.store.transaction():
+                    return work()
+            except Conflict:
+                if attempt == TRIES - 1 or self.store.open:
+                    raise
+
     def _transaction(self, q: dict, debug: str) -> QueryResult:
         """All statements or none; reads inside see what was written before them."""
         parts = q.get("queries")
@@ -131,12 +142,15 @@ class QueryService:
                 raise ValidationError("Each query of a transaction must have a 'type'.")
         if self.store is None:
             raise ExecutionError("This service has no store to write to.")
-        affected, insert_id, last = 0, None, QueryResult(debug=debug)
-        with self.store.transaction():
+
+        def work() -> QueryResult:
+            affected, insert_id, last = 0, None, QueryResult(debug=debug)
             for p in parts:
                 last = self.execute(p)
                 if last.error is not None:
                     raise ExecutionError(last.error)
                 affected += last.affected_rows or 0
                 insert_id = last.insert_id if last.insert_id is not None else insert_id
-        return QueryResult(last.columns, last.df, debug, last.sensitive, affected, insert_id)
+            return QueryResult(last.columns, last.df, debug, last.sensitive, affected, insert_id)
+
+        return self._committed(work)
