@@ -15,8 +15,9 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as Classic
 
 from queryloom.errors import CompileError
 from queryloom.functions import types
@@ -135,9 +136,46 @@ def _cast(c: Call) -> Column:
 
 
 def _week(c: Call) -> Column:
-    if len(c.raw) != 2 or c.raw[1] != 3:
-        raise CompileError("WEEK is supported in mode 3 only.")
-    return F.weekofyear(c.cols[0])
+    """Week of the year in the modes 0 to 7.
+
+    A mode says on which day weeks start, whether the first week of a year is the one with
+    four days in it or the first that starts in it, and whether days of no week of their
+    own year are in week 0 or in the other year's last.
+    """
+    c.count(1, 2, "WEEK expects 1 or 2 parameters.")
+    mode = c.raw[1] if len(c.raw) == 2 else 0
+    if not isinstance(mode, int) or not 0 <= mode <= 7:
+        raise CompileError("WEEK needs a mode from 0 to 7.")
+    monday, four_days, own_year = mode % 2 == 1, mode in (1, 3, 4, 6), mode not in (2, 3, 6, 7)
+    day = c.cols[0].cast("date")
+    start = F.date_sub(day, F.weekday(day) if monday else F.dayofweek(day) - 1)
+    decides = F.date_add(start, 3) if four_days else start
+    number = F.floor((F.dayofyear(decides) - 1) / 7).cast("int") + 1
+    if not own_year:
+        return number
+    before = F.floor((F.dayofyear(F.date_sub(decides, 7)) - 1) / 7).cast("int") + 2
+    return F.when(F.year(decides) < F.year(day), 0).when(F.year(decides) > F.year(day), before).otherwise(number)
+
+
+def _json_array(c: Call) -> Column:
+    return F.concat(F.lit("["), F.concat_ws(",", *(F.regexp_replace(F.to_json(F.array(x), {"ignoreNullFields": "false"}), r"^\[(.*)\]$", "$1") for x in c.cols)), F.lit("]"))
+
+
+def _json_contains(c: Call) -> Column:
+    """A value is in an array that holds it, an array in one that holds all its values, an object in one that has all its members."""
+    c.count(2, 2, "JSON_CONTAINS expects 2 parameters.")
+    target, inner = F.try_parse_json(c.cols[0].cast("string")), F.try_parse_json(c.cols[1].cast("string"))
+    of = lambda x, kind: F.try_variant_get(x, "$", kind)
+    texts = lambda x: F.transform(of(x, "array<variant>"), lambda v: F.to_json(v))
+    members = lambda x: F.transform_values(of(x, "map<string,variant>"), lambda _, v: F.to_json(v))
+    all_there = F.forall(F.map_entries(members(inner)), lambda e: F.coalesce(F.try_element_at(members(target), e["key"]) == e["value"], F.lit(False)))
+    found = (
+        F.when(of(target, "array<variant>").isNotNull() & of(inner, "array<variant>").isNotNull(), F.size(F.array_except(texts(inner), texts(target))) == 0)
+        .when(of(target, "array<variant>").isNotNull(), F.array_contains(texts(target), F.to_json(inner)))
+        .when(of(target, "map<string,variant>").isNotNull() & of(inner, "map<string,variant>").isNotNull(), all_there)
+        .otherwise(F.to_json(target) == F.to_json(inner))
+    )
+    return F.when(target.isNotNull() & inner.isNotNull(), found.cast("int"))
 
 
 ADAPTERS: dict[str, Callable[[Call], Column]] = {
@@ -183,10 +221,10 @@ ADAPTERS: dict[str, Callable[[Call], Column]] = {
     "JSON_VALUE": lambda c: F.get_json_object(c.cols[0], c.text(1, "JSON_VALUE needs a path.")),
     "JSON_UNQUOTE": lambda c: F.regexp_replace(c.cols[0], '^"(.*)"$', "$1"),
     "JSON_OBJECT": _json_object,
-    "JSON_ARRAY": lambda c: F.to_json(F.array(*c.cols)),
+    "JSON_ARRAY": _json_array,
     "JSON_LENGTH": lambda c: F.json_array_length(c.cols[0]),
     "JSON_VALID": lambda c: F.try_parse_json(c.cols[0]).isNotNull().cast("int"),
-    "JSON_CONTAINS": lambda c: F.array_contains(F.from_json(c.cols[0], "array<string>"), F.trim(F.lit('"'), c.cols[1].cast("string"))),
+    "JSON_CONTAINS": _json_contains,
     "UUID": lambda c: F.expr("uuid()"),
     "VERSION": lambda c: F.version(),
     "DATABASE": lambda c: F.current_database(),
@@ -227,7 +265,7 @@ AGGREGATES: dict[str, Callable[[Call], Column]] = {
     "BIT_OR": _plain("bit_or"),
     "BIT_XOR": _plain("bit_xor"),
     "ANY_VALUE": _plain("any_value"),
-    "JSON_ARRAYAGG": lambda c: F.to_json(F.collect_list(c.cols[0])),
+    "JSON_ARRAYAGG": lambda c: F.to_json(F.array_sort((F.collect_set if c.distinct else F.collect_list)(c.cols[0]))),
     "JSON_OBJECTAGG": lambda c: F.to_json(F.map_from_entries(F.collect_list(F.struct(*c.cols)))),
     "APPROX_COUNT_DISTINCT": _plain("approx_count_distinct"),
     "MEDIAN": _plain("median"),
@@ -240,6 +278,17 @@ RANKING = {"ROW_NUMBER": "row_number", "RANK": "rank", "DENSE_RANK": "dense_rank
 WINDOW_VALUES = {"FIRST_VALUE": "first_value", "LAST_VALUE": "last_value"}
 
 
+#: Aggregates that see to DISTINCT themselves, or that copies don't change.
+OWN_DISTINCT = frozenset("COUNT SUM AVG MIN MAX GROUP_CONCAT ANY_VALUE BIT_AND BIT_OR COLLECT_SET APPROX_COUNT_DISTINCT JSON_ARRAYAGG JSON_OBJECTAGG".split())
+
+
+def _distinct(col: Column) -> Column:
+    """The same aggregate call over distinct values, which the Column API names for some functions only."""
+    node = col._jc.node()
+    call = node.copy(node.functionName(), node.arguments(), True, node.isUserDefinedFunction(), node.isInternal(), node.origin())
+    return Classic(SparkSession.active()._jvm.org.apache.spark.sql.Column(call))
+
+
 def is_aggregate(name: str) -> bool:
     return name.upper() in AGGREGATES
 
@@ -247,8 +296,8 @@ def is_aggregate(name: str) -> bool:
 def call(c: Call) -> Column:
     """A scalar or aggregate call."""
     if c.name in AGGREGATES:
-        if c.distinct and c.name not in ("COUNT", "SUM", "AVG", "MIN", "MAX", "GROUP_CONCAT"):
-            raise CompileError(f"DISTINCT is not supported in {c.name}.")
+        if c.distinct and c.name not in OWN_DISTINCT:
+            return _distinct(AGGREGATES[c.name](c))
         return AGGREGATES[c.name](c)
     if c.distinct:
         raise CompileError(f"DISTINCT is only meaningful in an aggregate, not in {c.name}.")

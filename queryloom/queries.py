@@ -253,6 +253,55 @@ SELECTS: dict[str, tuple[dict, str]] = {
         {"table": "part", "fields": plain("part", "p_partkey"), "where": op("NOT EXISTS", sub(table="lineitem", fields=items(one=1), where=op("AND", op("=", f("l_partkey", "lineitem"), f("p_partkey", "part")), op("=", f("l_returnflag", "lineitem"), "R"))))},
         "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')",
     ),
+    "row_value_list": (
+        {"table": "nation", "fields": plain("nation", "n_name"), "where": op("IN", [f("n_nationkey", "nation"), f("n_regionkey", "nation")], *([fn("CAST", a, "INT"), fn("CAST", b, "INT")] for a, b in ((1, 1), (2, 1), (3, 4))))},
+        "SELECT n_name FROM nation WHERE (n_nationkey, n_regionkey) IN ((1, 1), (2, 1), (3, 4))",
+    ),
+    "list_edges": (
+        {"table": "region", "fields": [*plain("region", "r_regionkey"), *items(a=op("IN", f("r_regionkey"), []), b=op("NOT IN", f("r_regionkey"), []), c=op("IN", f("r_regionkey"), [0, None]), d=op("IN", f("r_regionkey"), 1, f("r_regionkey")), e=op("IN", f("r_regionkey"), "1", "2"))]},
+        "SELECT r_regionkey, false AS a, true AS b, CASE WHEN r_regionkey = 0 THEN true END AS c, true AS d, r_regionkey IN (1, 2) AS e FROM region",
+    ),
+    "quoted_names": (
+        {"from": {"query": {"table": "region", "fields": [{"element": f("r_name", "region"), "alias": "the `name`"}, {"element": f("r_regionkey", "region"), "alias": "select"}]}}, "tablealias": "d", "fields": items(a=f("the `name`", "d"), b=f("select", "d"))},
+        "SELECT r_name AS a, r_regionkey AS b FROM region",
+    ),
+    "from_alias": ({"table": "nation", "tablealias": "n", "fields": [{"element": f("n_name", "nation")}, {"element": f("n_regionkey", "nation", "n")}], "where": op("<", f("n_nationkey", "nation"), 9)}, "SELECT n_name, n_regionkey FROM nation WHERE n_nationkey < 9"),
+    "bit_ops": ({"table": "part", "fields": [*plain("part", "p_partkey"), *items(a=op("^", f("p_size"), 5), b=op(">>", f("p_size"), 1), c=op("~", f("p_size")))]}, "SELECT p_partkey, xor(p_size, 5) AS a, p_size >> 1 AS b, ~p_size AS c FROM part"),
+    "agg_bits_json": (
+        {"table": "part", "fields": [{"element": f("p_brand", "part")}, *items(a=fn("BIT_AND", f("p_size")), b=fn("BIT_OR", f("p_size")), c=fn("JSON_ARRAYAGG", f("p_size"), distinct=True), d=fn("STDDEV_SAMP", f("p_size")), e=fn("VAR_SAMP", f("p_size")))], "group_by": [f("p_brand", "part")]},
+        "SELECT p_brand, bit_and(p_size) AS a, bit_or(p_size) AS b, '[' || string_agg(DISTINCT p_size, ',' ORDER BY p_size) || ']' AS c, stddev_samp(p_size) AS d, var_samp(p_size) AS e FROM part GROUP BY p_brand",
+    ),
+    "agg_distinct_all": (
+        {"table": "part", "fields": [{"element": f("p_brand", "part")}, *items(a=fn("ROUND", fn("STDDEV", f("p_size"), distinct=True), 6), b=fn("ROUND", fn("VARIANCE", f("p_size"), distinct=True), 6), c=fn("AVG", f("p_size"), distinct=True), d=fn("MAX", f("p_size"), distinct=True), e=fn("BIT_XOR", f("p_size"), distinct=True))], "group_by": [f("p_brand", "part")]},
+        "SELECT p_brand, ROUND(stddev_pop(DISTINCT p_size), 6) AS a, ROUND(var_pop(DISTINCT p_size), 6) AS b, AVG(DISTINCT p_size) AS c, MAX(p_size) AS d, bit_xor(DISTINCT p_size) AS e FROM part GROUP BY p_brand",
+    ),
+    "window_frames": (
+        {"table": "orders", "fields": [*plain("orders", "o_orderkey"), *items(near={**win("SUM", f("o_orderkey"), by=[f("o_custkey")], order=[(f("o_orderkey"), "ASC")]), "over": {"partition_by": [f("o_custkey")], "order_by": [{"expression": f("o_orderkey")}], "frame": {"start": -1, "end": 1}}}, later={**win("COUNT", STAR), "over": {"partition_by": [f("o_custkey")], "order_by": [{"expression": f("o_orderkey")}], "frame": {"start": 0, "end": None}}}, second=win("NTH_VALUE", f("o_orderkey"), 2, by=[f("o_custkey")], order=[(f("o_orderkey"), "ASC")]))]},
+        "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS near, COUNT(*) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later, NTH_VALUE(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
+    ),
+    "window_unordered": ({"table": "region", "fields": items(a=win("RANK"), b=win("COUNT", STAR), c=win("DENSE_RANK", by=[f("r_regionkey")]))}, "SELECT 1 AS a, COUNT(*) OVER () AS b, 1 AS c FROM region"),
+    "offset_alone": ({"table": "nation", "fields": plain("nation", "n_name"), "order_by": by(f("n_name", "nation")), "offset": 20}, "SELECT n_name FROM nation ORDER BY n_name OFFSET 20"),
+    "union_nested": (
+        {"union": {"distinct": False, "queries": [{"type": "select", "union": {"queries": [{"type": "select", "table": "region", "fields": items(x=f("r_regionkey", "region"))}, {"type": "select", "table": "nation", "fields": items(x=f("n_regionkey", "nation"))}]}}, {"type": "select", "table": "nation", "fields": items(x=f("n_nationkey", "nation"))}]}, "order_by": by((f("x"), "DESC")), "limit": 7, "offset": 1},
+        "SELECT x FROM (SELECT r_regionkey AS x FROM region UNION ALL SELECT n_nationkey FROM nation) ORDER BY x DESC LIMIT 7 OFFSET 1",
+    ),
+    "more_string_funcs": (
+        {"table": "supplier", "fields": [*plain("supplier", "s_suppkey"), *items(a=fn("FORMAT", f("s_suppkey"), 2), b=fn("SUBSTRING_INDEX", f("s_name"), "#", 1), c=fn("FIND_IN_SET", f("s_suppkey"), "1,2,3"), d=fn("LOCATE", "#", f("s_name")), e=fn("RPAD", f("s_suppkey"), 6, "0"), g=fn("TRIM", fn("CONCAT", " ", f("s_name"), " ")), h=fn("HEX", f("s_suppkey")), i=fn("ELT", 2, "a", f("s_name")), j=fn("CHAR_LENGTH", f("s_name")), k=fn("RIGHT", f("s_name"), 3), l=fn("REPEAT", "x", 3))]},
+        "SELECT s_suppkey, printf('%,.2f', CAST(s_suppkey AS DOUBLE)) AS a, split_part(s_name, '#', 1) AS b, CASE WHEN s_suppkey <= 3 THEN s_suppkey ELSE 0 END AS c, instr(s_name, '#') AS d, rpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS e, s_name AS g, hex(s_suppkey) AS h, s_name AS i, length(s_name) AS j, right(s_name, 3) AS k, 'xxx' AS l FROM supplier",
+    ),
+    "week_modes": (
+        {"table": "orders", "fields": [*plain("orders", "o_orderkey"), *items(a=fn("WEEK", f("o_orderdate"), 3), b=fn("WEEK", f("o_orderdate"), 5), c=fn("WEEK", f("o_orderdate")), d=fn("WEEK", f("o_orderdate"), 1))]},
+        "SELECT o_orderkey, weekofyear(o_orderdate) AS a, CAST(strftime(o_orderdate, '%W') AS INTEGER) AS b, CAST(strftime(o_orderdate, '%U') AS INTEGER) AS c, CASE WHEN isoyear(o_orderdate) < year(o_orderdate) THEN 0 WHEN isoyear(o_orderdate) > year(o_orderdate) THEN weekofyear(o_orderdate - INTERVAL 7 DAY) + 1 ELSE weekofyear(o_orderdate) END AS d FROM orders",
+    ),
+    "more_date_funcs": (
+        {"table": "orders", "fields": [*plain("orders", "o_orderkey"), *items(a=fn("DATE_FORMAT", fn("STR_TO_DATE", fn("DATE_FORMAT", f("o_orderdate"), "%d.%m.%Y"), "%d.%m.%Y"), "%Y/%m/%d"), b=fn("UNIX_TIMESTAMP", f("o_orderdate")), c=fn("DATE_FORMAT", fn("DATE_SUB", f("o_orderdate"), 1, "MONTH"), "%Y-%m-%d"), d=fn("MONTHNAME", f("o_orderdate")), e=fn("TIMESTAMPDIFF", "MONTH", f("o_orderdate"), fn("CAST", "2000-01-01", "DATETIME")), g=fn("HOUR", f("o_orderdate")), h=fn("DATE_FORMAT", fn("FROM_UNIXTIME", fn("UNIX_TIMESTAMP", f("o_orderdate"))), "%Y"), i=fn("LAST_DAY", f("o_orderdate")))]},
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d') AS a, CAST(epoch(o_orderdate) AS BIGINT) AS b, strftime(o_orderdate - INTERVAL 1 MONTH, '%Y-%m-%d') AS c, monthname(o_orderdate) AS d, datesub('month', o_orderdate, TIMESTAMP '2000-01-01') AS e, hour(o_orderdate) AS g, strftime(o_orderdate, '%Y') AS h, last_day(o_orderdate) AS i FROM orders",
+    ),
+    "json_funcs": (
+        {"table": "events", "fields": [*plain("events", "event_id"), *items(a=fn("JSON_CONTAINS", '[1, "a", {"b": 2}]', '"a"'), b=fn("JSON_CONTAINS", "[1, 2, 3]", "[3, 1]"), c=fn("JSON_CONTAINS", f("props"), '{"k": 1}'), d=fn("JSON_ARRAY", f("event_id"), f("event_type"), None), e=fn("JSON_LENGTH", fn("JSON_ARRAY", 1, 2)), g=fn("JSON_OBJECT", "t", f("event_type")), h=fn("JSON_CONTAINS", "[1]", "2"))]},
+        "SELECT event_id, 1 AS a, 1 AS b, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) = 1 THEN 1 ELSE 0 END AS c, '[' || event_id || ',\"' || event_type || '\",null]' AS d, 2 AS e, '{\"t\":\"' || event_type || '\"}' AS g, 0 AS h FROM events",
+    ),
+    "array_funcs": ({"table": "part", "fields": [*plain("part", "p_partkey"), *items(a=fn("SIZE", fn("SPLIT", f("p_name"), " ")), b=fn("ELEMENT_AT", fn("SPLIT", f("p_name"), " "), 1), c=fn("ARRAY_JOIN", fn("SORT_ARRAY", fn("SPLIT", f("p_name"), " ")), "+"))]}, "SELECT p_partkey, len(string_split(p_name, ' ')) AS a, string_split(p_name, ' ')[1] AS b, array_to_string(list_sort(string_split(p_name, ' ')), '+') AS c FROM part"),
 }
 
 # Statements that write.
@@ -396,6 +445,15 @@ MATERIALIZED: dict[str, tuple[Query, str | None]] = {
 }
 
 
+def registered_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of the session is called by its name like any other."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION queryloom_twice(x INT) RETURNS INT RETURN x * 2")
+    return _select({"table": "part", "fields": [*plain("part", "p_partkey"), *items(x=fn("QUERYLOOM_TWICE", f("p_size")))]})(spark, sf_dir)
+
+
+MATERIALIZED["registered_function"] = (registered_function, "SELECT p_partkey, p_size * 2 AS x FROM part")
+
+
 # A table met twice.
 
 
@@ -443,11 +501,18 @@ def _select(document: dict) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {n: _select(d) for n, (d, _) in SELECTS.items()} | {n: q for n, (q, _) in (TWICE | WRITES | MATERIALIZED).items()}
+    from queryloom import outcomes
+
+    return {n: _select(d) for n, (d, _) in SELECTS.items()} | {n: q for n, (q, _) in (TWICE | WRITES | MATERIALIZED | outcomes.ALL).items()}
 
 
 #: Integer widths that DuckDB chooses otherwise for the same functions.
 WIDTHS = {
+    "more_string_funcs": {"c": "INTEGER", "d": "INTEGER", "j": "INTEGER"},
+    "week_modes": {"a": "INTEGER", "b": "INTEGER", "c": "INTEGER", "d": "INTEGER"},
+    "more_date_funcs": {"g": "INTEGER"},
+    "window_unordered": {"a": "INTEGER", "c": "INTEGER"},
+    "array_funcs": {"a": "INTEGER"},
     "arith_ops": {"g": "BIGINT"},
     "string_funcs": {"e": "INTEGER", "i": "INTEGER", "o": "BIGINT"},
     "date_funcs": {"y": "INTEGER", "m": "INTEGER", "d": "INTEGER", "q": "INTEGER", "days": "INTEGER"},
@@ -459,7 +524,9 @@ WIDTHS = {
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {n: s for n, (_, s) in (SELECTS | TWICE | WRITES | MATERIALIZED).items() if s}
+    from queryloom import outcomes
+
+    found = {n: s for n, (_, s) in (SELECTS | TWICE | WRITES | MATERIALIZED | outcomes.ALL).items() if s}
     for name, columns in WIDTHS.items():
         casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c, kind in columns.items())
         found[name] = f"SELECT * REPLACE ({casts}) FROM ({found[name]})"
