@@ -37,10 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, or a temporary one where nothing names any (tests)."""
+    """The shared folder: ``spark.checkpoint.dir``, or a temporary one where nothing names any and all is one machine (tests)."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("On a cluster spark.checkpoint.dir must name a shared folder.")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="queryloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -69,6 +71,28 @@ def outer_id(name: str) -> Column:
     return F.when(F.col(name) != F.lit(NULL_ID).cast("long"), F.col(name))
 
 
+#: Places of the bitmap of repeated ids; it has at most a 64th as many rows.
+ID_BITS = 1 << 23
+
+
+def row_tag(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """docs with ``_tag``, which tells rows of one id apart by their text: 0 where no other row has the id.
+
+    Which ids are repeated is kept as a bitmap of ``ID_BITS`` hashed places, so what is
+    broadcast has at most ``ID_BITS`` / 64 rows of 16 bytes, however many ids there are.
+    An id that only shares its place with a repeated one gets a tag for nothing. Rows
+    without an id always have one.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(ID_BITS))
+    twice = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").groupBy("id").count().where("count > 1")
+    at = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    bits = checkpoint(twice.select(F.floor(at / 64).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    bit = F.call_function("shiftright", F.col("_bits"), F.pmod(F.col("_place"), F.lit(64)).cast("int")).bitwiseAND(1) == 1
+    marked = docs.withColumn("_place", place).withColumn("_at", F.floor(F.col("_place") / 64)).join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
+    tag = F.when(F.col(id_col).isNull() | F.coalesce(bit, F.lit(False)), F.xxhash64(text).bitwiseOR(1)).otherwise(F.lit(0).cast("long"))
+    return marked.withColumn("_tag", tag).drop("_place", "_at", "_word", "_bits")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over 64 bits (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

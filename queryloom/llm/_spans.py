@@ -12,10 +12,15 @@ no look at their text at all.
 are settled by an equal earlier run and which meet a different run with their key
 and hence need to be compared window by window (``candidates``).
 
-Rows: ``pos`` packs 15 bits of the text's hash (it tells apart different texts filed
-under one id), 32 bits of the start, 8 bits of the anchor's offset in the run and 8
-bits of the number of windows. ``size`` is 0 for a run, else the number of symbols to
-remove from ``start``.
+Rows: ``doc`` and ``tag`` name a document (the tag tells apart different texts filed under
+one id, see ``row_tag``); ``pos`` packs 32 bits of the start, 8 bits of the anchor's
+offset in the run and 8 bits of the number of windows. ``size`` is 0 for a run, else the
+number of symbols to remove from ``start``.
+
+Hot runs. A passage that a third of all documents hold would send as many rows to one
+task. So each scanning task remembers the runs that it has met repeatedly (``Known``) with
+the first place of each, and settles later ones on the spot; a hot run leaves a task a
+few times only, whatever its number. What is forgotten there costs rows, not results.
 """
 
 from __future__ import annotations
@@ -29,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import inner_id, mix, shuffle_width
+from queryloom.llm._common import inner_id, mix, row_tag, shuffle_width
 
 #: Symbols handled at once; it must fit the low bits that hold a gram's place.
 CHUNK_BITS = 20
 CHUNK = 1 << CHUNK_BITS
 U = np.uint64
-RUN_SCHEMA = "key long, seg long, doc long, pos long, size int"
-FOUND_SCHEMA = "key long, doc long, pos long, size int"
+RUN_SCHEMA = "key long, seg long, doc long, tag long, pos long, size int"
+FOUND_SCHEMA = "key long, doc long, tag long, pos long, size int"
+#: Repeated runs that a scanning task remembers.
+KNOWN = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -79,12 +86,12 @@ class Rolling:
 KEY, SEG = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
 
 
-def pack(text_hash: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
-    return (text_hash.astype(np.int64) << 48) | (start.astype(np.int64) << 16) | (anchor << 8) | n.astype(np.int64)
+def pack(start: np.ndarray, n: np.ndarray, anchor: np.ndarray | int = 0) -> np.ndarray:
+    return (start.astype(np.int64) << 16) | (anchor << 8) | n.astype(np.int64)
 
 
 def start_of(pos: np.ndarray) -> np.ndarray:
-    return (pos >> 16) & ((1 << 32) - 1)
+    return pos >> 16
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -95,18 +102,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def text_hash16(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.astype(np.uint64) & U(0x7FFF)).astype(np.int64)
-
-
-def pieces(ids: Iterable[int], hashes: Iterable[int], symbols: Iterable[np.ndarray], width: int):
-    """Chunks of at most CHUNK symbols: (doc, hash, offset, symbols) lists.
+def pieces(ids: Iterable[int], tags: Iterable[int], symbols: Iterable[np.ndarray], width: int):
+    """Chunks of at most CHUNK symbols: (doc, tag, offset, symbols) lists.
 
     A longer document is cut with an overlap of width - 1, so each window is in one piece.
     """
     held: list[tuple[int, int, int, np.ndarray]] = []
     n = 0
-    for doc, h, s in zip(ids, hashes, symbols):
+    for doc, tag, s in zip(ids, tags, symbols):
         for at in range(0, max(1, len(s) - width + 1), CHUNK - width + 1):
             piece = s[at : at + CHUNK]
             if len(piece) < width:
@@ -114,7 +117,7 @@ def pieces(ids: Iterable[int], hashes: Iterable[int], symbols: Iterable[np.ndarr
             if n + len(piece) > CHUNK:
                 yield held
                 held, n = [], 0
-            held.append((doc, h, at, piece))
+            held.append((doc, tag, at, piece))
             n += len(piece)
     if held:
         yield held
@@ -163,60 +166,118 @@ def merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], top[last] - rank[last] * step - start[at]
 
 
-def scan_chunk(held, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Columns of RUN_SCHEMA for one chunk, equal runs in it settled on the spot."""
+class Known:
+    """Runs that a task has met repeatedly, each with its first place so far."""
+
+    def __init__(self, most: int = KNOWN) -> None:
+        self.most = most
+        self.hash, self.rows = np.zeros(0, np.uint64), np.zeros((5, 0), np.int64)  # key, seg, doc, tag, pos
+        self.age, self.now = np.zeros(0, np.int64), 0
+
+    @staticmethod
+    def of(key: np.ndarray, seg: np.ndarray) -> np.ndarray:
+        return key ^ (seg * U(0xA0761D6478BD642F))
+
+    def find(self, key: np.ndarray, seg: np.ndarray) -> np.ndarray:
+        """Places in ``rows``, -1 for what isn't known."""
+        if not len(self.hash):
+            return np.full(len(key), -1)
+        h = self.of(key, seg)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        same = (self.hash[at] == h) & (self.rows[0, at] == key.view(np.int64)) & (self.rows[1, at] == seg.view(np.int64))
+        return np.where(same, at, -1)
+
+    def add(self, fresh: np.ndarray) -> None:
+        """Rows that aren't known yet."""
+        self.hash = np.concatenate((self.hash, self.of(fresh[0].view(U), fresh[1].view(U))))
+        self.rows, self.age = np.concatenate((self.rows, fresh), 1), np.append(self.age, np.full(fresh.shape[1], self.now))
+        if len(self.hash) > self.most:  # what was met last stays
+            stays = np.argsort(-self.age, kind="stable")[: self.most // 2]
+            self.hash, self.rows, self.age = self.hash[stays], self.rows[:, stays], self.age[stays]
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.rows, self.age = self.hash[order], self.rows[:, order], self.age[order]
+
+
+def scan_chunk(held, shape: Shape, known: Known) -> tuple[np.ndarray, ...]:
+    """Columns of RUN_SCHEMA for one chunk; runs equal to an earlier one of the chunk or a known one are settled on the spot."""
     r = runs(held, shape)
     ids = np.array([x[0] for x in held], dtype=np.int64)
-    hashes = np.array([x[1] for x in held], dtype=np.int64)
+    tags = np.array([x[1] for x in held], dtype=np.int64)
     offsets = np.array([x[2] for x in held], dtype=np.int64)
     start, which = r["start"] + offsets[r["doc"]], r["doc"]
-    doc = ids[which]
-    pos = pack(hashes[which], start, r["n"], r["anchor"])
-    order = np.lexsort((pos, doc, r["seg"], r["key"]))
+    pos = pack(start, r["n"], r["anchor"])
+    order = np.lexsort((pos, tags[which], ids[which], r["seg"], r["key"]))
     key, seg = r["key"][order], r["seg"][order]
-    doc, pos, which, start, n = doc[order], pos[order], which[order], start[order], r["n"][order]
+    pos, which, start, n = pos[order], which[order], start[order], r["n"][order]
+    doc, tag = ids[which], tags[which]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    gone = ~new if shape.inside else doc > doc[lead]
-    kept = ~gone
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    lead = first[group]
+    twin = ~new & (doc == doc[lead]) & (tag == tag[lead]) & (pos == pos[lead])  # of a repeated row
+    gone = ~new & ~twin if shape.inside else doc > doc[lead]
+    # What is known of the groups; the earlier one of both is the first place from now on.
+    known.now += 1
+    at = known.find(key[first], seg[first])
+    met = np.flatnonzero(at >= 0)
+    if len(met):
+        k = at[met]
+        known.age[k] = known.now
+        d, t, p = known.rows[2:, k]
+        mine = first[met]
+        later = (doc[mine] > d) | ((doc[mine] == d) & ((tag[mine] > t) | ((tag[mine] == t) & (pos[mine] > p))))
+        before = np.full(len(first), np.iinfo(np.int64).max)
+        before[met] = d
+        if shape.inside:
+            gone[mine[later]] = True
+            gone |= twin & gone[lead]
+        else:
+            gone |= doc > before[group]
+        known.rows[2:, k[~later]] = np.stack((doc[mine], tag[mine], pos[mine]))[:, ~later]
+    often = np.flatnonzero((np.diff(np.append(first, len(key))) > 1) & (at < 0))
+    if len(often):
+        f = first[often]
+        known.add(np.stack((key[f].view(np.int64), seg[f].view(np.int64), doc[f], tag[f], pos[f])))
+    kept = ~gone & ~twin
     d, s, z = merged(which[gone], start[gone], n[gone] + shape.width - 1)
     k = len(d)
     return (
         np.concatenate((key[kept], mix(d.astype(np.uint64) + key[:1].sum()) if k else np.zeros(0, np.uint64))).view(np.int64),
         np.concatenate((seg[kept].view(np.int64), np.zeros(k, np.int64))),
         np.concatenate((doc[kept], ids[d])),
-        np.concatenate((pos[kept], pack(hashes[d], s, np.zeros(k, np.int64)))),
+        np.concatenate((tag[kept], tags[d])),
+        np.concatenate((pos[kept], pack(s, np.zeros(k, np.int64)))),
         np.concatenate((np.zeros(int(kept.sum()), np.int64), z)).astype(np.int32),
     )
 
 
 def scan(batches: Iterator[pa.RecordBatch], shape: Shape, symbolize: Callable[[list[str]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(doc, text_hash, text) to RUN_SCHEMA."""
-    names = ["key", "seg", "doc", "pos", "size"]
+    """(doc, tag, text) to RUN_SCHEMA."""
+    names, known = ["key", "seg", "doc", "tag", "pos", "size"], Known()
     for batch in batches:
         texts = ["" if x is None else x for x in batch.column(2).to_pylist()]
-        ids, hashes = batch.column(0).to_numpy(), text_hash16(batch.column(1).to_numpy())
-        for held in pieces(ids, hashes, symbolize(texts), shape.width):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in scan_chunk(held, shape)], names)
+        ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for held in pieces(ids, tags, symbolize(texts), shape.width):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in scan_chunk(held, shape, known)], names)
 
 
 def settle(batches: Iterator[pa.RecordBatch], shape: Shape, last: bool = False) -> Iterator[pa.RecordBatch]:
-    """RUN_SCHEMA sorted by key, seg, doc, pos to FOUND_SCHEMA, in constant memory.
+    """RUN_SCHEMA sorted by key, seg, doc, tag, pos to FOUND_SCHEMA, in constant memory.
 
     A run with an equal earlier one becomes a range to remove. A run whose key has
     another run too is handed on as a candidate, unless ``last`` is set: then runs
     are single windows and there is nothing left to compare.
     """
-    names = ["key", "doc", "pos", "size"]
+    names = ["key", "doc", "tag", "pos", "size"]
     empty = np.zeros(0, np.int64)
-    state = None  # key, seg, first doc of seg, whether the key has several runs
-    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # candidates of a key's only run so far
+    state = None  # key, seg, first doc, tag and pos of seg, whether the key has several runs
+    waiting: list[tuple[np.ndarray, ...]] = []  # candidates of a key's only run so far
     for batch in batches:
-        key, seg, doc, pos, size = (batch.column(i).to_numpy() for i in range(5))
+        key, seg, doc, tag, pos, size = (batch.column(i).to_numpy() for i in range(6))
         fixed = size > 0
-        out = [(key[fixed], doc[fixed], pos[fixed], size[fixed])]
-        key, seg, doc, pos = (x[~fixed] for x in (key, seg, doc, pos))
+        out = [(key[fixed], doc[fixed], tag[fixed], pos[fixed], size[fixed])]
+        key, seg, doc, tag, pos = (x[~fixed] for x in (key, seg, doc, tag, pos))
         if len(key):
             new_key, new_seg = np.ones(len(key), bool), np.ones(len(key), bool)
             new_key[1:] = key[1:] != key[:-1]
@@ -226,10 +287,11 @@ def settle(batches: Iterator[pa.RecordBatch], shape: Shape, last: bool = False)
                 new_seg[0] = new_key[0] or seg[0] != state[1]
             at = np.where(new_seg, np.arange(len(key)), -1)
             lead = np.maximum.accumulate(at)
-            first_doc = np.where(lead >= 0, doc[np.maximum(lead, 0)], state[2] if state is not None else 0)
-            gone = ~new_seg if shape.inside else doc > first_doc
+            first = [np.where(lead >= 0, x[np.maximum(lead, 0)], state[2][i] if state is not None else 0) for i, x in enumerate((doc, tag, pos))]
+            twin = ~new_seg & (doc == first[0]) & (tag == first[1]) & (pos == first[2])  # of a repeated row
+            gone = ~new_seg & ~twin if shape.inside else doc > first[0]
             sizes = (pos & 0xFF).astype(np.int64) + shape.width - 1
-            out.append((key[gone], doc[gone], pos[gone], sizes[gone]))
+            out.append((key[gone], doc[gone], tag[gone], pos[gone], sizes[gone]))
             group = np.cumsum(new_key)  # 0: goes on from the batch before
             several = np.bincount(group, weights=new_seg & ~new_key, minlength=group[-1] + 1) > 0
             if state is not None and not new_key[0]:
@@ -240,25 +302,26 @@ def settle(batches: Iterator[pa.RecordBatch], shape: Shape, last: bool = False)
             if new_key.any():  # the key that was open is complete
                 waiting = []
             if not last:
-                rest = ~gone
+                rest = ~gone & ~twin
                 now = rest & several[group]
-                out.append((key[now], doc[now], pos[now], np.zeros(int(now.sum()), np.int64)))
+                out.append((key[now], doc[now], tag[now], pos[now], np.zeros(int(now.sum()), np.int64)))
                 later = rest & ~several[group] & (group == group[-1])
                 if later.any():
-                    waiting.append((key[later], doc[later], pos[later]))
-            state = (key[-1], seg[-1], first_doc[-1], bool(several[group[-1]]))
-        columns = [np.concatenate([x[i] for x in out] or [empty]) for i in range(4)]
+                    waiting.append((key[later], doc[later], tag[later], pos[later]))
+            state = (key[-1], seg[-1], [x[-1] for x in first], bool(several[group[-1]]))
+        columns = [np.concatenate([x[i] for x in out] or [empty]) for i in range(5)]
         if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i == 3 else c.astype(np.int64)) for i, c in enumerate(columns)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if i == 4 else c.astype(np.int64)) for i, c in enumerate(columns)], names)
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> DataFrame:
-    """doc, text_hash, text as bytes; with ``row`` the row's other columns come along as a struct.
+    """doc, tag, text as bytes; with ``row`` the row's other columns come along as a struct.
 
     In that struct the text is only told from null, so it does not travel twice.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(inner_id(id_col).alias("doc"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("text_hash"), text.cast("binary").alias("text"), *([_row(docs, text_col)] if row else []))
+    text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *([_row(docs, text_col)] if row else []))
+    return row_tag(source, "_id", text).select(inner_id("_id").alias("doc"), F.col("_tag").alias("tag"), text.cast("binary").alias("text"), *(["row"] if row else []))
 
 
 def _row(docs: DataFrame, text_col: str) -> Column:
@@ -267,7 +330,7 @@ def _row(docs: DataFrame, text_col: str) -> Column:
 
 def by_key(rows: DataFrame) -> DataFrame:
     """Rows of one key side by side, earliest first; the sort spills, so a hot key is no matter of memory."""
-    return rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key", "seg", "doc", "pos")
+    return rows.repartition(shuffle_width(rows.sparkSession), "key").sortWithinPartitions("key", "seg", "doc", "tag", "pos")
 
 
 def settled(rows: DataFrame, shape: Shape, last: bool = False) -> DataFrame:
@@ -275,9 +338,9 @@ def settled(rows: DataFrame, shape: Shape, last: bool = False) -> DataFrame:
 
 
 def at_text(marks: DataFrame, prep: DataFrame, how: str) -> DataFrame:
-    """doc, text_hash, text, marks: the (pos, size) of each document, beside its text."""
-    of_doc = marks.groupBy("doc", F.shiftright("pos", 48).alias("text_hash")).agg(F.collect_list(F.struct("pos", "size")).alias("marks"))
-    return prep.join(of_doc, ["doc", "text_hash"], how)
+    """doc, tag, text, marks: the (pos, size) of each document, beside its text."""
+    of_doc = marks.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "size")).alias("marks"))
+    return prep.join(of_doc, ["doc", "tag"], how)
 
 
 def mark_arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -63,8 +63,8 @@ def edges(batches: Iterator[pa.RecordBatch], shape: S.Shape) -> Iterator[pa.Reco
         out = []
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         docs = batch.column(batch.schema.get_field_index("doc")).to_numpy()
-        hashes = batch.column(batch.schema.get_field_index("text_hash")).to_numpy()
-        for doc, h, (starts, ns), s in zip(docs, hashes, S.mark_arrays(batch), symbols(texts)):
+        tags = batch.column(batch.schema.get_field_index("tag")).to_numpy()
+        for doc, tag, (starts, ns), s in zip(docs, tags, S.mark_arrays(batch), symbols(texts)):
             # A document of any length: only the stretch around each run is hashed.
             spans = np.flatnonzero(S.covered(len(s), starts, ns))
             if not len(spans):
@@ -79,10 +79,10 @@ def edges(batches: Iterator[pa.RecordBatch], shape: S.Shape) -> Iterator[pa.Reco
                     if len(x):
                         a = mix(S.KEY.ranges(S.KEY.prefix(piece), x, x + shape.width))
                         b = mix(S.SEG.ranges(S.SEG.prefix(piece), x, x + shape.width))
-                        out.append((a, b, np.full(len(x), doc), S.pack(np.full(len(x), h), x + low + lo, np.ones(len(x), np.int64))))
+                        out.append((a, b, np.full(len(x), doc), np.full(len(x), tag), S.pack(x + low + lo, np.ones(len(x), np.int64))))
         if out:
-            a, b, doc, pos = (np.concatenate([x[i] for x in out]) for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(np.zeros(len(a), np.int32))], ["key", "seg", "doc", "pos", "size"])
+            a, b, doc, tag, pos = (np.concatenate([x[i] for x in out]) for i in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(pos), pa.array(np.zeros(len(a), np.int32))], ["key", "seg", "doc", "tag", "pos", "size"])
 
 
 def kept_text(text: bytes, gone: np.ndarray) -> bytes:
@@ -114,12 +114,12 @@ def cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBa
 
 
 def repeated_ranges(prep: DataFrame, shape: S.Shape) -> DataFrame:
-    """doc, pos, size: word ranges to remove; they may overlap."""
+    """doc, tag, pos, size: word ranges to remove; they may overlap."""
     rows = prep.mapInArrow(lambda it: S.scan(it, shape, symbolizer()), S.RUN_SCHEMA)
     found = checkpoint(S.settled(rows, shape))
     meet = S.at_text(found.where("size = 0"), prep, "inner")
     single = meet.mapInArrow(lambda it: edges(it, shape), S.RUN_SCHEMA)
-    return found.where("size > 0").select("doc", "pos", "size").unionByName(S.settled(single, shape, last=True).select("doc", "pos", "size"))
+    return found.where("size > 0").select("doc", "tag", "pos", "size").unionByName(S.settled(single, shape, last=True).select("doc", "tag", "pos", "size"))
 
 
 def _done(docs: DataFrame, shape: S.Shape, id_col: str, text_col: str, digest: bool) -> DataFrame:

@@ -42,7 +42,8 @@ WIDTH, GRAM = 100, 28
 GROUP, BATCH = 2_000, 1_500
 #: Anchor offsets to a part of a segment.
 STEP = 18
-SEGMENT = "key long, text binary, doc long, pos long"
+SEGMENT = "key long, text binary, doc long, tag long, pos long"
+Placed = tuple[bytes, int, int, int]  # text, doc, tag, pos
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -114,94 +115,90 @@ def _range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     return out
 
 
-def divide(group: list[tuple[bytes, int, int]], width: int) -> tuple[list[list[tuple[bytes, int, int]]], list[tuple[bytes, int, int]]]:
+def divide(group: list[Placed], width: int) -> tuple[list[list[Placed]], list[Placed]]:
     """Segments of one anchor to sets that may share a window, and what an equal earlier one settles.
 
     The windows of a segment are divided by the anchor's offset in them, ``STEP`` offsets
     to a part; the windows of a part have a core in common. Parts with different
     cores share no window, and equal parts need no sorting.
     """
-    by_core: dict[tuple[int, bytes], dict[bytes, tuple[int, int]]] = {}
+    by_core: dict[tuple[int, bytes], dict[bytes, tuple[int, int, int]]] = {}
     settled = []
-    for text, doc, pos in group:
+    for text, doc, tag, pos in group:
         anchor, n = pos >> 8 & 0xFF, pos & 0xFF
         for low in range((anchor - n + 1) // STEP * STEP, anchor + 1, STEP):
             i, j = max(0, anchor - low - STEP + 1), min(n - 1, anchor - low)
             core = text[anchor - low : anchor - low + width - STEP + 1]
             part = text[i : j + width]
-            new = (doc, pos + (i << 16))
+            new = (doc, tag, pos + (i << 16))
             known = by_core.setdefault((low, core), {})
             old = known.setdefault(part, new)
             if old is not new:
-                early, late = (old, new) if (old[0], old[1] >> 16) <= (new[0], new[1] >> 16) else (new, old)
+                early, late = (old, new) if (*old[:2], old[2] >> 16) <= (*new[:2], new[2] >> 16) else (new, old)
                 known[part] = early
                 settled.append((part, *late))
     return [[(t, *at) for t, at in known.items()] for known in by_core.values() if len(known) > 1], settled
 
 
-def repeated(segments: list[tuple[bytes, int, int]], width: int) -> tuple[list[int], list[int], list[int]]:
-    """doc, start, size of repeated stretches in segments (text, doc, pos), each distinct text once."""
+def repeated(segments: list[Placed], width: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """doc, tag, pos, size of repeated stretches in segments, each distinct text once."""
     ids, size, common = collection_order([s[0] for s in segments], width)
     doc = np.array([s[1] for s in segments])
-    pos = np.array([s[2] for s in segments])
+    tag = np.array([s[2] for s in segments])
+    pos = np.array([s[3] for s in segments])
     # Blocks of suffixes that share width symbols; the earliest of a block stays.
     at = np.flatnonzero((common >= width) | (np.append(common[1:], 0) >= width))
     if not len(at):
-        return [], [], []
+        return [], [], [], []
     block = np.cumsum(common[at] < width)
     who, start = ids[at], np.array([len(s[0]) for s in segments])[ids[at]] - size[at]
-    place = (pos[who] >> 16) + start  # the text's hash stands over the start
-    order = np.lexsort((place, doc[who], block))
+    order = np.lexsort(((pos[who] >> 16) + start, tag[who], doc[who], block))
     again = np.zeros(len(order), bool)
     again[1:] = block[order][1:] == block[order][:-1]
     hit = order[again]
     d, s, z = S.merged(who[hit], start[hit], np.full(len(hit), width))
-    return doc[d].tolist(), (((pos[d] >> 16) + s) << 16).tolist(), z.tolist()
+    return doc[d].tolist(), tag[d].tolist(), (((pos[d] >> 16) + s) << 16).tolist(), z.tolist()
 
 
 def suffix_stage(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """SEGMENT rows sorted by key, text, doc, pos to ranges (doc, pos, size)."""
-    held: list[tuple[bytes, int, int]] = []  # sets that are complete
-    group: list[tuple[bytes, int, int]] = []  # distinct texts of the open anchor
+    """SEGMENT rows sorted by key, text, doc, tag, pos to ranges (doc, tag, pos, size)."""
+    held: list[Placed] = []  # sets that are complete
+    group: list[Placed] = []  # distinct texts of the open anchor
     open_key = None
-    docs: list[int] = []
-    poss: list[int] = []
-    sizes: list[int] = []
+    out: tuple[list[int], ...] = ([], [], [], [])  # doc, tag, pos, size
 
     def close(last: bool) -> None:
         if len(group) > 1:
             sets, settled = divide(group, width)
-            for part, doc, pos in settled:
-                docs.append(doc)
-                poss.append(pos)
-                sizes.append(len(part))
+            for part, *at in settled:
+                for column, x in zip(out, (*at, len(part))):
+                    column.append(x)
             for x in sets:
                 held.extend(x)
         group.clear()
         if held and (last or len(held) >= BATCH):
-            d, p, z = repeated(held, width)
-            docs.extend(d)
-            poss.extend(p)
-            sizes.extend(z)
+            for column, x in zip(out, repeated(held, width)):
+                column.extend(x)
             held.clear()
 
     def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(poss, pa.int64()), pa.array(sizes, pa.int32())], ["doc", "pos", "size"])
-        for x in (docs, poss, sizes):
+        batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 3 else pa.int64()) for k, x in enumerate(out)], ["doc", "tag", "pos", "size"])
+        for x in out:
             x.clear()
-        return out
+        return batch
 
     for batch in batches:
-        for key, text, doc, pos in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for key, text, *at in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if key != open_key:
                 close(last=False)
                 open_key = key
+            if group and group[-1] == (text, *at):
+                continue  # of a repeated row
             if group and group[-1][0] == text:
-                docs.append(doc)
-                poss.append(pos)
-                sizes.append(len(text))
+                for column, x in zip(out, (*at, len(text))):
+                    column.append(x)
             else:
-                group.append((text, doc, pos))
+                group.append((text, *at))
         yield rows()
     close(last=True)
     yield rows()
@@ -209,29 +206,25 @@ def suffix_stage(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 def segments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Rows of at_text with candidate marks to SEGMENT; those of hot anchors (size -1) window by window."""
+    kinds, names = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()], ["key", "text", "doc", "tag", "pos"]
     for batch in batches:
-        column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-        keys, texts, docs, poss = [], [], [], []
-        for text, doc, h, marks in zip(column("text").to_pylist(), column("doc").to_pylist(), column("text_hash").to_pylist(), column("marks").to_pylist()):
+        column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+        out: list[tuple] = []
+        for text, doc, tag, marks in zip(column("text"), column("doc"), column("tag"), column("marks")):
             for mark in marks:
-                start, n = mark["pos"] >> 16 & (1 << 32) - 1, mark["pos"] & 0xFF
+                start, n = mark["pos"] >> 16, mark["pos"] & 0xFF
                 if mark["size"] < 0:
                     s = BYTES[np.frombuffer(text[start : start + n + width - 1], np.uint8)]
                     at = np.arange(n)
-                    keys += mix(S.KEY.ranges(S.KEY.prefix(s), at, at + width)).view(np.int64).tolist()
-                    texts += [text[k : k + width] for k in range(start, start + n)]
-                    docs += [doc] * n
-                    poss += [h << 48 | k << 16 | 1 for k in range(start, start + n)]
+                    keys = mix(S.KEY.ranges(S.KEY.prefix(s), at, at + width)).view(np.int64).tolist()
+                    out += ((key, text[k : k + width], doc, tag, k << 16 | 1) for k, key in enumerate(keys, start))
                 else:
-                    keys.append(mark["key"])
-                    texts.append(text[start : start + n + width - 1])
-                    docs.append(doc)
-                    poss.append(mark["pos"])
-            if len(keys) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary()), pa.array(docs, pa.int64()), pa.array(poss, pa.int64())], ["key", "text", "doc", "pos"])
-                keys, texts, docs, poss = [], [], [], []
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary()), pa.array(docs, pa.int64()), pa.array(poss, pa.int64())], ["key", "text", "doc", "pos"])
+                    out.append((mark["key"], text[start : start + n + width - 1], doc, tag, mark["pos"]))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,17 +246,17 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(prep: DataFrame, shape: S.Shape) -> DataFrame:
-    """doc, pos, size: byte ranges to remove; they may overlap."""
+    """doc, tag, pos, size: byte ranges to remove; they may overlap."""
     rows = prep.mapInArrow(lambda it: S.scan(it, shape, symbolize), S.RUN_SCHEMA)
     found = checkpoint(S.settled(rows, shape))
     meet = found.where("size = 0")
     hot = meet.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.lit(-1).alias("hot"))
-    marked = meet.join(hot, "key", "left").select("key", "doc", "pos", F.coalesce("hot", F.lit(0)).alias("size"))
-    of_doc = marked.groupBy("doc", F.shiftright("pos", 48).alias("text_hash")).agg(F.collect_list(F.struct("pos", "size", "key")).alias("marks"))
-    cut_out = prep.join(of_doc, ["doc", "text_hash"]).mapInArrow(lambda it: segments(it, shape.width), SEGMENT)
-    sorted_rows = cut_out.repartition(shuffle_width(prep.sparkSession), "key").sortWithinPartitions("key", "text", "doc", "pos")
-    late = sorted_rows.mapInArrow(lambda it: suffix_stage(it, shape.width), "doc long, pos long, size int")
-    return found.where("size > 0").select("doc", "pos", "size").unionByName(late)
+    marked = meet.join(hot, "key", "left").select("key", "doc", "tag", "pos", F.coalesce("hot", F.lit(0)).alias("size"))
+    of_doc = marked.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "size", "key")).alias("marks"))
+    cut_out = prep.join(of_doc, ["doc", "tag"]).mapInArrow(lambda it: segments(it, shape.width), SEGMENT)
+    sorted_rows = cut_out.repartition(shuffle_width(prep.sparkSession), "key").sortWithinPartitions("key", "text", "doc", "tag", "pos")
+    late = sorted_rows.mapInArrow(lambda it: suffix_stage(it, shape.width), "doc long, tag long, pos long, size int")
+    return found.where("size > 0").select("doc", "tag", "pos", "size").unionByName(late)
 
 
 def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from queryloom.llm import _spans, substring_dedup, suffix_dedup
 
@@ -50,9 +51,10 @@ def test_equal_windows_meet_under_one_key():
             assert keys.setdefault(w, (k, a - i)) == (k, a - i)
 
 
-def brute_bytes(corpus, width=100):
+def brute_bytes(corpus, width=100, ordered=False):
     seen, out = set(), []
-    rows = order([(i, t or "") for i, t in corpus])
+    rows = [(i, t or "") for i, t in corpus]
+    rows = rows if ordered else order(rows)
     for i, t in rows:
         b = t.encode()
         gone = np.zeros(len(b) + 1, int)
@@ -85,12 +87,62 @@ def test_suffix_dedup_edges(spark, docs, no_docs, corpus):
     got = suffix_dedup.digest(docs).collect()
     assert len(got) == len(corpus)
     twice = [tuple(r) for r in got if r["doc_id"] == 67]
-    assert len(twice) == 2 and twice[0] == twice[1] and twice[0][2] == twice[0][1]
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0][2] == twice[0][1]  # a copy of 60
     assert suffix_dedup.digest(no_docs).collect() == []
     run = spark.createDataFrame([(1, "z" * 5000)], "doc_id long, text string")
     assert suffix_dedup.digest(run).first()["n_removed"] == 4999
 
 
+@pytest.fixture(scope="module")
+def crowd(words):
+    """Thousands of different texts under no id, as many under one id; half of them hold one of two passages."""
+    r = random.Random(11)
+    passages = [" ".join(r.choices(words, k=25)) for _ in range(2)]
+    rows = []
+    for i in range(5000):
+        t = r.choices(words, k=r.randint(8, 16))
+        if i % 2:
+            t.insert(r.randint(0, len(t)), passages[i % 4 // 2])
+        rows.append((None if i % 3 else 7, " ".join(t)))
+    return [*rows, rows[1], (3, passages[0]), (9, passages[1] + " and more")]
+
+
+def tag(text):
+    """Orders texts of one id."""
+    return np.int64(np.uint64(xxhash.xxh64_intdigest(text.encode(), seed=42) | 1))
+
+
+def test_suffix_dedup_of_repeated_ids(spark, crowd):
+    df = spark.createDataFrame(crowd, "doc_id long, text string").repartition(3)
+    one = sorted(set(crowd), key=lambda x: (-(2**63) if x[0] is None else x[0], tag(x[1])))
+    key = lambda x: tuple(map(str, x))
+    of = dict(zip(one, brute_bytes(one, ordered=True)))
+    assert sorted(map(tuple, suffix_dedup.digest(df).collect()), key=key) == sorted((of[x] for x in crowd), key=key)
+
+
+def test_substring_dedup_of_repeated_ids(spark, crowd):
+    df = spark.createDataFrame(crowd, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substring_dedup.digest(df).collect()), key=str) == sorted(brute_words(crowd), key=str)
+    assert sorted(r["text"] for r in substring_dedup.remove_repeated(df).collect() if r["doc_id"] is None) == sorted(t for i, t in crowd if i is None)
+
+
+def test_known_runs_settle_later_chunks(monkeypatch):
+    """Runs that a task meets in many chunks leave it a few times only, in any order of the documents."""
+    shape, r = _spans.Shape(20, 6, True), np.random.default_rng(5)
+    passage = r.integers(0, 1000, 60).astype(np.uint64)
+    known, rows = _spans.Known(), 0
+    for k in range(40):
+        held = [(d, 0, 0, np.concatenate((r.integers(0, 1 << 40, 30).astype(np.uint64), passage))) for d in r.permutation(1000)[:20].tolist()]
+        found = _spans.scan_chunk(held, shape, known)
+        rows += int((found[5] > 0).sum())
+    firsts = [k for k in range(known.rows.shape[1])]
+    assert firsts and rows > 700
+    few = _spans.Known(most=4)
+    for k in range(8):
+        _spans.scan_chunk([(d, 0, 0, passage) for d in (2 * k, 2 * k + 1)], shape, few)
+    assert len(few.hash) <= 4 and (np.diff(few.hash.astype(object)) >= 0).all()
+
+
 def brute_words(corpus, width=13):
     first, out = {}, []
     rows = [(-(2**63) if i is None else i, i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in corpus]
