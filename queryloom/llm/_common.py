@@ -63,6 +63,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def inner_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID).cast("long"))
 

@@ -17,8 +17,9 @@
 
 Defined results: a null id is an id before all others and comes back as null; a vector
 that is null, zero, or has null or non-finite components, or whose label is null, has no
-links; rows that repeat an id with an equal vector count as further vectors; an empty
-table gives an empty result; other columns are ignored.
+links; rows that repeat an id, or have none, are vectors of their own (a component is
+named by its smallest id, so different ones may then bear one name); an empty table gives
+an empty result; other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -167,7 +168,8 @@ def near_duplicates(table: DataFrame, similarity: float = SIMILARITY, trees: int
     source = table.select(inner_id(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{'float' if kind == 'f4' else 'double'}>").alias("embedding"))
     vec = checkpoint(source.mapInArrow(lambda it: vectors(it, kind), "id long, label string, vec binary"))
     usable = vec.where("label is not null and vec is not null")
-    reps = checkpoint(usable.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    # A representative has a number of its own: ids may be missing or stand on several vectors.
+    reps = checkpoint(usable.groupBy("label", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
     leaf_rows = checkpoint(leaves(reps, trees, leaf, spill, kind))
     sizes = leaf_rows.groupBy("node").count()
     of_rep = leaf_rows.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
@@ -181,6 +183,7 @@ def near_duplicates(table: DataFrame, similarity: float = SIMILARITY, trees: int
     found = checkpoint(rows.repartition(width, "node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(lambda it: compare(it, similarity, kind), "rep long, links long, other long"))
     links = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    of_set = reps.join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
+    rooted = checkpoint(reps.join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select("label", "vec", "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")))
+    of_set = rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component")), "root").select("label", "vec", "n_links", "component")
     out = vec.join(of_set, ["label", "vec"], "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
     return out.select(outer_id("id").alias("vec_id"), "n_links", outer_id("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

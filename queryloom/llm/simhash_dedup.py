@@ -22,10 +22,13 @@
 Everything is keyed, salted or spread by hash of content, so copies, however many,
 cost one row in the tables, and a hot bucket splits. Nothing is collected.
 
-Defined results: null and empty texts (no word) form no class, each row stands alone;
-a null id is an id before all others and comes back as null; rows that repeat an id
-with another text have each its own class, and ``keep_one`` drops an id as soon as one
-of its rows is dropped; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty texts (no word) form no class, each row stands alone and
+stays; a null id is an id before all others and comes back as null; rows that share an id
+or have none are told apart by their texts (a class is named by its smallest id, so
+different classes may then bear one name; of equal ids the text with the smallest hash
+is kept); rows that repeat id and text are one document each, kept together by
+``classes`` and once by ``keep_one``; an empty table gives an empty result; other columns
+are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import checkpoint, inner_id, mix, outer_id, shuffle_width
+from queryloom.llm._common import checkpoint, inner_id, mix, outer_id, shuffle_width, unused
 from queryloom.llm.components import components
 
 BITS, SHINGLE, SIMILARITY = 256, 5, 0.8
@@ -90,7 +93,7 @@ def simhash(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, text to doc, set_hash (of the whole shingle set), signature, number of shingles."""
+    """doc, text, th to doc, th, set_hash (of the whole shingle set), signature, number of shingles."""
     shingles = Shingles()
     for batch in batches:
         a, b, sigs, sizes = [], [], [], []
@@ -101,7 +104,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(d and int.from_bytes(d[8:], "little", signed=True))
             sigs.append(d and simhash(s).tobytes())
             sizes.append(len(s))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], ["doc", "set_a", "set_b", "sig", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], ["doc", "th", "set_a", "set_b", "sig", "size"])
 
 
 def coordinates(table: int, n: int) -> np.ndarray:
@@ -348,12 +351,15 @@ def settle(again: DataFrame, rep: DataFrame, comp: DataFrame, sets_of: Callable[
     return every.join(joined, "was", "left").select(F.col("doc").alias("node"), F.coalesce("now", "was").alias("root"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest id of the class), class_size, kept."""
-    text = docs.select(inner_id(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = checkpoint(text.mapInArrow(sign, "doc long, set_a long, set_b long, sig binary, size long"))
-    # Equal sets (exact copies and the like) become one representative before anything is compared.
-    rep = checkpoint(signed.where("sig is not null").groupBy("set_a", "set_b").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"), F.first("size").alias("size")))
+def _classes(docs: DataFrame, similarity: float, tables: int, id_col: str, text_col: str) -> DataFrame:
+    """Each row of docs: doc and th, which name its text, and its class (number of a representative; null without a word)."""
+    clean = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = docs.select(inner_id(id_col).alias("doc"), clean.alias("text"), F.xxhash64(clean).alias("th"))
+    signed = checkpoint(text.mapInArrow(sign, "doc long, th long, set_a long, set_b long, sig binary, size long"))
+    # Equal sets (exact copies and the like) become one representative before anything is compared. It has a
+    # number of its own: ids may be missing or stand on several texts.
+    sets = signed.where("sig is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "th")).alias("first"), F.first("sig").alias("sig"), F.first("size").alias("size"))
+    rep = checkpoint(sets.select("set_a", "set_b", F.col("first.doc").alias("at_doc"), F.col("first.th").alias("at_th"), "sig", "size").withColumn("doc", F.monotonically_increasing_id()))
     keys = rep.select("doc", "sig").mapInArrow(lambda it: keyed(it, tables, SAMPLED), "bucket long, doc long, sig binary, tab int")
     rows, split = narrow(keys, SAMPLED, BUCKET)
     rows = rows.select("bucket", "doc", "sig")
@@ -363,24 +369,41 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLE
     edges = found.where("a != b").select("a", "b")
 
     def sets_of(need: DataFrame) -> DataFrame:
-        return text.join(need, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(shingle_sets, "doc long, shingles binary")
+        wanted = need.join(rep.select(F.col("doc").alias("rep"), "at_doc", "at_th"), F.col("doc") == F.col("rep")).select("rep", F.col("at_doc").alias("doc"), F.col("at_th").alias("th"))
+        return wanted.join(text, ["doc", "th"]).dropDuplicates(["rep"]).select("rep", "text").mapInArrow(shingle_sets, "doc long, shingles binary")
 
-    sets = checkpoint(sets_of(edges.select(F.col("a").alias("doc")).union(edges.select("b")).distinct()))
-    left = edges.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    shingled = checkpoint(sets_of(edges.select(F.col("a").alias("doc")).union(edges.select("b")).distinct()))
+    left = edges.join(shingled.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(shingled.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
     comp = components(both.mapInArrow(lambda it: jaccard(it, similarity), "a long, b long"))
     again = found.where("a = b").select("bucket", F.col("a").alias("doc"))
     if not split.isEmpty():
         again = again.union(keys.join(split, "bucket", "left_semi").select("bucket", "doc")).distinct()
     comp = settle(again, rep, comp, sets_of, similarity, BLOCK, BLOCK_BYTES)
     # Members of a set have the class of their representative.
-    root = rep.join(comp, rep["doc"] == comp["node"], "left").select("set_a", "set_b", F.coalesce("root", "doc").alias("root"))
-    out = signed.join(root, ["set_a", "set_b"], "left").select("doc", F.coalesce("root", "doc").alias("class"))
-    size = out.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(size, "class").select(outer_id("doc").alias("doc_id"), outer_id("class").alias("class_id"), "class_size", (F.col("doc") == F.col("class")).alias("kept"))
+    root = rep.join(comp, rep["doc"] == comp["node"], "left").select("set_a", "set_b", F.coalesce("root", "doc").alias("class"))
+    return signed.join(root, ["set_a", "set_b"], "left").select("doc", "th", "class")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose class has a smaller id; rows without an id stay."""
-    gone = classes(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def classes(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, class_id (smallest id of the class), class_size, kept."""
+    rows = _classes(docs, similarity, tables, id_col, text_col)
+    of_class = rows.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th")).alias("first"))
+    first = F.coalesce(F.col("first"), F.struct("doc", "th"))
+    return rows.join(of_class, "class", "left").select(outer_id("doc").alias("doc_id"), F.coalesce("n", F.lit(1).cast("long")).alias("class_size"), first["doc"].alias("root"), (F.struct("doc", "th") == first).alias("kept")).select("doc_id", outer_id("root").alias("class_id"), "class_size", "kept")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class: the one with the smallest id, and of equal ids the one with the smallest hash of the text."""
+    rows = checkpoint(_classes(docs, similarity, tables, id_col, text_col).where("class is not null"))
+    first = rows.groupBy("class").agg(F.min(F.struct("doc", "th")).alias("first"))
+    doc, th = unused(docs, "doc"), unused(docs, "th")
+    as_named = [F.col("doc").alias(doc), F.col("th").alias(th)]
+    gone = rows.join(first, "class").where(F.struct("doc", "th") != F.col("first")).select(*as_named).distinct()
+    named = docs.withColumn(doc, inner_id(id_col)).withColumn(th, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    left = named.join(gone, [doc, th], "left_anti")
+    # A row that stands there several times, text and id alike, is a copy of itself.
+    twice = checkpoint(rows.groupBy("doc", "th").count().where("count > 1").select(*as_named))
+    if not twice.isEmpty():
+        left = left.join(twice, [doc, th], "left_anti").unionByName(left.join(twice, [doc, th], "left_semi").dropDuplicates([doc, th]))
+    return left.select(*docs.columns)

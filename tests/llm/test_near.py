@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from queryloom.llm import embedding_dedup, simhash_dedup
 from queryloom.llm.components import components
@@ -113,10 +114,40 @@ def test_simhash_edges(spark, docs, no_docs, corpus):
     got = simhash_dedup.classes(docs).collect()
     assert len(got) == len(corpus)
     cls = {x["doc_id"]: x["class_id"] for x in got if x["doc_id"] is not None}
-    assert cls[60] is None or cls[60] == cls[61] == cls[67]  # the row without an id comes first
+    assert cls[60] is None and cls[61] is None and cls[67] is None  # the row without an id comes first
     assert simhash_dedup.classes(no_docs).collect() == [] and simhash_dedup.keep_one(no_docs).collect() == []
 
 
+def ranked(rows):
+    """Rows in the order in which they name and keep: ids (none first), then the hash of the text."""
+    return sorted(rows, key=lambda x: (-(2**63) if x[0] is None else x[0], np.int64(np.uint64(xxhash.xxh64_intdigest(x[1].encode(), seed=42)))))
+
+
+def test_simhash_of_repeated_ids(spark, words):
+    """Thousands of rows without an id and of one id: each has the class of its own text."""
+    r, rows = random.Random(21), []
+    for k in range(2500):
+        t = r.choices(words, k=40)
+        near = [*t[:-1], "changed"]
+        rows.append((None if k % 2 else 7, " ".join(t)))
+        if k % 5 == 0:
+            rows.append((None if k % 3 else 7, " ".join(near)))
+        if k % 50 == 0:
+            rows.append((k + 100, " ".join(t)))
+    rows += [rows[0], rows[0], (None, ""), (None, "")]
+    order = ranked(rows)
+    stem, classes = lambda t: " ".join(t.split()[:39]), {}
+    for k, x in enumerate(order):
+        classes.setdefault(stem(x[1]) or k, []).append(x)
+    want = [(x[0], c[0][0], len(c), x == c[0]) for k, c in classes.items() for x in c]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, doc int, _th int").repartition(3)
+    got = [tuple(x) for x in simhash_dedup.classes(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = simhash_dedup.keep_one(df)
+    assert kept.columns == df.columns and sorted((x["doc_id"], x["text"]) for x in kept.where("text != ''").collect() if x["doc_id"]) == sorted(c[0] for c in classes.values() if c[0][0])
+    assert sorted(x["text"] for x in kept.collect() if x["doc_id"] is None) == sorted(c[0][1] for k, c in classes.items() if c[0][0] is None)
+
+
 def test_similarity_of_signatures():
     r = np.random.default_rng(1)
     a = r.integers(0, 2**63, 1000).astype(np.uint64)
@@ -147,3 +178,28 @@ def test_embedding_links(spark, leaf):
     wrong = [i for i in want if got[i] != (degree[i], want[i], want[i] == i)]
     assert len(got) == len(rows) and not wrong, wrong
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_embedding_links_of_repeated_ids(spark):
+    """Thousands of rows without an id and of one id are vectors of their own."""
+    r = np.random.default_rng(16)
+    rows = []
+    for k in range(2000):
+        base = r.standard_normal(24)
+        for _ in range(1 + (k % 4 == 0)):
+            rows.append((None if k % 2 else 3, (base + 0.05 * r.standard_normal(24)).astype(np.float32).tolist(), k % 5))
+    rows += [rows[0], (8, rows[1][1], rows[1][2]), (9, rows[8][1], None)]
+    x = np.array([v for _, v, _ in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([-1 - i if l is None else l for i, (_, _, l) in enumerate(rows)])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    root = roots(range(len(rows)), zip(*(v.tolist() for v in np.nonzero(np.triu(near)))))
+    of = lambda i: -(2**63) if i is None else i
+    least = {}
+    for k, c in root.items():
+        least[c] = min(least.get(c, 2**63), of(rows[k][0]))
+    out = lambda i: None if i == -(2**63) else i
+    want = [(i, int(near[k].sum()), out(least[root[k]]), of(i) == least[root[k]]) for k, (i, _, _) in enumerate(rows)]
+    df = spark.createDataFrame([(*t, 1, 2) for t in rows], "vec_id long, embedding array<float>, label int, rep int, weight int")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=str) == sorted(want, key=str)
