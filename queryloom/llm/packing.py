@@ -5,12 +5,15 @@ closed by an end id. Two passes: the first tokenizes, keeps the ids compressed i
 shared checkpoint folder and sums the tokens of each partition; prefix sums of these
 totals (one number per partition, all the driver ever sees) give every partition its
 place in the stream. The second pass walks the kept partitions and cuts at multiples
-of the sequence length; a document across a boundary leaves a piece on either side,
-and a sequence that two partitions share needs no meeting, since both know its number.
-All sequences but the last are full, so there is no padding but there.
-
-Defined results: a null text is empty (only the end id); an empty table gives an empty
-result; a null doc_id stays null; repeated rows are packed each.
+of the sequence length; a document across a boundary leaves a piece on either side.
+A window that two partitions share leaves a boundary record in each. ``pack`` lists the
+pieces, whose sequence and offset are known without a meeting; ``sequences`` joins the
+boundary records, and nothing else, to whole windows. All sequences but the last are
+full, so there is no padding but there.
+
+Defined results: a null text is empty (only the end id); a long text is any number of
+pieces; an empty table gives an empty result; a null doc_id stays null; repeated rows
+are packed each; other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -196,8 +199,8 @@ def by_size(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
         yield held
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece, with its ids (little-endian u32): see PIECES."""
+def tokenized(docs: DataFrame, path: str, end: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """First pass: part, doc_id, n, ids (compressed) in the shared folder, and where each part begins in the stream."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, squeeze = WordIds(path), zstandard.ZstdCompressor(level=1)
@@ -213,25 +216,75 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_co
     tokens = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kept = checkpoint(tokens.mapInArrow(tokenize, "part int, doc_id long, n long, ids binary"))
     totals = sorted((r["part"], r["n"]) for r in kept.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    base = dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0)))
+    return kept, dict(zip((p for p, _ in totals), accumulate((n for _, n in totals), initial=0)))
+
+
+def cut(batches: Iterator[pa.RecordBatch], base: dict[int, int], length: int) -> Iterator[list[tuple]]:
+    """Second pass: (doc_id, start, size, crc32, doc_tokens, sequence, offset, ids) of each piece, in order."""
+    at, part, expand = 0, None, zstandard.ZstdDecompressor()
+    for batch in batches:
+        rows: list[tuple] = []
+        for p, doc, n, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if p != part:
+                part, at = p, base[p]
+            ids, start = expand.decompress(packed, max_output_size=4 * n), 0
+            while start < n:
+                size = min(n - start, length - at % length)
+                piece = ids[4 * start : 4 * (start + size)]
+                rows.append((doc, start, size, zlib.crc32(piece), n, at // length, at % length, piece))
+                start, at = start + size, at + size
+        yield rows
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part, expand = 0, None, zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows: list[tuple] = []
-            for p, doc, n, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if p != part:
-                    part, at = p, base[p]
-                ids, start = expand.decompress(packed, max_output_size=4 * n), 0
-                while start < n:
-                    size = min(n - start, length - at % length)
-                    piece = ids[4 * start : 4 * (start + size)]
-                    rows.append((doc, start, size, zlib.crc32(piece), n, at // length, at % length, piece))
-                    start, at = start + size, at + size
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.binary() if k == 7 else pa.int64()) for k in range(8)], names)
-
-    return kept.mapInArrow(cut, PIECES)
+
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece, with its ids (little-endian u32): see PIECES."""
+    kept, base = tokenized(docs, path, end, id_col, text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+        for rows in cut(batches, base, length):
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 7 else pa.int64()) for k, c in enumerate(columns)], names)
+
+    return kept.mapInArrow(work, PIECES)
+
+
+def sequences(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per sequence: sequence_id, length, ids (little-endian u32, without padding).
+
+    A window that lies in one partition is complete there. Of a window across a border
+    each partition has a boundary record, and only these (at most two for a partition)
+    are exchanged and joined, in the order of their offsets.
+    """
+    kept, base = tokenized(docs, path, end, id_col, text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[tuple[int, int, bytes]] = []  # the open window's pieces: sequence, offset, ids
+
+        def row() -> tuple[int, int, bytes]:
+            return now[0][0], now[0][1], b"".join(x for _, _, x in now)
+
+        for rows in cut(batches, base, length):
+            out = []
+            for *_, sequence, offset, ids in rows:
+                if now and now[-1][0] != sequence:
+                    out.append(row())
+                    now = []
+                now.append((sequence, offset, ids))
+            if out:
+                yield windows(out)
+        if now:
+            yield windows([row()])
+
+    def windows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        a, b, c = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["sequence_id", "offset", "ids"])
+
+    found = kept.mapInArrow(work, "sequence_id long, offset long, ids binary")
+    whole = F.octet_length("ids") == 4 * length
+    records = found.where(~whole).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("r"))
+    joined = records.select("sequence_id", F.expr("aggregate(r, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
+    return found.where(whole).select("sequence_id", "ids").unionByName(joined).select("sequence_id", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

@@ -62,6 +62,17 @@ def test_packing(docs, no_docs, corpus):
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
         assert sum(n for _, n in parts) == 256 or k == len(filled) - 1
     assert packing.digest(no_docs, path).collect() == []
+    # Whole windows, those across partitions joined from their boundary records.
+    pieces = defaultdict(bytes)
+    for r in sorted(packing.pack(docs, path, length=64).collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        pieces[r["sequence_id"]] += bytes(r["ids"])
+    for width in (1, 40):
+        spread = docs.coalesce(1) if width == 1 else docs
+        rows = packing.sequences(spread, path, length=64).collect()
+        assert sorted(r["sequence_id"] for r in rows) == list(range(len(pieces))) and all(len(r["ids"]) == 4 * r["length"] for r in rows)
+        if width > 1:
+            assert {r["sequence_id"]: bytes(r["ids"]) for r in rows} == pieces
+    assert packing.sequences(no_docs, path).collect() == []
 
 
 def test_pseudonyms_permute_their_format():
