@@ -1,8 +1,10 @@
 """BPE, packing, pseudonyms, toxicity, extraction, search and the pipeline on small tables."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -203,6 +205,78 @@ def test_template_inside_articles(spark):
     assert html_extract.holding([1, 4, 5, 2, 3, 1, 2, 4, 5, 3], {1: 7, 2: 7, 3: 7, 4: 8, 5: 8}) == {1, 2, 3, 4, 5}
 
 
+def deduced(rows, support=3, share=0.5, main=0.7):
+    """Templates by brute force: the occurrence vectors are written out."""
+    hosts = defaultdict(list)
+    for _, url, html in rows:
+        hosts[html_extract.host_of(url)].append(html_extract.parse(html or ""))
+    out = {}
+    for host, pages in hosts.items():
+        if len(pages) < support:
+            continue
+        vectors = defaultdict(lambda: [0] * len(pages))
+        for k, p in enumerate(pages):
+            for t in p.sequence:
+                vectors[t][k] += 1
+        classes = defaultdict(set)
+        for t, v in vectors.items():
+            on = sum(n > 0 for n in v)
+            if on >= support and on >= share * len(pages):
+                classes[tuple(v)].add(t)
+        total, heads = (sum(p.weights[0][i] for p in pages) for i in (0, 1))
+        once = [(sum(p.weights[t][0] for p in pages), t) for t in classes.get((1,) * len(pages), ()) if all(t in p.weights for p in pages)]
+        once = [x for x in once if x[0] >= main * total and x[0] and (heads != len(pages) or sum(p.weights[x[1]][1] for p in pages) == heads)]
+        out[host] = (min(once)[1] if once else 0, sorted(map(sorted, classes.values())))
+    return out
+
+
+def test_templates_decide_without_names(spark):
+    """On the pages as they are: the deduced templates are those of brute force, and alone they find most articles."""
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).is_dir():
+        pytest.skip("no test data")
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    got = {}
+    for r in html_extract.templates(pages).collect():
+        classes = defaultdict(list)
+        for c in r["classes"]:
+            classes[c["class"]].append(c["token"])
+        got[r["host"]] = (r["main"], sorted(map(sorted, classes.values())))
+    want = deduced(rows)
+    assert got == want and any(m for m, _ in want.values())
+    alone = {r["page_id"]: r["text"] for r in html_extract.extract(pages, names=False).collect()}
+    hosts = {i: html_extract.host_of(u) for i, u, _ in rows}
+    bare = {i: html_extract.main_text(h or "", {}, names=False) for i, _, h in rows}
+    named = {i: html_extract.main_text(h or "", {}) for i, _, h in rows}
+    with_template = [i for i in alone if want.get(hosts[i], (0,))[0]]
+    assert sum(alone[i] != bare[i] for i in with_template) > 0.9 * len(with_template) > 50
+    assert sum(alone[i] == named[i] for i in with_template) > 0.9 * len(with_template)
+    assert all(alone[i] == bare[i] for i in alone if hosts[i] not in want)
+
+
+def test_markup_is_read_in_linear_time():
+    began = time.perf_counter()
+    for bad in ('<a "' * 250_000, "<!" * 400_000, "<div>" * 30_000 + "</p>" * 30_000, "<li>" * 40_000, "<ul>" + "<div>" * 20_000 + "<li>" * 20_000, "<!--" * 100_000, "<script>" * 20_000, "<" * 400_000, "<p class" + " " * 200_000 + "x>y"):
+        html_extract.main_text(bad, {})
+    assert time.perf_counter() - began < 9
+    assert html_extract.main_text("<p title=\"it's>x", {}) == "x" and html_extract.main_text("<p title='a>b'>x<p title='>y", {}) == "x\ny"
+
+
+def test_names_that_say_too_little():
+    page = lambda body: html_extract.main_text(PAGE.format(h="h", i=1, body=body), {})
+    assert page('<div class="legal-text"><h2 id="related">Related</h2><p>of law</p></div>') == "Related\nof law"
+    assert page('<div class="related-posts"><p>x</p></div><div class="ad-slot-2">y</div><div id="comments-area">z</div><p class="notice">kept</p>') == "kept"
+
+
+def test_div_pages_by_template(spark):
+    """No names at all: the main element is what holds the text, with the heading beside it."""
+    body = '<div class=a><div class=b>home news {i}</div></div><div class=c><div class=d><h1>title {i}</h1></div><div class=e><p>{t}</p><p>end {i}</p></div></div><div class=f>mail us {i}</div>'
+    rows = [(i, f"http://d.example.com/{i}", "<html><body>" + body.format(i=i, t=f"story {i} " * 30) + "</body></html>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"title {i}\n" + f"story {i} " * 29 + f"story {i}\nend {i}" for i in range(6)}
+
+
 @pytest.mark.parametrize("long", [128, 1])
 def test_search_is_exact(spark, docs, no_docs, corpus, monkeypatch, long):
     monkeypatch.setattr(bm25, "LONG", long)  # 1: every list is read on its own
