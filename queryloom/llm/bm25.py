@@ -6,12 +6,17 @@ by hash; the number of shards follows the corpus, so an index in memory stays sm
 A shard's partition holds its documents first and the queries behind them: the task
 builds its index and streams the queries through, any number of them.
 
-In a shard, documents stand in blocks; of every term the index has the largest impact
-in each block. For a query the blocks' upper bounds are summed, the blocks with the
-highest bounds are scored first, and blocks whose bound lies below the k-th best
-score so far are skipped (block-max WAND, with the pivot chosen block-wise so that all
-steps are array operations). Skipping is strict, so ties are resolved by id exactly.
-The k best of every shard meet per query, and the k best of them are the result.
+In a shard, similar documents stand side by side (a few singular vectors of the weighted
+term matrix, halved again and again), in blocks; of every term the index has the largest
+impact in each block. A query's terms are read from the rarest list to the longest
+(MaxScore), in groups. After each group a document can still win only if its sum so far
+and the largest impacts that the terms left have in its block reach the k-th best score
+known (block-max WAND); that score is a real one, of documents that lead so far and are
+scored at once. Blocks in which no document can win are skipped in all further lists.
+When few documents are left, or all lists are read, these are scored from their own terms,
+so every score that leaves is the same sum in the same order. Bounds are widened by more
+than sums can be off, and ties go by id, so the result is exact. The k best of every
+shard meet per query, and the k best of them are the result.
 
 Score: sum over the query's distinct terms of qtf * idf * tf (k1 + 1) / (tf + k1 (1 - b +
 b * length / mean length)), idf = ln(1 + (N - df + 0.5) / (df + 0.5)); terms are
@@ -42,7 +47,9 @@ from queryloom.llm._common import checkpoint, strings
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK, SHARD_BYTES = 64, 32 << 20
-LONG = 128  # postings from which a list is read on its own
+#: Shares of a query's postings after which documents are dropped, and documents scored to raise the bar.
+STEPS, LEADERS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7), 16
+SLACK = 1e-9
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -106,82 +113,137 @@ def query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int64)), pa.array(h), pa.array(n.astype(np.int64))], ["id", "term", "qtf"])
 
 
+def similar_order(doc: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, terms: int, rank: int = 4, rounds: int = 3) -> np.ndarray:
+    """An order of documents with similar ones side by side; postings are sorted by doc."""
+    if n <= BLOCK or not len(doc):
+        return np.arange(n)
+    norm = np.sqrt(np.bincount(doc, weights=value * value, minlength=n)) + 1e-12
+    value = (value / norm[doc]).astype(np.float32)
+    new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    by_term = np.argsort(term, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(term[by_term]) != 0))
+    found, at = np.random.default_rng(0).standard_normal((terms, rank)).astype(np.float32), np.zeros((n, rank), np.float32)
+    for k in range(rounds):
+        at[doc[new]] = np.add.reduceat(value[:, None] * found[term], new, axis=0)
+        if k < rounds - 1:
+            basis = np.linalg.qr(at)[0]
+            found[term[by_term[first]]] = np.add.reduceat(value[by_term, None] * basis[doc[by_term]], first, axis=0)
+    out: list[np.ndarray] = []
+    todo = [np.arange(n)]
+    while todo:
+        part = todo.pop()
+        if len(part) <= BLOCK:
+            out.append(part)
+            continue
+        x = at[part]
+        part = part[np.argsort(x[:, np.argmax(x.var(0))], kind="stable")]
+        half = max(BLOCK, len(part) // 2 // BLOCK * BLOCK)
+        todo += [part[half:], part[:half]]
+    return np.concatenate(out)
+
+
 class Index:
-    """Inverted index of one shard."""
+    """Inverted index of one shard, with the documents' own terms beside it."""
 
     def __init__(self, ids: list, terms: list[np.ndarray], counts: list[np.ndarray], mean: float, k1: float = K1, b: float = B) -> None:
-        self.ids = np.array([2**63 - 1 if i is None else i for i in ids], np.int64)
+        n = len(ids)
         length = np.array([c.sum(dtype=np.int64) for c in counts])
-        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t in terms])
-        term, tf = (np.concatenate(x) if x else np.zeros(0) for x in (terms, counts))
+        sizes = np.array([len(t) for t in terms], np.int64)
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        self.terms, term = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.int64), return_inverse=True)
+        term, tf = term.astype(np.int32), np.concatenate(counts) if counts else np.zeros(0)
         impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
-        order = np.argsort(term, kind="stable")
-        term, self.doc, self.impact = term[order], doc[order].astype(np.int32), impact[order]
-        # Segments: the postings of a term in a block.
-        key_new = np.ones(len(term), bool)
-        key_new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)
-        self.segment = np.append(np.flatnonzero(key_new), len(term))
-        seg_term = term[self.segment[:-1]]
+        self.length = np.bincount(term, minlength=len(self.terms))  # of the lists
+        telling = ((self.length >= n / 128) & (self.length <= n / 2))[term]  # terms that neither few nor most documents have
+        order = similar_order(doc[telling], term[telling], (impact * np.log1p(n / (self.length[term] + 0.5)))[telling], n, len(self.terms))
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        # Documents by place: their terms and impacts as they came.
+        self.ids = np.array([2**63 - 1 if i is None else i for i in ids], np.int64)[order]
+        self.own, of = ranges(np.cumsum(sizes)[order] - sizes[order], np.cumsum(sizes)[order])
+        self.own_term, self.own_impact = term[self.own], impact[self.own]
+        self.own = np.append(0, np.cumsum(sizes[order]))
+        # Lists by term and place.
+        by_term = np.argsort(self.own_term, kind="stable")
+        self.doc, self.impact, term = of[by_term].astype(np.int32), self.own_impact[by_term], self.own_term[by_term]
+        new = np.ones(len(term), bool)  # segments: the postings of a term in a block
+        new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)
+        self.segment = np.append(np.flatnonzero(new), len(term))
         self.seg_block = self.doc[self.segment[:-1]] // BLOCK
         self.seg_most = np.maximum.reduceat(self.impact, self.segment[:-1]) if len(term) else np.zeros(0)
-        new = np.ones(len(seg_term), bool)
-        new[1:] = seg_term[1:] != seg_term[:-1]
-        first = np.flatnonzero(new)
-        self.terms, self.first = seg_term[first], np.append(first, len(seg_term))
-        self.blocks = -(-len(ids) // BLOCK)
+        self.first = np.searchsorted(term[self.segment[:-1]], np.arange(len(self.terms) + 1))
+        self.blocks = -(-n // BLOCK)
+        self.weight = np.zeros(len(self.terms))  # of the query at work
+        self.read = self.all = 0  # postings that queries read, and that they would read without bounds
+
+    def scores(self, docs: np.ndarray) -> np.ndarray:
+        """Of documents, from their own terms."""
+        at, of = ranges(self.own[docs], self.own[docs + 1])
+        self.read += len(at)
+        return np.bincount(of, weights=self.weight[self.own_term[at]] * self.own_impact[at], minlength=len(docs))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best documents; ties by id."""
-        at = np.searchsorted(self.terms, terms)
-        known = at < len(self.terms)
-        known[known] = self.terms[at[known]] == terms[known]
-        at, weights = at[known], weights[known]
-        if not len(at):
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1) if len(self.terms) else np.zeros(0, np.int64)
+        known = self.terms[at] == terms if len(at) else np.zeros(len(terms), bool)
+        if not known.any():
             return np.zeros(0, np.int64), np.zeros(0)
+        at, weights = at[known], weights[known]
+        order = np.argsort(self.length[at], kind="stable")
+        at, weights = at[order], weights[order]
+        self.weight[at] = weights
+        docs = self._candidates(at, weights, k)
+        scores = self.scores(docs)
+        self.weight[at] = 0
+        hit = scores > 0
+        docs, scores = self.ids[docs[hit]], scores[hit]
+        best = np.lexsort((docs, -scores))[:k]
+        return docs[best], scores[best]
+
+    def _candidates(self, at: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+        """Documents among which the k best are."""
+        lists = np.cumsum(self.length[at])
+        self.all += int(lists[-1])
+        cuts = np.unique(np.append(np.searchsorted(lists, np.array(STEPS) * lists[-1]) + 1, len(at)))
         segments, of = ranges(self.first[at], self.first[at + 1])
-        blocks = self.seg_block[segments]
-        bound = np.bincount(blocks, weights=weights[of] * self.seg_most[segments], minlength=self.blocks) * (1 + 1e-12)
-        rank = np.argsort(-bound, kind="stable")
-        place = np.empty_like(rank)
-        place[rank] = np.arange(len(rank))
-        slot = (place[:, None] * BLOCK + np.arange(BLOCK)).ravel()  # of each document, in order of block rank
-        # Segments in order of their block's rank; within a block in order of terms.
-        order = np.argsort(place[blocks], kind="stable")
-        segments, of, cuts = segments[order], of[order], np.searchsorted(place[blocks][order], np.arange(len(rank) + 1))
-        ids, scores, least, done, step = np.zeros(0, np.int64), np.zeros(0), -np.inf, 0, 4
-        while done < len(rank) and bound[rank[done]] > 0 and bound[rank[done]] >= least:
-            stop = min(len(rank), done + step)
-            while bound[rank[stop - 1]] < least:
-                stop -= 1
-            s, o = segments[cuts[done] : cuts[stop]], of[cuts[done] : cuts[stop]]
-            n = self.segment[s + 1] - self.segment[s]
-            posting = np.arange(n.sum(), dtype=np.int64) + np.repeat(self.segment[s] - np.cumsum(n) + n, n)
-            got = np.bincount(slot[self.doc[posting]] - done * BLOCK, weights=np.repeat(weights[o], n) * self.impact[posting], minlength=(stop - done) * BLOCK)
-            hit = np.flatnonzero(got)
-            docs = rank[done + hit // BLOCK] * BLOCK + hit % BLOCK
-            ids, scores = np.append(ids, self.ids[docs]), np.append(scores, got[hit])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            least = scores[-1] if len(scores) == k else -np.inf
-            done, step = stop, min(step * 4, 256)
-            if 4 * int((bound[rank[done:]] >= least).sum()) > len(rank):
-                return self._all(at, weights, k)  # so little to skip that whole postings lists are read faster
-        return ids, scores
-
-    def _all(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best by reading the lists as they lie, the short ones at once: the same sums in the same order."""
-        low, high = self.segment[self.first[at]], self.segment[self.first[at + 1]]
-        long = int(np.argmax(np.append(high - low, LONG) >= LONG))
-        posting, of = ranges(low[:long], high[:long])
-        total = np.bincount(self.doc[posting], weights=self.impact[posting] * weights[:long][of], minlength=len(self.ids)).astype(np.float64)  # whole numbers if there is no short list
-        for a, b, w in zip(low[long:].tolist(), high[long:].tolist(), weights[long:].tolist()):
-            total[self.doc[a:b]] += self.impact[a:b] * w
-        hit = np.flatnonzero(total)
-        if len(hit) > k:
-            hit = hit[total[hit] >= np.partition(total[hit], -k)[-k]]
-        ids, scores = self.ids[hit], total[hit]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+        starts = np.searchsorted(of, np.append(0, cuts))
+        # What the terms of each group, and of all later ones, can add in each block.
+        later = np.zeros((len(cuts) + 1, self.blocks))
+        for g in range(len(cuts) - 1, -1, -1):
+            s = slice(starts[g], starts[g + 1])
+            later[g] = later[g + 1] + np.bincount(self.seg_block[segments[s]], weights=weights[of[s]] * self.seg_most[segments[s]], minlength=self.blocks)
+        n, least, alive, live_blocks = len(self.ids), 0.0, None, None
+        known, real = np.zeros(0, np.int64), np.zeros(0)  # documents that were scored at once
+        total = np.zeros(n)
+        for g in range(len(cuts)):
+            s, o = segments[starts[g] : starts[g + 1]], of[starts[g] : starts[g + 1]]
+            if live_blocks is not None:
+                stays = live_blocks[self.seg_block[s]]
+                s, o = s[stays], o[stays]
+            posting, which = ranges(self.segment[s], self.segment[s + 1])
+            self.read += len(posting)
+            total += np.bincount(self.doc[posting], weights=self.impact[posting] * weights[o[which]], minlength=n)
+            if alive is None:
+                alive = np.flatnonzero(np.repeat(later[0] > 0, BLOCK)[:n])
+            so_far = total[alive]
+            if len(alive) > k and g < len(cuts) - 1:
+                m = min(k if len(known) else LEADERS, len(alive))
+                lead = np.setdiff1d(alive[np.argpartition(-so_far, m - 1)[:m]], known)
+                known, real = np.append(known, lead), np.append(real, self.scores(lead))
+                least = np.partition(real, -k)[-k] if len(real) >= k else 0.0
+            stays = so_far + later[g + 1][alive // BLOCK] >= least * (1 - SLACK)
+            alive = alive[stays]
+            rest = int(lists[-1] - lists[cuts[g] - 1])
+            if len(alive) <= k or (self.own[alive + 1] - self.own[alive]).sum() <= rest // 4:
+                break
+            live_blocks = np.zeros(self.blocks, bool)
+            live_blocks[alive // BLOCK] = True
+        # All lists read, sums are known but for their last digits: what can't be among the k best goes.
+        if len(alive) > k:
+            so_far = total[alive]
+            bound = so_far + (later[g + 1][alive // BLOCK])
+            alive = alive[bound >= max(least, np.partition(so_far, -k)[-k]) * (1 - SLACK)]
+        return alive
 
 
 def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +282,7 @@ def query_blobs(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.R
     """id and its (term, weight) list to one row per shard."""
     for batch in batches:
         for i, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            # Rare terms first, by the global count: scores are summed in this order in every shard.
-            terms.sort(key=lambda x: (x["n"], x["term"]))
+            terms.sort(key=lambda x: x["term"])
             t = np.array([x["term"] for x in terms], np.int64).tobytes()
             w = np.array([x["weight"] for x in terms], np.float64).tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -241,10 +302,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
     sums = {r["term"]: r["n"] for r in df.where("term < 2").collect()}
     n, mean = sums.get(0, 0), sums.get(1, 0) / max(1, sums.get(0, 0)) or 1.0
     weight = F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    terms = asked.mapInArrow(query_terms, "id long, term long, qtf long").join(df, "term").groupBy("id").agg(F.collect_list(F.struct("term", weight.alias("weight"), "n")).alias("terms"))
+    terms = asked.mapInArrow(query_terms, "id long, term long, qtf long").join(df, "term").groupBy("id").agg(F.collect_list(F.struct("term", weight.alias("weight"))).alias("terms"))
     row = "shard int, kind int, id long, terms binary, weights binary"
     rows = text.mapInArrow(lambda it: document_rows(it, shards), row).unionByName(terms.mapInArrow(lambda it: query_blobs(it, shards), row))
-    local = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: search_shard(it, mean, k), "query_id long, doc long, score double")
+    local = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: search_shard(it, mean, k), "query_id long, doc long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc")
     best = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.when(F.col("doc") != 2**63 - 1, F.col("doc")).alias("doc_id"), "score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from queryloom.llm import bm25, bpe, embedding_dedup, html_extract, packing, pii, simhash_dedup, substring_dedup, suffix_dedup, toxicity
@@ -35,8 +35,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked by the score as it is shown, so that other sums of the same terms rank alike."""
     docs = table(spark, sf_dir, "documents")
-    return bm25.search(docs, docs.where(F.col("doc_id") % 100 == 0))
+    found = bm25.search(docs, docs.where(F.col("doc_id") % 100 == 0)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return found.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")).alias("rank"), "doc_id", "score")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,17 @@ component AS (SELECT node, MIN(root) AS root FROM reach GROUP BY node),
 degree AS (SELECT a, COUNT(*) AS n FROM links GROUP BY a)
 SELECT vec_id, COALESCE(n, 0) AS n_links, COALESCE(root, vec_id) AS component_id, COALESCE(root, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN degree ON a = vec_id LEFT JOIN component ON node = vec_id""",
+    "op5_bm25_search": """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM w GROUP BY doc_id, term),
+n AS (SELECT doc_id, SUM(tf) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT CAST(COUNT(*) AS DOUBLE) AS docs, (SELECT SUM(n) FROM n) / COUNT(*) AS mean FROM documents),
+idf AS (SELECT term, ln(1 + (docs - COUNT(*) + 0.5) / (COUNT(*) + 0.5)) AS idf FROM tf, total GROUP BY term, docs),
+score AS (SELECT q.doc_id AS query_id, d.doc_id, ROUND(SUM(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+  FROM tf q JOIN tf d ON d.term = q.term JOIN idf ON idf.term = q.term JOIN n ON n.doc_id = d.doc_id, total
+  WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, d.doc_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 10""",
     "op7_simhash_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s

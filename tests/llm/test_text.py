@@ -277,9 +277,10 @@ def test_div_pages_by_template(spark):
     assert got == {i: f"title {i}\n" + f"story {i} " * 29 + f"story {i}\nend {i}" for i in range(6)}
 
 
-@pytest.mark.parametrize("long", [128, 1])
-def test_search_is_exact(spark, docs, no_docs, corpus, monkeypatch, long):
-    monkeypatch.setattr(bm25, "LONG", long)  # 1: every list is read on its own
+@pytest.mark.parametrize("block", [64, 4])
+def test_search_is_exact(spark, docs, no_docs, corpus, monkeypatch, block):
+    monkeypatch.setattr(bm25, "BLOCK", block)
+    monkeypatch.setattr(bm25, "LEADERS", 12)
     rows = [(i, t) for i, t in dict((r[0], r) for r in corpus).values() if i is not None]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int").repartition(3)
     asked = df.where("doc_id % 10 = 0 or doc_id = 64")
