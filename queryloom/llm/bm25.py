@@ -49,7 +49,7 @@ K1, B, TOP = 1.2, 0.75, 10
 BLOCK, SHARD_BYTES = 64, 32 << 20
 #: Shares of a query's postings after which documents are dropped, and documents scored to raise the bar.
 STEPS, LEADERS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7), 16
-SLACK = 1e-9
+SLACK = 1e-6  # lists hold impacts in single precision; they only choose the candidates
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -165,7 +165,7 @@ class Index:
         self.own = np.append(0, np.cumsum(sizes[order]))
         # Lists by term and place.
         by_term = np.argsort(self.own_term, kind="stable")
-        self.doc, self.impact, term = of[by_term].astype(np.int32), self.own_impact[by_term], self.own_term[by_term]
+        self.doc, self.impact, term = of[by_term].astype(np.int32), self.own_impact[by_term].astype(np.float32), self.own_term[by_term]
         new = np.ones(len(term), bool)  # segments: the postings of a term in a block
         new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)
         self.segment = np.append(np.flatnonzero(new), len(term))
@@ -220,9 +220,10 @@ class Index:
             if live_blocks is not None:
                 stays = live_blocks[self.seg_block[s]]
                 s, o = s[stays], o[stays]
-            posting, which = ranges(self.segment[s], self.segment[s + 1])
+            low, high = self.segment[s], self.segment[s + 1]
+            posting = places(low, high)
             self.read += len(posting)
-            total += np.bincount(self.doc[posting], weights=self.impact[posting] * weights[o[which]], minlength=n)
+            total += np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weights[o], high - low), minlength=n)
             if alive is None:
                 alive = np.flatnonzero(np.repeat(later[0] > 0, BLOCK)[:n])
             so_far = total[alive]
@@ -246,11 +247,16 @@ class Index:
         return alive
 
 
+def places(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of many half-open ranges."""
+    n = last - first
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(n) else 0) + np.repeat(first - ends + n, n)
+
+
 def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of many half-open ranges, and the number of each one's range."""
-    n = last - first
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(of)) + (first - np.cumsum(n) + n)[of], of
+    return places(first, last), np.repeat(np.arange(len(first)), last - first)
 
 
 def search_shard(batches: Iterator[pa.RecordBatch], mean: float, k: int) -> Iterator[pa.RecordBatch]:
