@@ -7,11 +7,17 @@ the domain. A permutation keeps equal values equal in every document under one k
 and different ones different, and its result is again valid (check digits fit, octets
 stay below 256, a date is a date).
 
-Formats: e-mail addresses (the registrable domain stays), telephone numbers (digits
-only; the spelling and the country code stay), payment card numbers of 13 to 19 digits
-that pass the Luhn test (as their pseudonyms do; other digits stay), IBANs, US social security numbers, IPv4 addresses, dates (ISO,
-day.month.year, day/month/year, and month/day/year where that is no day/month/year) and
-long hexadecimal secrets.
+Formats: e-mail addresses in any script (the registrable domain stays), telephone numbers
+(digits only; the spelling and the country code stay), payment card numbers of 13 to 19
+digits that pass the Luhn test (as their pseudonyms do; other digits stay), IBANs, US
+social security numbers, IPv4 and IPv6 addresses, dates of the years 1 to 9999 (ISO,
+day.month.year, day/month/year, and month/day/year where that is no day/month/year; with
+as many digits for day and month as before, and between 1900 and 2099 if they were),
+hexadecimal secrets of 32 digits or more and keys with a known beginning, which stays.
+
+The key is a secret of whoever runs this: ``spark.queryloom.pii.key`` names it for the
+registered queries. Without one a public default is used, for tests and comparisons: its
+pseudonyms can be undone by anyone.
 
 A match that swallowed a group behind its value is read again as a shorter one that ends at
 a group: an IBAN by its country's length, a telephone number by the length of its country's
@@ -19,42 +25,62 @@ numbers where that is known. What passes no test is tried as the formats that co
 and then searched from its second character on.
 
 Defined results: a null text stays null with no findings; ids, ties and repeated rows
-do not matter, since a row's result depends on its text alone; other columns stay as
-they are. There is no shuffle.
+do not matter, since a row's result depends on its text alone; a long text is read
+whole; other columns stay as they are. There is no shuffle.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 #: Only a default, so that results can be compared; give a secret of your own.
 KEY = b"queryloom default pseudonym key"
+KEY_SETTING = "spark.queryloom.pii.key"
 ROUNDS = 8
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 ALPHABET = {ch: a for a in CLASSES for ch in a}
 
+
+@cache
+def alphabet(ch: str) -> str:
+    """The characters that may stand in the place of ch: of its class, or letters and digits of its kind near it in Unicode."""
+    if ch in ALPHABET:
+        return ALPHABET[ch]
+    kind = unicodedata.category(ch)
+    if kind[0] not in "LMN":
+        return ""
+    block = ord(ch) & ~127
+    return "".join(x for c in range(block, block + 128) if unicodedata.category(x := chr(c)) == kind and x not in ALPHABET)
+
 PATTERNS = (
     r"(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})",
     r"(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)",
+    r"(?<![\w:.])(?P<ip6>(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4}){0,6}|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:])",
     r"(?<![\w.-])(?P<date>\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4}|\d\d?/\d\d?/\d{4})(?![\w-])",
     r"(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])",
     r"(?<!\w)(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]){11,30})(?!\w)",
-    r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-])",
+    r"(?<![\w.])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\(0\d{1,4}\) ?\d{3,4}[ -]?\d{3,4}|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4})(?![\w-])",
     r"(?<![\w.-])(?P<card>\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
-    r"(?<!\w)(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)",
+    r"(?<!\w)(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)",
+    r"(?<![\w-])(?P<token>(?:AKIA|ASIA)[0-9A-Z]{16}|sk-(?:[a-z]+-)*[A-Za-z0-9_]{20,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})(?![\w-])",
 )
 FIND = re.compile("|".join(PATTERNS))
-ONE = {kind: re.compile(next(x for x in PATTERNS if f"<{kind}>" in x)) for kind in ("email", "ip", "date", "ssn", "iban", "phone", "card", "secret")}
-SOME = re.compile(r"[0-9@]|[a-f]{32}|[A-F]{32}")
+ONE = {kind: re.compile(next(x for x in PATTERNS if f"<{kind}>" in x)) for kind in ("email", "ip", "ip6", "date", "ssn", "iban", "phone", "card", "secret", "token")}
+SOME = re.compile(r"[0-9@]|[a-f]{32}|[A-F]{32}|AKIA|ASIA|sk-|gh[pousr]_|github_pat_|xox|AIza|glpat-")
+#: What a format counts as.
+COUNTS = {"ip6": "ip", "token": "secret"}
 #: Letters and digits of an IBAN by country.
 IBAN = {
     c[:2]: int(c[2:])
@@ -101,14 +127,14 @@ class Feistel:
 
     def text(self, tweak: str, s: str, back: bool = False) -> str:
         """Permutation of the strings with the character classes of s; other characters stay."""
-        size, x = 1, 0
+        size, x, shape = 1, 0, []
         for ch in s:
-            if a := ALPHABET.get(ch):
+            if a := alphabet(ch):
                 size, x = size * len(a), x * len(a) + a.index(ch)
-        shape = "".join(str(CLASSES.index(ALPHABET[c])) if c in ALPHABET else c for c in s)
-        x, out = self.number(f"{tweak}:{shape}", x, size, back), []
+            shape.append(ch if not a else str(CLASSES.index(a)) if a in CLASSES else a[0])
+        x, out = self.number(f"{tweak}:{''.join(shape)}", x, size, back), []
         for ch in reversed(s):
-            if a := ALPHABET.get(ch):
+            if a := alphabet(ch):
                 x, k = divmod(x, len(a))
                 ch = a[k]
             out.append(ch)
@@ -142,7 +168,7 @@ def _email(f: Feistel, s: str, back: bool) -> str:
 
 def _phone(f: Feistel, s: str, back: bool) -> str | None:
     digits = compact(s)
-    country = len(re.match(r"\+?(\d*)", s)[1]) if s.startswith("+") and not s[1:].isdigit() else (1 if s.startswith("+") else 0)
+    country = len(re.match(r"\+?(\d*)", s)[1]) if s.startswith("+") and not s[1:].isdigit() else (1 if s.startswith(("+", "0", "(0")) else 0)
     if not 7 <= len(digits) <= 15:
         return None
     return spread(s, digits[:country] + f.text("phone" + digits[:country], digits[country:], back))
@@ -183,27 +209,44 @@ def _ip(f: Feistel, s: str, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to the end of 2099
+def _ip6(f: Feistel, s: str, back: bool) -> str | None:
+    try:
+        x = int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+    new = str(ipaddress.IPv6Address(f.number("ip6", x, 1 << 128, back)))
+    return new.upper() if any(ch.isupper() for ch in s) else new
+
+
+#: All dates, and among them those of 1900 to 2099, which stay among themselves.
+DATES, NEAR = datetime.date.max.toordinal(), (datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal())
 
 
 def _date(f: Feistel, s: str, back: bool) -> str | None:
     mark = next(ch for ch in s if not ch.isdigit())
-    parts = list(map(int, s.split(mark)))
-    y, m, d = parts if mark == "-" else parts[::-1]
-    if american := mark == "/" and m > 12:
+    texts = s.split(mark)
+    y, m, d = texts if mark == "-" else texts[::-1]
+    american = mark == "/" and int(m) > 12
+    if american:
         m, d = d, m
     try:
-        x = datetime.date(y, m, d).toordinal() - FIRST
+        x = datetime.date(int(y), int(m), int(d)).toordinal()
     except ValueError:
         return None
-    if not 0 <= x < DAYS:
-        return None
-    new = datetime.date.fromordinal(FIRST + (x := f.number("date", x, DAYS, back)))
-    if american:
-        while new.day < 13:  # else it would be read as day/month
-            new = datetime.date.fromordinal(FIRST + (x := f.number("date", x, DAYS, back)))
-        return f"{new.month:02d}/{new.day:02d}/{new.year}"
-    return new.isoformat() if mark == "-" else f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year}"
+    wide = len(m) == len(d) == 2  # else a part of two digits has no leading zero
+    near = NEAR[0] <= x <= NEAR[1]
+
+    def alike(new: datetime.date) -> bool:
+        sizes = wide or (len(str(new.month)) == len(m) and len(str(new.day)) == len(d))
+        return sizes and (NEAR[0] <= new.toordinal() <= NEAR[1]) == near and (new.day > 12 or not american)
+
+    low, size = (NEAR[0], NEAR[1] - NEAR[0] + 1) if near else (1, DATES)
+    while True:
+        x = low + f.number("date" if near else "far date", x - low, size, back)
+        if alike(new := datetime.date.fromordinal(x)):
+            break
+    year, month, day = f"{new.year:04d}", f"{new.month:0{len(m)}d}", f"{new.day:0{len(d)}d}"
+    return mark.join((year, month, day) if mark == "-" else (month, day, year) if american else (day, month, year))
 
 
 def _secret(f: Feistel, s: str, back: bool) -> str:
@@ -212,6 +255,14 @@ def _secret(f: Feistel, s: str, back: bool) -> str:
     return f"{x:0{len(s)}{'X' if upper else 'x'}}"
 
 
+TOKEN = re.compile(r"AKIA|ASIA|sk-(?:[a-z]+-)*|gh[pousr]_|github_pat_|xox[abprs]-|AIza|glpat-")
+
+
+def _token(f: Feistel, s: str, back: bool) -> str:
+    start = TOKEN.match(s).end()
+    return s[:start] + f.text("token" + s[:start], s[start:], back)
+
+
 def _groups(s: str) -> list[str]:
     """s and its beginnings that end at a group, the longest first."""
     return [s, *(s[: m.start()] for m in reversed(list(re.finditer(r"[ .-]+", s))))]
@@ -236,7 +287,7 @@ def _phones(s: str) -> list[str]:
 
 #: Formats whose pattern may take a group too many.
 READINGS: dict[str, Callable[[str], list[str]]] = {"iban": _ibans, "phone": _phones}
-MAKE: dict[str, Callable[[Feistel, str, bool], str | None]] = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "secret": _secret}
+MAKE: dict[str, Callable[[Feistel, str, bool], str | None]] = {"email": _email, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "ip6": _ip6, "date": _date, "secret": _secret, "token": _token}
 
 
 class Pseudonymizer:
@@ -263,7 +314,7 @@ class Pseudonymizer:
                 at = m.start() + 1
                 continue
             kind, size, new = found
-            counts[kind] += 1
+            counts[COUNTS.get(kind, kind)] += 1
             out += (text[done : m.start()], new)
             at = done = m.start() + size
         return "".join((*out, text[done:])), counts
@@ -279,6 +330,11 @@ class Pseudonymizer:
         return None
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session's settings name, else the public default."""
+    return spark.conf.get(KEY_SETTING, KEY.decode()).encode()
+
+
 def pseudonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """docs with the text replaced, and pii_<kind> counts behind its columns."""
     names = [f"pii_{k}" for k in KINDS]

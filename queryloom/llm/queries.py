@@ -54,7 +54,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(table(spark, sf_dir, "documents"))
+    return pii.digest(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
