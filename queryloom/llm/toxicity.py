@@ -7,14 +7,16 @@ text holds at least ``hits`` of their terms. Beside them stand pattern voters on
 alone (share of capitals, exclamation marks, masked letters).
 
 Label model. A generative model with one hidden class per text explains the votes: each
-voter has its own rate of voting in either class, fitted by expectation-maximization
-over all the sampled texts, from a start the labelled ones give. Voters are not
-independent given the class; their residual correlations are estimated as well, and
-a voter's evidence is divided by the mass it shares with the others.
+voter has its own rates of voting in either class, which say how accurate it is, fitted
+by expectation-maximization over all the sampled texts. The given label is one more
+voter, whose accuracy is estimated like the others'. Voters are not independent given
+the class: each depends on at most one other as well (the spanning forest of the
+strongest residual correlations), so these correlations are parameters of the model.
 
-Classifier. Logistic regression over the terms is trained on the posterior labels
-and it alone scores texts: one pass over the corpus, no
-shuffle, with a model of a few thousand weights.
+Classifier. Logistic regression over terms is trained on the posterior labels and it
+alone scores texts: one pass over the corpus, no shuffle, with a model of a few thousand
+weights. Its terms are the lexicons' and, of those that at least 5 sampled texts have, an
+eighth as many as there are texts, those that lean most to one class.
 
 Sample. The fit collects at most ``sample`` labelled rows (a documented bound, 12,000
 by default), those whose ids hash lowest; scoring covers every text whole.
@@ -71,8 +73,7 @@ class Model:
     ids: np.ndarray
     weights: np.ndarray
     bias: float
-    accuracy: np.ndarray | None = None  # of the voters
-    correlation: np.ndarray | None = None
+    labels: LabelModel | None = None  # the label model it was trained by
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         z = np.array([self.bias + self.weights[r].sum() for r in rows])
@@ -146,33 +147,76 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int,
     return [one[k] for k in sorted(one)]
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.9, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each text, rates (class x voter) and residual correlations, by EM over 0/1 votes.
+@dataclass
+class LabelModel:
+    """P(vote | vote of the parent, class) of each voter; the last voter is the given label."""
+
+    posterior: np.ndarray  # of class 1, for each text
+    prior: float
+    parent: np.ndarray  # of each voter, -1 for none
+    rates: np.ndarray  # voter x vote of the parent x class
+    correlation: np.ndarray  # of the voters given the class, signed
+    accuracy: np.ndarray  # of each voter: share of texts on which it votes for the likelier class
+
 
-    The given label is one more voter, right with probability ``trust``.
+def dependencies(rest: np.ndarray, free: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Correlations of what the class leaves unexplained, and the spanning forest of the strongest (Chow and Liu).
+
+    Voter ``free`` has no parent and is none.
+    """
+    m = rest.shape[1]
+    scale = np.sqrt((rest**2).sum(0)) + 1e-9
+    corr = (rest.T @ rest) / np.outer(scale, scale)
+    strength = np.abs(corr)
+    np.fill_diagonal(strength, 0)
+    strength[free] = strength[:, free] = 0
+    parent = np.full(m, -1)
+    inside, best, via = np.zeros(m, bool), np.zeros(m), np.full(m, -1)
+    for _ in range(m):
+        j = int(np.argmax(np.where(inside, -1, best)))
+        inside[j], parent[j] = True, via[j] if best[j] > least else -1
+        closer = strength[j] > best
+        best[closer], via[closer] = strength[j][closer], j
+    return corr, parent
+
+
+def label_model(votes: np.ndarray, given: np.ndarray, start: float = 0.9, rounds: int = 60, rebuilt: int = 3) -> LabelModel:
+    """A generative model of the votes with one hidden class a text, fitted by expectation-maximization.
+
+    The given label is a voter like the others: how far it is to be trusted is estimated;
+    ``start`` is only where the iteration begins. Each voter's vote depends on the class and on
+    the vote of one other, its parent: the correlations of voters are parameters. The
+    forest of parents is found anew ``rebuilt`` times, from what the class then leaves
+    unexplained; correlations that chance alone may give are left out.
     """
-    p = np.where(given > 0.5, trust, 1 - trust)
-    told = np.where(given > 0.5, 1, -1) * np.log(trust / (1 - trust))
-    share = np.ones(votes.shape[1])
-    corr = np.eye(votes.shape[1])
-    for _ in range(rounds):
-        prior = np.clip(p.mean(), 1e-3, 1 - 1e-3)
-        rates = np.stack([((1 - p) @ votes + 0.5) / ((1 - p).sum() + 1), (p @ votes + 0.5) / (p.sum() + 1)])
-        expected = p[:, None] * rates[1] + (1 - p)[:, None] * rates[0]
-        rest = votes - expected
-        scale = np.sqrt((rest**2).sum(0)) + 1e-9
-        corr = (rest.T @ rest) / np.outer(scale, scale)
-        # Chance alone correlates residuals a little; only what is beyond counts.
-        share = np.sqrt(1 + (np.abs(corr) - np.eye(len(corr)) - 4 / np.sqrt(len(votes))).clip(0, 1).sum(1))
-        gain = (np.log(rates[1]) - np.log(rates[0])) / share
-        loss = (np.log1p(-rates[1]) - np.log1p(-rates[0])) / share
-        z = told + np.log(prior / (1 - prior)) + votes @ gain + (1 - votes) @ loss
-        new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if np.abs(new - p).max() < 1e-4:
-            p = new
-            break
-        p = new
-    return p, rates, corr
+    v = np.column_stack((votes, given > 0.5)).astype(float)
+    n, m = v.shape
+    p = np.where(given > 0.5, start, 1 - start)
+    parent, corr, rates, prior = np.full(m, -1), np.eye(m), np.empty((m, 2, 2)), 0.5
+    for step in range(max(1, rebuilt)):
+        if rebuilt:  # before the first fit too: voters that echo each other would make a class of their own
+            flat = np.stack([((1 - p) @ v + 0.5) / ((1 - p).sum() + 1), (p @ v + 0.5) / (p.sum() + 1)])
+            corr, found = dependencies(v - (p[:, None] * flat[1] + (1 - p)[:, None] * flat[0]), m - 1, 4 / np.sqrt(n))
+            if step and (found == parent).all():
+                break
+            parent = found
+        above = np.where(parent[None, :] >= 0, v[:, np.maximum(parent, 0)], 0.0)
+        for _ in range(rounds):
+            for c, w in ((0, 1 - p), (1, p)):
+                flat = (w @ v + 0.5) / (w.sum() + 1)  # what a voter does in the class, whatever its parent
+                for a, mask in ((0, 1 - above), (1, above)):
+                    rates[:, a, c] = (w @ (mask * v) + 2 * flat) / (w @ mask + 2)
+            prior = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
+            yes, no = np.log(rates), np.log1p(-rates)
+            gain, loss = yes[:, :, 1] - yes[:, :, 0], no[:, :, 1] - no[:, :, 0]
+            of = gain[:, 0] * (1 - above) * v + gain[:, 1] * above * v + loss[:, 0] * (1 - above) * (1 - v) + loss[:, 1] * above * (1 - v)
+            z = np.log(prior / (1 - prior)) + of.sum(1)
+            new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            moved, p = np.abs(new - p).max(), new
+            if moved < 1e-4:
+                break
+    accuracy = (v * p[:, None] + (1 - v) * (1 - p)[:, None]).mean(0)
+    return LabelModel(p, prior, parent, rates, corr, accuracy)
 
 
 def fit(rows: list[tuple[int, np.ndarray, list[bool]]]) -> Model:
@@ -191,7 +235,7 @@ def fit(rows: list[tuple[int, np.ndarray, list[bool]]]) -> Model:
     lexicon = np.flatnonzero((pos >= 4) & (low > max(0.5, 1.5 * base)))
     spread = np.abs(pos - df * base) / np.sqrt(df * base * (1 - base) + 1)
     extra = np.argsort(-spread * (df >= 5), kind="stable")[: max(50, len(rows) // 8)]  # as many as the sample can weigh
-    used = np.union1d(lexicon[np.argsort(-pos[lexicon], kind="stable")[:4000]], extra)
+    used = np.union1d(lexicon, extra)
     place = np.full(len(all_ids), -1)
     place[used] = np.arange(len(used))
     in_use = place[flat] >= 0
@@ -206,9 +250,9 @@ def fit(rows: list[tuple[int, np.ndarray, list[bool]]]) -> Model:
     np.add.at(votes, (doc[at], voter[term[at]]), 1)
     votes[:, :n_voters] = votes[:, :n_voters] > 0
     votes[:, n_voters:] = [r[2] for r in rows]
-    p, rates, corr = label_model(votes, y)
-    weights, bias = logistic(doc, term, p, len(rows), len(used))
-    return Model(all_ids[used], weights, bias, rates, corr)
+    labels = label_model(votes, y)
+    weights, bias = logistic(doc, term, labels.posterior, len(rows), len(used))
+    return Model(all_ids[used], weights, bias, labels)
 
 
 def logistic(doc: np.ndarray, term: np.ndarray, target: np.ndarray, n: int, m: int, rounds: int = 600, prior: float = 0.3, balance: float = 1.0) -> tuple[np.ndarray, float]:

@@ -194,8 +194,57 @@ def test_label_model_finds_the_better_voter():
     r = np.random.default_rng(0)
     y = (r.random(2000) < 0.3).astype(float)
     good, copy, poor = (np.where(r.random(2000) < q, y, 1 - y) for q in (0.95, 0.95, 0.6))
-    p, rates, corr = toxicity.label_model(np.stack([good, good.copy(), poor], 1), copy)
-    assert ((p > 0.5) == (y > 0.5)).mean() > 0.93 and abs(corr[0, 1]) > 0.9 and rates[1][0] - rates[0][0] > rates[1][2] - rates[0][2]
+    m = toxicity.label_model(np.stack([good, good.copy(), poor], 1), copy)
+    assert ((m.posterior > 0.5) == (y > 0.5)).mean() > 0.93 and abs(m.correlation[0, 1]) > 0.9 and m.accuracy[0] > m.accuracy[2]
+
+
+def test_label_model_estimates_its_parameters():
+    """Accuracies, the given label's too, and correlations as they were planted; a copied voter counts once."""
+    r = np.random.default_rng(1)
+    n = 8000
+    y = (r.random(n) < 0.25).astype(float)
+    planted = (0.9, 0.85, 0.8, 0.75)
+    votes = [np.where(r.random(n) < q, y, 1 - y) for q in planted]
+    echo = [np.where(r.random(n) < 0.95, votes[3], r.random(n) < 0.5) for _ in range(4)]  # four echoes of the weakest
+    given = np.where(r.random(n) < 0.88, y, 1 - y)
+    m = toxicity.label_model(np.stack([*votes, *echo], 1).astype(float), given)
+    assert np.allclose(m.accuracy[:4], planted, atol=0.03) and abs(m.accuracy[-1] - 0.88) < 0.03
+    weak = {3, 4, 5, 6, 7}
+    edges = [(j, int(p)) for j, p in enumerate(m.parent) if p >= 0]
+    assert sum({j, p} <= weak for j, p in edges) == 4 and m.parent[-1] == -1 and m.correlation[3, 4] > 0.8
+    assert ((m.posterior > 0.5) == y).mean() > max((given == y).mean(), 0.9) + 0.03
+    # Echoes that are taken for independent would outvote the rest.
+    apart = toxicity.label_model(np.stack([*votes, *echo], 1).astype(float), given, rebuilt=0)
+    assert ((m.posterior > 0.5) == y).mean() > ((apart.posterior > 0.5) == y).mean() + 0.02
+
+
+def test_posterior_labels_train_better_than_given_ones(spark, labelled):
+    """Ablation: with a tenth of the given labels flipped, the classifier from the posterior against the one from the labels."""
+    r, rows = random.Random(5), []
+    for _, t, _, y in labelled:
+        ids = sorted({x for w in set(toxicity.WORD.findall(t.lower())) for x in toxicity.terms(w)})
+        rows.append((y if r.random() > 0.1 else 1 - y, np.array(ids, np.int64), list(toxicity.form(t))))
+    truth = np.array([y for *_, y in labelled])
+    fit, model = toxicity.fit(rows[:600]), toxicity.label_model
+
+    def raw(votes, given, **options):
+        m = model(votes, given, **options)
+        m.posterior = given
+        return m
+
+    toxicity.label_model = raw
+    try:
+        plain = toxicity.fit(rows[:600])
+    finally:
+        toxicity.label_model = model
+    assert ((fit.labels.posterior > 0.5) == truth[:600]).mean() > 0.97 > (np.array([x[0] for x in rows[:600]]) == truth[:600]).mean()
+
+    def loss(m):
+        read = toxicity.Reader(m.ids)
+        s = np.clip(m.score([read(t) for _, t, _, _ in labelled[600:]]), 1e-6, 1 - 1e-6)
+        return -np.where(truth[600:] == 1, np.log(s), np.log(1 - s)).mean()
+
+    assert loss(fit) < 0.8 * loss(plain)
 
 
 PAGE = '<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><header class="site-header">Site {h}</header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>{body}<div class="sidebar"><p>Links {i}</p></div><div id="comments"><p>me too {i}</p></div><form><label>Search</label><input></form><footer>&copy; {h}</footer></body></html>'
