@@ -3,8 +3,10 @@
 Statistics (number of documents, mean length, document frequencies) are global, so a
 score does not depend on the shard that computes it. Documents are spread over shards
 by hash; the number of shards follows the corpus, so an index in memory stays small.
-A shard's partition holds its documents first and the queries behind them: the task
-builds its index and streams the queries through, any number of them.
+The queries are written once, as a table in the shared folder: a shard's task builds the
+index of its partition and streams the queries from there, any number of them. So what is
+on disk is documents and queries once, not queries times shards; the folder goes when the
+hits are there.
 
 In a shard, similar documents stand side by side (a few singular vectors of the weighted
 term matrix, halved again and again), in blocks; of every term the index has the largest
@@ -34,21 +36,25 @@ hits; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from queryloom.llm._common import checkpoint, strings
+from queryloom.llm._common import checkpoint, checkpoint_folder, remove_folder, strings
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK, SHARD_BYTES = 64, 32 << 20
 #: Shares of a query's postings after which documents are dropped, and documents scored to raise the bar.
 STEPS, LEADERS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.7), 16
+QUERY_BYTES, QUERY_ROWS = 4 << 20, 256  # of the queries' file that a task reads, and queries that it answers, at once
 SLACK = 1e-6  # lists hold impacts in single precision; they only choose the candidates
 WORD = re.compile(r"[^\W_]+")
 
@@ -94,14 +100,14 @@ def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """id, text to shard, kind 0, id, terms and counts (binary)."""
+    """id, text to shard, id, terms and counts (binary)."""
     terms = Terms()
     for batch in batches:
         out = [terms(t) for t in strings(batch.column(1))]
         shard = [xxhash.xxh3_64_intdigest(t.tobytes(), seed=(i or 0) & (2**64 - 1)) % shards for (t, _), i in zip(out, batch.column(0).to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard, pa.int32()), pa.array(np.zeros(len(out), np.int32)), batch.column(0), pa.array([t.tobytes() for t, _ in out], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in out], pa.binary())],
-            ["shard", "kind", "id", "terms", "weights"],
+            [pa.array(shard, pa.int32()), batch.column(0), pa.array([t.tobytes() for t, _ in out], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in out], pa.binary())],
+            ["shard", "id", "terms", "counts"],
         )
 
 
@@ -259,42 +265,37 @@ def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return places(first, last), np.repeat(np.arange(len(first)), last - first)
 
 
-def search_shard(batches: Iterator[pa.RecordBatch], mean: float, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, kind, id to each query's k best in its shard."""
-    shard, index = None, None
+def search_shard(batches: Iterator[pa.RecordBatch], files: list[str], mean: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Documents of a partition (see document_rows) and the files of all queries to each query's k best there."""
     ids, terms, counts = [], [], []
     for batch in batches:
-        found = []
-        for s, kind, i, t, w in zip(*(batch.column(c).to_pylist() for c in range(5))):
-            if s != shard:
-                shard, index, ids, terms, counts = s, None, [], [], []
-            t = np.frombuffer(t, np.int64)
-            if kind == 0:
-                ids.append(i)
-                terms.append(t)
-                counts.append(np.frombuffer(w, np.uint32))
-                continue
-            if index is None:
-                index = Index(ids, terms, counts, mean)
-                ids, terms, counts = [], [], []
-            hits, scores = index.top(t, np.frombuffer(w, np.float64), k)
-            if len(hits):
-                found.append((np.full(len(hits), i, np.int64), hits, scores))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "doc", "score"])
-
-
-def query_blobs(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """id and its (term, weight) list to one row per shard."""
+        ids += batch.column(1).to_pylist()
+        terms += [np.frombuffer(t, np.int64) for t in batch.column(2).to_pylist()]
+        counts += [np.frombuffer(c, np.uint32) for c in batch.column(3).to_pylist()]
+    if not ids:
+        return
+    index = Index(ids, terms, counts, mean)
+    del ids, terms, counts
+    for file in files:
+        system, path = pyarrow.fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(QUERY_ROWS, use_threads=False):
+                found = []
+                for i, t, w in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    hits, scores = index.top(np.frombuffer(t, np.int64), np.frombuffer(w, np.float64), k)
+                    if len(hits):
+                        found.append((np.full(len(hits), i, np.int64), hits, scores))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "doc", "score"])
+
+
+def query_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and its (term, weight) list to id, terms and weights (binary)."""
     for batch in batches:
-        for i, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            terms.sort(key=lambda x: x["term"])
-            t = np.array([x["term"] for x in terms], np.int64).tobytes()
-            w = np.array([x["weight"] for x in terms], np.float64).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.ones(shards, np.int32)), pa.array(np.full(shards, i, np.int64)), pa.array([t] * shards, pa.binary()), pa.array([w] * shards, pa.binary())],
-                ["shard", "kind", "id", "terms", "weights"],
-            )
+        lists = [sorted((x["term"], x["weight"]) for x in terms) for terms in batch.column(1).to_pylist()]
+        t = [np.array([x for x, _ in terms], np.int64).tobytes() for terms in lists]
+        w = [np.array([x for _, x in terms], np.float64).tobytes() for terms in lists]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(w, pa.binary())], ["id", "terms", "weights"])
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,9 +310,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
     n, mean = sums.get(0, 0), sums.get(1, 0) / max(1, sums.get(0, 0)) or 1.0
     weight = F.col("qtf") * F.log1p((F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     terms = asked.mapInArrow(query_terms, "id long, term long, qtf long").join(df, "term").groupBy("id").agg(F.collect_list(F.struct("term", weight.alias("weight"))).alias("terms"))
-    row = "shard int, kind int, id long, terms binary, weights binary"
-    rows = text.mapInArrow(lambda it: document_rows(it, shards), row).unionByName(terms.mapInArrow(lambda it: query_blobs(it, shards), row))
-    local = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: search_shard(it, mean, k), "query_id long, doc long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc")
-    best = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = text.mapInArrow(lambda it: document_rows(it, shards), "shard int, id long, terms binary, counts binary").repartitionById(shards, "shard")
+    folder = f"{checkpoint_folder(docs.sparkSession)}/queries-{uuid.uuid4().hex}"
+    try:
+        terms.mapInArrow(query_blobs, "id long, terms binary, weights binary").write.option("parquet.block.size", QUERY_BYTES).parquet(folder)
+        files = docs.sparkSession.read.parquet(folder).inputFiles()
+        local = rows.mapInArrow(lambda it: search_shard(it, files, mean, k), "query_id long, doc long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc")
+        best = checkpoint(local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    finally:
+        remove_folder(docs.sparkSession, folder)
     return best.select("query_id", "rank", F.when(F.col("doc") != 2**63 - 1, F.col("doc")).alias("doc_id"), "score")

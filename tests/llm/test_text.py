@@ -393,6 +393,28 @@ def test_search_is_exact(spark, docs, no_docs, corpus, monkeypatch, block):
     assert bm25.search(no_docs, no_docs).collect() == []
 
 
+
+def test_search_writes_queries_once(spark, words):
+    """More shards: the same hits and about the same bytes shuffled, and nothing is left of the queries' table."""
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, " ".join(r.choices(words, k=300))) for i in range(120)], "doc_id long, text string").repartition(3).cache()
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    found, moved = [], []
+    for size in (1 << 30, 5_000):
+        before = written()
+        found.append(sorted(map(tuple, bm25.search(df, df, shard_bytes=size).collect())))
+        moved.append(written() - before)
+    df.unpersist()
+    assert found[0] == found[1] and len(found[0]) == 1200
+    assert moved[1] < 2 * moved[0]
+    assert not list(Path(bm25.checkpoint_folder(spark).removeprefix("file:")).glob("queries-*"))
+
+
 def test_pipeline(spark, tmp_path, words, labelled):
     import corpus_pipeline
 
