@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import inner_id, mix, row_tag, shuffle_width
+from queryloom.llm._common import inner_id, lean, mix, row_tag, shuffle_width
 
 #: Symbols handled at once; it must fit the low bits that hold a gram's place.
 CHUNK_BITS = 20
@@ -76,8 +76,8 @@ class Rolling:
     def prefix(self, symbols: np.ndarray) -> np.ndarray:
         self._powers(len(symbols) + 1)
         out = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * self.up[: len(symbols)], out=out[1:])
-        return out
+        np.multiply(symbols, self.up[: len(symbols)], out=out[1:])
+        return np.cumsum(out, out=out)
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (prefix[end] - prefix[start]) * self.down[start]
@@ -124,29 +124,37 @@ def pieces(ids: Iterable[int], tags: Iterable[int], symbols: Iterable[np.ndarray
 
 
 def runs(held: list[tuple[int, int, int, np.ndarray]], shape: Shape) -> dict[str, np.ndarray]:
-    """The runs of one chunk, in order of place; ``doc`` is an index into ``held``."""
+    """The runs of one chunk, in order of place; ``doc`` is an index into ``held``. Arrays as long as the chunk go as soon as they can."""
     lengths = np.array([len(x[3]) for x in held])
     symbols = np.concatenate([x[3] for x in held]) if len(held) > 1 else held[0][3]
-    owner = np.repeat(np.arange(len(held)), lengths)
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
     begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     prefix = KEY.prefix(symbols)
     n_grams = len(symbols) - shape.gram + 1
-    grams = mix((prefix[shape.gram :] - prefix[:n_grams]) * KEY.down[:n_grams])
-    places = np.arange(n_grams, dtype=np.uint64)
-    lowest = sliding_min((grams & ~U(CHUNK - 1)) | places, shape.width - shape.gram + 1)
-    anchor = (lowest & U(CHUNK - 1)).astype(np.int64)
+    grams = prefix[shape.gram :] - prefix[:n_grams]
+    del prefix
+    grams *= KEY.down[:n_grams]
+    grams = mix(grams)
+    placed = grams & ~U(CHUNK - 1)
+    placed |= np.arange(n_grams, dtype=np.uint64)
+    placed = sliding_min(placed, shape.width - shape.gram + 1)
+    anchor = (placed & U(CHUNK - 1)).view(np.int64)
+    del placed
     n_windows = len(symbols) - shape.width + 1
     inside = owner[:n_windows] == owner[shape.width - 1 :]
     first = inside.copy()
     first[1:] &= (anchor[1:] != anchor[:-1]) | ~inside[:-1]
     starts = np.flatnonzero(first)
+    anchor = anchor[starts]
+    key = grams[anchor]
+    del grams, inside, first
     # A run ends before the next one or before a window that would leave its document.
     ends = np.append(starts[1:], n_windows)
     stop = begins[owner[starts]] + lengths[owner[starts]] - shape.width + 1
     n = np.minimum(ends, stop) - starts
     seg_prefix = SEG.prefix(symbols)
-    seg = mix(SEG.ranges(seg_prefix, starts, starts + n + shape.width - 1) + ((n.astype(np.uint64) << U(8)) + (anchor[starts] - starts).astype(np.uint64)) * U(0xA0761D6478BD642F))
-    return {"key": grams[anchor[starts]], "seg": seg, "doc": owner[starts], "start": starts - begins[owner[starts]], "n": n, "anchor": anchor[starts] - starts}
+    seg = mix(SEG.ranges(seg_prefix, starts, starts + n + shape.width - 1) + ((n.astype(np.uint64) << U(8)) + (anchor - starts).astype(np.uint64)) * U(0xA0761D6478BD642F))
+    return {"key": key, "seg": seg, "doc": owner[starts], "start": starts - begins[owner[starts]], "n": n, "anchor": anchor - starts}
 
 
 def merged(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,6 +260,7 @@ def scan_chunk(held, shape: Shape, known: Known) -> tuple[np.ndarray, ...]:
     )
 
 
+@lean
 def scan(batches: Iterator[pa.RecordBatch], shape: Shape, symbolize: Callable[[list[str]], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """(doc, tag, text) to RUN_SCHEMA."""
     names, known = ["key", "seg", "doc", "tag", "pos", "size"], Known()
@@ -262,6 +271,7 @@ def scan(batches: Iterator[pa.RecordBatch], shape: Shape, symbolize: Callable[[l
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in scan_chunk(held, shape, known)], names)
 
 
+@lean
 def settle(batches: Iterator[pa.RecordBatch], shape: Shape, last: bool = False) -> Iterator[pa.RecordBatch]:
     """RUN_SCHEMA sorted by key, seg, doc, tag, pos to FOUND_SCHEMA, in constant memory.
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import checkpoint, strings
+from queryloom.llm._common import checkpoint, lean, strings
 from queryloom.llm.bpe import byte_alphabet
 
 LENGTH, END = 2048, 1
@@ -202,6 +202,7 @@ def by_size(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
 def tokenized(docs: DataFrame, path: str, end: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
     """First pass: part, doc_id, n, ids (compressed) in the shared folder, and where each part begins in the stream."""
 
+    @lean
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, squeeze = WordIds(path), zstandard.ZstdCompressor(level=1)
         close = np.array([end], "<u4").tobytes()
@@ -240,6 +241,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, id_co
     """One row per piece, with its ids (little-endian u32): see PIECES."""
     kept, base = tokenized(docs, path, end, id_col, text_col)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         for rows in cut(batches, base, length):
@@ -258,6 +260,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, end: int = END,
     """
     kept, base = tokenized(docs, path, end, id_col, text_col)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list[tuple[int, int, bytes]] = []  # the open window's pieces: sequence, offset, ids
 

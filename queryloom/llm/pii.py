@@ -44,6 +44,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from queryloom.llm._common import lean
+
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 #: Only a default, so that results can be compared; give a secret of your own.
 KEY = b"queryloom default pseudonym key"
@@ -344,6 +346,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T.IntegerType()) for name in names)])
     at = docs.columns.index(text_col)
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swap = Pseudonymizer(key)
         for batch in batches:

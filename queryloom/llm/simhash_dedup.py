@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import checkpoint, inner_id, mix, outer_id, shuffle_width, unused
+from queryloom.llm._common import checkpoint, inner_id, lean, mix, outer_id, shuffle_width, unused
 from queryloom.llm.components import components
 
 BITS, SHINGLE, SIMILARITY = 256, 5, 0.8
@@ -92,6 +92,7 @@ def simhash(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
+@lean
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, text, th to doc, th, set_hash (of the whole shingle set), signature, number of shingles."""
     shingles = Shingles()
@@ -112,6 +113,7 @@ def coordinates(table: int, n: int) -> np.ndarray:
     return np.random.default_rng(1000 + table).permutation(n)
 
 
+@lean
 def keyed(batches: Iterator[pa.RecordBatch], tables: int, sampled: int) -> Iterator[pa.RecordBatch]:
     """doc, sig to one row per table: bucket (key of the sampled bits), doc, sig."""
     orders = [coordinates(t, BITS) for t in range(tables)]
@@ -197,6 +199,7 @@ def link(docs: np.ndarray, sigs: np.ndarray, distance: int, nearest: int) -> tup
     return np.array(out, np.int64), docs[left]
 
 
+@lean
 def bucket_edges(batches: Iterator[pa.RecordBatch], distance: int, nearest: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket to candidate edges (a < b) with bucket -1, and rows (doc, doc, bucket) for members of pairs
     left out; a bucket is at most BUCKET rows or all equal."""
@@ -237,6 +240,7 @@ def bucket_edges(batches: Iterator[pa.RecordBatch], distance: int, nearest: int)
         yield batch_of(pairs)
 
 
+@lean
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles = Shingles()
     for batch in batches:
@@ -251,6 +255,7 @@ def numbers(raw: bytes) -> np.ndarray:
     return wide.view(U).ravel()
 
 
+@lean
 def jaccard(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queryloom.llm import _spans as S
-from queryloom.llm._common import checkpoint, mix, outer_id
+from queryloom.llm._common import checkpoint, lean, mix, outer_id
 
 WIDTH, GRAM = 13, 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -56,6 +56,7 @@ def symbolizer():
     return symbols
 
 
+@lean
 def edges(batches: Iterator[pa.RecordBatch], shape: S.Shape) -> Iterator[pa.RecordBatch]:
     """The single windows of candidate paths, as RUN_SCHEMA; of equal ones of a document and of a batch the first."""
     symbols = symbolizer()
@@ -95,6 +96,7 @@ def kept_text(text: bytes, gone: np.ndarray) -> bytes:
     return b" ".join(text[words[keep[i]][0] : words[keep[j]][1]] for i, j in zip(np.append(0, cuts + 1), np.append(cuts, len(keep) - 1)))
 
 
+@lean
 def cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     """Rows of at_text to their row, counts and kept text (with ``digest``, the hash of the kept words in place of the text)."""
     for batch in batches:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import strings
+from queryloom.llm._common import lean, strings
 
 SAMPLE, THRESHOLD = 12_000, 0.7
 WORD = re.compile(r"[^\W_]+")
@@ -120,6 +120,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int,
     # The sample is at most `sample` ids and labels (16 bytes each), whatever the size of the tables.
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[int, ...]] = {}
         for batch in batches:
@@ -286,6 +287,7 @@ def apply(docs: DataFrame, model: Model, threshold: float = THRESHOLD, score_col
 
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(model.ids)
         for batch in batches:

@@ -1,10 +1,13 @@
 """Suffix dedup and substring dedup against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -37,6 +40,31 @@ def test_range_min():
     assert suffix_dedup._range_min(v, a, b).tolist() == [v[i : j + 1].min() for i, j in zip(a, b)]
 
 
+def worker_mb(spark):
+    """The most private memory that a Python worker has between tasks."""
+
+    def look(batches):
+        for _ in batches:
+            pass
+        time.sleep(0.2)  # so that each worker gets a task
+        with open("/proc/self/status") as f:
+            yield pa.RecordBatch.from_arrays([pa.array([int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) >> 10])], ["mb"])
+
+    return spark.range(0, 16, 1, 16).mapInArrow(look, "mb long").agg({"mb": "max"}).first()[0]
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="reads /proc")
+def test_workers_give_memory_back(spark):
+    """A worker that has removed repeated words from much text is as small again as before."""
+    text = "concat_ws(' ', transform(sequence(1, {}), x -> hex(xxhash64(id, x)))) AS text"
+    few = spark.range(0, 40, 1, 4).selectExpr("id AS doc_id", text.format(30))
+    many = spark.range(0, 4000, 1, 4).selectExpr("id AS doc_id", text.format(600))
+    assert substring_dedup.remove_repeated(few).count() == 40
+    before = worker_mb(spark)
+    assert substring_dedup.remove_repeated(many).selectExpr("sum(length(text)) AS n").first()[0] > 4000 * 600 * 15
+    assert worker_mb(spark) < before + 75
+
+
 def test_equal_windows_meet_under_one_key():
     shape = _spans.Shape(20, 6, True)
     r = np.random.default_rng(3)
