@@ -47,6 +47,7 @@ WORD = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
 GROUPS = 6
 MASK = (1 << 40) - 1
+BLOCK = 1 << 19  # term ids of the sample that the fit sorts or looks up at a time
 
 
 def terms(word: str) -> tuple[int, ...]:
@@ -220,15 +221,43 @@ def label_model(votes: np.ndarray, given: np.ndarray, start: float = 0.9, rounds
     return LabelModel(p, prior, parent, rates, corr, accuracy)
 
 
+def blocks(rows: list[tuple[int, np.ndarray, list[bool]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, term id) of all rows, in order, some ``BLOCK`` at a time."""
+    first, n = 0, 0
+    for k, r in enumerate(rows):
+        n += len(r[1])
+        if n >= BLOCK or k + 1 == len(rows):
+            part = [x[1] for x in rows[first : k + 1]]
+            yield np.repeat(np.arange(first, k + 1), [len(x) for x in part]), np.concatenate(part)
+            first, n = k + 1, 0
+
+
+def counted(rows: list[tuple[int, np.ndarray, list[bool]]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct term ids, sorted, and for each the number of rows that have it and the sum of their ``y``.
+
+    The driver sorts blocks of the sample, never the whole: beside the rows it holds what is distinct.
+    """
+    all_ids, held, n = np.zeros(0, np.int64), [], 0
+    for _, ids in blocks(rows):
+        held.append(np.unique(ids))
+        n += len(held[-1])
+        if n >= max(BLOCK, len(all_ids)):
+            all_ids, held, n = np.unique(np.concatenate((all_ids, *held))), [], 0
+    all_ids = np.unique(np.concatenate((all_ids, *held)))
+    df, pos = np.zeros(len(all_ids), np.int64), np.zeros(len(all_ids))
+    for owner, ids in blocks(rows):
+        at = np.searchsorted(all_ids, ids)
+        np.add.at(df, at, 1)
+        np.add.at(pos, at, y[owner])
+    return all_ids, df, pos
+
+
 def fit(rows: list[tuple[int, np.ndarray, list[bool]]]) -> Model:
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    all_ids, flat = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    df = np.bincount(flat, minlength=len(all_ids))
-    pos = np.bincount(flat, weights=y[owner], minlength=len(all_ids))
+    all_ids, df, pos = counted(rows, y)
     base = y.mean()
     rate = (pos + base) / (df + 1)
     # Lexicons: clearly over the base rate, with a margin that few mentions can't reach.
@@ -237,13 +266,15 @@ def fit(rows: list[tuple[int, np.ndarray, list[bool]]]) -> Model:
     spread = np.abs(pos - df * base) / np.sqrt(df * base * (1 - base) + 1)
     extra = np.argsort(-spread * (df >= 5), kind="stable")[: max(50, len(rows) // 8)]  # as many as the sample can weigh
     used = np.union1d(lexicon, extra)
-    place = np.full(len(all_ids), -1)
-    place[used] = np.arange(len(used))
-    in_use = place[flat] >= 0
-    doc, term = owner[in_use], place[flat[in_use]]
+    doc, term = [], []
+    for owner, ids in blocks(rows):
+        at = np.minimum(np.searchsorted(all_ids[used], ids), len(used) - 1)
+        in_use = all_ids[used][at] == ids
+        doc.append(owner[in_use])
+        term.append(at[in_use])
+    doc, term = np.concatenate(doc), np.concatenate(term)
     kind = (all_ids[used] >> 41) & 7
-    is_lexicon = np.zeros(len(used), bool)
-    is_lexicon[place[lexicon[place[lexicon] >= 0]]] = True
+    is_lexicon = np.isin(used, lexicon)
     voter = np.where(is_lexicon, kind * GROUPS + all_ids[used] % GROUPS, -1)
     n_voters = (len(PREFIXES) + 1) * GROUPS
     votes = np.zeros((len(rows), n_voters + len(rows[0][2])))

@@ -3,6 +3,7 @@
 import ipaddress
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -190,6 +191,30 @@ def test_toxicity(spark, labelled, no_docs):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5} and toxicity.score(no_docs, none).collect() == []
 
 
+def test_toxicity_fit_sorts_the_sample_in_blocks():
+    """Of several blocks: the counts of the whole, and less memory beside the rows than a sort of all their terms takes."""
+    r = np.random.default_rng(2)
+    rows = [(int(k % 5 == 0), np.unique(r.zipf(1.2, 1500) % 200_000 * 4 + (k % 5 == 0)), [False]) for k in range(4000)] + [(0, np.zeros(0, np.int64), [False])]
+    y = np.array([x[0] for x in rows], float)
+    flat, owner = np.concatenate([x[1] for x in rows]), np.repeat(np.arange(len(rows)), [len(x[1]) for x in rows])
+    assert len(flat) > 2 * toxicity.BLOCK
+    ids, df, pos = toxicity.counted(rows, y)
+    want, at = np.unique(flat, return_inverse=True)
+    assert (ids == want).all() and (df == np.bincount(at)).all() and (pos == np.bincount(at, weights=y[owner])).all()
+    size = flat.nbytes
+    del flat, owner, at
+    tracemalloc.start()
+    try:
+        toxicity.counted(rows, y)
+        assert tracemalloc.get_traced_memory()[1] < 2 * size
+        tracemalloc.reset_peak()
+        model = toxicity.fit(rows)
+        assert tracemalloc.get_traced_memory()[1] < 4 * size
+    finally:
+        tracemalloc.stop()
+    assert len(model.ids) and np.isfinite(model.weights).all()
+
+
 def test_label_model_finds_the_better_voter():
     r = np.random.default_rng(0)
     y = (r.random(2000) < 0.3).astype(float)
