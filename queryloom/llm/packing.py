@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -32,12 +34,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import checkpoint, lean, strings
+from queryloom.llm._common import checkpoint, lean
 from queryloom.llm.bpe import byte_alphabet
 
 LENGTH, END = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-SPACE = str.maketrans("\t\n\r", "   ")
 
 
 class PairTable:
@@ -110,40 +111,95 @@ class PairTable:
         return done
 
 
+SEPARATOR, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)  # of a byte of UTF-8
+KIND[[9, 10, 13, 32]] = SEPARATOR
+KIND[list(string.ascii_letters.encode())] = LETTER
+KIND[list(string.digits.encode())] = DIGIT
+KIND[list(set(string.punctuation.encode()) - set(b"<'"))] = SIGN
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def pieces(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts that begin at ``starts`` in ``data`` (UTF-8): the pieces to encode one by one, which are rough, and of each text how many.
+
+    A text is cut into chunks at spaces, tabs and line ends. A chunk of nothing but letters of
+    ASCII and Latin-1, ASCII digits and signs without < and ' is cut into its pre-tokens, in
+    lower case; any other chunk is one piece as it stands, a rough one.
+    """
+    kind, low = KIND[data], LOWER[data]
+    latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))  # all of U+00C0 to U+00FF but two signs
+    kind[latin] = kind[latin + 1] = LETTER
+    low[latin[data[latin + 1] <= 0x9E] + 1] += 0x20
+    inside = kind != SEPARATOR
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = starts[starts < len(data)]
+    begins[first] = inside[first]
+    rough = np.zeros(len(data), bool)
+    if (other := np.flatnonzero(kind == OTHER)).size:
+        chunk = np.cumsum(begins, dtype=np.int32)
+        of = np.zeros(int(chunk[-1]) + 1, bool)
+        of[chunk[other]] = True
+        rough = of[chunk] & inside
+    begins[1:] |= inside[1:] & ~rough[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+    at = np.flatnonzero(begins)
+    held = np.where(rough, data, low)[inside]
+    ends = np.append(np.flatnonzero(begins[inside]), len(held)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(held))
+    return found, rough[at], np.diff(np.searchsorted(at, starts), append=len(at))
+
+
+@lru_cache(maxsize=1)
+def merges(path: str, changed: int) -> tuple[PairTable, np.ndarray, np.ndarray]:
+    """Of a tokenizer's file: merge ranks, ids of bytes inside and at the end of a word; kept from task to task."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+    table = PairTable(np.array([vocab[a] << 32 | vocab[b] for a, b in pairs]), np.array([vocab[a + b] for a, b in pairs]))
+    inside, final = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for ch, b in byte_alphabet().items():
+        inside[b], final[b] = vocab[ch], vocab[ch + suffix]
+    return table, inside, final
+
+
 class WordIds:
-    """Ids of texts by a lower-casing word BPE (end-of-word suffix), kept by word.
+    """Ids of texts by a lower-casing word BPE (end-of-word suffix), kept by piece.
 
     White space is dropped by this kind of tokenizer, so a text is cut at spaces, tabs
-    and line ends and each distinct chunk is encoded once; new ones are encoded many
-    at a time. What the short way doesn't cover (other white space, special tokens,
-    decomposed or unusual letters) is left to the tokenizers library, chunk by chunk.
+    and line ends, where that is plain into pre-tokens, and each distinct piece is encoded
+    once; new ones are encoded many at a time. What the short way doesn't cover (other white
+    space, special tokens, decomposed or unusual letters) is left to the tokenizers library,
+    chunk by chunk.
     """
 
     PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     ODD = regex.compile(r"[\s\p{M}<Σİ]")
+    LONG = 1_000
 
     def __init__(self, path: str, cache: int = 300_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
-        self.table = PairTable(np.array([vocab[a] << 32 | vocab[b] for a, b in pairs]), np.array([vocab[a + b] for a, b in pairs]))
-        alphabet = byte_alphabet()
-        self.inside, self.final = np.zeros(256, np.int64), np.zeros(256, np.int64)
-        for ch, b in alphabet.items():
-            self.inside[b], self.final[b] = vocab[ch], vocab[ch + suffix]
+        self.path = path
+        self.table, self.inside, self.final = merges(path, os.stat(path).st_mtime_ns)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.limit = cache
 
-    def _learn_words(self, new: list[str]) -> None:
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    def _by_library(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_words(self, new: list[str], into: dict[str, bytes]) -> None:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             raw = [w.encode() for w in part]
@@ -152,17 +208,13 @@ class WordIds:
             symbols = self.inside[codes]
             last = np.cumsum(lengths) - 1
             symbols[last] = self.final[codes[last]]
-            self.words.update(zip(part, self.table.merge(symbols, lengths)))
+            into.update(zip(part, self.table.merge(symbols, lengths)))
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn_rough(self, chunks: list[str]) -> None:
         split: dict[str, list[str]] = {}
         for chunk in chunks:
-            if chunk in self.old:
-                self.young[chunk] = self.old[chunk]
-            elif chunk.isascii() and chunk.isalpha():
-                split[chunk] = [chunk.lower()]
-            elif self.ODD.search(chunk) or not unicodedata.is_normalized("NFC", chunk) or len(chunk) > 1_000:
-                self.young[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            if self.ODD.search(chunk) or not unicodedata.is_normalized("NFC", chunk) or len(chunk) > self.LONG:
+                self.young[chunk] = self._by_library(chunk)
             else:
                 split[chunk] = self.PRE_TOKEN.findall(chunk.lower())
         if split:
@@ -170,33 +222,62 @@ class WordIds:
             if len(self.words) > self.limit:
                 self.words = {}
             if new := [w for w in needed if w not in self.words]:
-                self._learn_words(new)
+                self._learn_words(new, self.words)
             known = self.words
             for chunk, words in split.items():
                 self.young[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        split = [t.translate(SPACE).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
+    def _known(self, found: list[str], rough: np.ndarray) -> list[bytes]:
+        """Ids of each of the distinct pieces."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        young = self.young
-        young.setdefault("", b"")
-        if missing := set().union(*split).difference(young):
-            self._learn(list(missing))
-        return [b"".join(map(young.__getitem__, words)) for words in split]
-
+        young, old = self.young, self.old
+        new, rest = [], []
+        for k, piece in enumerate(found):
+            if piece not in young:
+                if piece in old:
+                    young[piece] = old[piece]
+                elif rough[k]:
+                    rest.append(piece)
+                elif len(piece) > self.LONG:
+                    young[piece] = self._by_library(piece)
+                else:
+                    new.append(piece)
+        if new:
+            self._learn_words(new, young)
+        if rest:
+            self._learn_rough(rest)
+        return [young[piece] for piece in found]
+
+    def encode_column(self, column: pa.Array, most: int = 1 << 22) -> Iterator[bytes]:
+        """Little-endian u32 ids of each text of a string column, null as the empty text; some ``most`` bytes of text at a time."""
+        column = column.fill_null("")
+        _, offsets, data = column.buffers()
+        kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        ends = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        data, a = np.frombuffer(data or b"", np.uint8), 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+            found, rough, n = pieces(data[ends[a] : ends[b]], ends[a:b] - ends[a])
+            coded = found.dictionary_encode()
+            which = coded.indices.to_numpy()
+            is_rough = np.zeros(len(coded.dictionary), bool)
+            is_rough[which] = rough
+            known = self._known(coded.dictionary.to_pylist(), is_rough)
+            pool, size = np.frombuffer(b"".join(known), "<u4"), np.array([len(x) // 4 for x in known], np.int64)
+            long = size[which]
+            upto = np.cumsum(long)
+            ids = pool[np.repeat((np.cumsum(size) - size)[which] - (upto - long), long) + np.arange(long.sum())].tobytes()
+            stop = 4 * np.append(0, upto)[np.cumsum(n)]
+            begin = 0
+            for end in stop.tolist():
+                yield ids[begin:end]
+                begin = end
+            a = b
 
-def by_size(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
-    held, n = [], 0
-    for t in texts:
-        if held and n + len(t) > most:
-            yield held
-            held, n = [], 0
-        held.append(t)
-        n += len(t)
-    if held:
-        yield held
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian u32 ids of each text."""
+        return list(self.encode_column(pa.array(texts, pa.string())))
 
 
 def tokenized(docs: DataFrame, path: str, end: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
@@ -208,10 +289,9 @@ def tokenized(docs: DataFrame, path: str, end: int, id_col: str, text_col: str)
         close = np.array([end], "<u4").tobytes()
         for batch in batches:
             n, ids = [], []
-            for part in by_size(strings(batch.column(2))):
-                for x in words.encode(part):
-                    n.append(len(x) // 4 + 1)
-                    ids.append(squeeze.compress(x + close))
+            for x in words.encode_column(batch.column(2)):
+                n.append(len(x) // 4 + 1)
+                ids.append(squeeze.compress(x + close))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "n", "ids"])
 
     tokens = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

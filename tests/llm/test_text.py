@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from queryloom.llm import bm25, bpe, html_extract, packing, pii, toxicity
@@ -39,6 +40,25 @@ def test_word_ids_match_the_library(corpus):
             assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_word_ids_by_pieces(monkeypatch):
+    """Columns with nulls, slices and many parts match the library; a word is learned once, whatever stands around it; a file is read once."""
+    path = tokenizer_path("word_bpe_49k.json")
+    theirs = tokenizers.Tokenizer.from_file(path)
+    r = random.Random(4)
+    some = ["a", "The", "XÀÖ", "é", "ß", "ÿÞ", "×", "÷", "ª", "²", "7", "42", "'", "'s", "'LL", ",", "***", "<", "_", "|>", " ", "  ", "\t", "\r\n", "\x0b", "\xa0", "\u0301", "Σ", "İ", "漢", "\x00", "😀", "ﬁ"]
+    many = [None, "", " ", "x" * 1500 + "é" * 1200 + "!" * 1300, *("".join(r.choices(some, k=r.randint(0, 12))) for _ in range(1500)), None, "end"]
+    want = [theirs.encode(t or "", add_special_tokens=False).ids for t in many]
+    for kind in (pa.string(), pa.large_string()):
+        for most in (1, 300, 1 << 22):
+            got = list(packing.WordIds(path, cache=50).encode_column(pa.array(["cut", *many, "off"], kind).slice(1, len(many)), most))
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert list(packing.WordIds(path).encode_column(pa.array([], pa.string()))) == []
+    monkeypatch.setattr(packing.json, "load", None)
+    mine = packing.WordIds(path)
+    assert mine.encode(["Word word, (WORD) word!! Été", "été; word"])[1] == mine.encode(["Été; WORD"])[0]
+    assert set(mine.young) == {"word", ",", "(", ")", "!!", "été", ";"} and "tokenizer" not in vars(mine)
+
+
 def test_bpe_query(docs, no_docs, corpus):
     got = bpe.digest(docs, tokenizer_path("byte_bpe_50k.json")).collect()
     assert len(got) == len(corpus) and {r["n_tokens"] for r in got if r["doc_id"] in (64, 65)} == {0}
