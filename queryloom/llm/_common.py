@@ -66,6 +66,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def lean(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
     """f, but at its end what it has freed goes back to the system.
 
@@ -79,10 +87,7 @@ def lean(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[p
         del args, kwargs
         yield from batches
         del batches
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 

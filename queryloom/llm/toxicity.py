@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryloom.llm._common import lean, strings
+from queryloom.llm._common import give_back, lean, strings
 
 SAMPLE, THRESHOLD = 12_000, 0.7
 WORD = re.compile(r"[^\W_]+")
@@ -308,7 +308,9 @@ def logistic(doc: np.ndarray, term: np.ndarray, target: np.ndarray, n: int, m: i
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return fit(sampled(docs, labels, sample))
+    model = fit(sampled(docs, labels, sample))
+    give_back()  # the driver lives on, and so would the sample's memory
+    return model
 
 
 def apply(docs: DataFrame, model: Model, threshold: float = THRESHOLD, score_col: str = "score") -> DataFrame:
