@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+import re
 import time
 import tracemalloc
 import zlib
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from queryloom.llm import bm25, bpe, html_extract, packing, pii, toxicity
@@ -439,6 +441,98 @@ def test_search_is_exact(spark, docs, no_docs, corpus, monkeypatch, block):
 
 
 
+def test_terms_match_the_expression(corpus):
+    """Words cut as arrays of bytes are those of the regular expression, in any script and of any length."""
+    r = random.Random(5)
+    odd = ["_a_b__", "a" * 64, "a" * 65, "é" * 32 + "y", "abcdefgh", "abcdefghi", "a\x00b\nc", "ΑΣ", "Σ"]
+    for _ in range(500):
+        points = r.choices((r.randrange(128), r.randrange(0x250), r.randrange(0x3000), r.randrange(0xE000, 0x110000), 97, 98, 32, 0x3A3, 0x130), k=r.randrange(60))
+        odd.append("".join(map(chr, points)))
+    found = [Counter(re.findall(r"[^\W_]+", t.lower())) for t in texts(corpus) + odd]
+    names = {w: int(bm25.Terms()(w)[0][0]) for w in {w for c in found for w in c}}
+    assert len(set(names.values())) == len(names) and min(names.values()) > 1
+    terms, counts, ends = bm25.bags(texts(corpus) + odd)
+    assert len(ends) == len(found) + 1
+    for c, a, b in zip(found, ends, ends[1:]):
+        assert list(zip(terms[a:b].tolist(), counts[a:b].tolist())) == sorted((names[w], n) for w, n in c.items())
+
+
+@pytest.fixture(scope="module")
+def shard(tmp_path_factory):
+    """Documents with few frequent and many rare words as a shard's rows, queries' file, and plain sums: every posting of each query."""
+    r = random.Random(9)
+    names, weights = [f"w{i}" for i in range(20_000)], [1 / (i + 3) for i in range(20_000)]
+    tables = [[r.randrange(20_000) for _ in range(40)] for _ in range(30)]
+    text = [" ".join(r.choices(names, weights, k=r.randint(50, 400)) + [names[w] for w in r.choices(tables[i % 30], k=30)]) for i in range(4000)]
+    rows = list(bm25.document_rows([pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(text)], ["id", "text"])], 1))
+    terms = [np.frombuffer(t, np.int64) for b in rows for t in b.column(2).to_pylist()]
+    counts = [np.frombuffer(c, np.uint32) for b in rows for c in b.column(3).to_pylist()]
+    mean = sum(int(c.sum()) for c in counts) / len(counts)
+    names, df = np.unique(np.concatenate(terms), return_counts=True)
+    idf = np.log1p((4000 - df + 0.5) / (df + 0.5))
+    asked = {q: (terms[q], counts[q] * idf[np.searchsorted(names, terms[q])]) for q in range(0, 4000, 20)}
+    file = f"{tmp_path_factory.mktemp('shard')}/queries.parquet"
+    pq.write_table(pa.table({"id": list(asked), "terms": [t.tobytes() for t, _ in asked.values()], "weights": [w.tobytes() for _, w in asked.values()]}), file)
+    doc = np.repeat(np.arange(4000), [len(t) for t in terms])
+    term, tf = np.searchsorted(names, np.concatenate(terms)), np.concatenate(counts)
+    impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * np.array([int(c.sum()) for c in counts])[doc] / mean))
+    order = np.argsort(term, kind="stable")
+    doc, impact, first = doc[order], impact[order], np.append(0, np.cumsum(df))
+
+    def plain():
+        sums = {}
+        for q, (t, w) in asked.items():
+            at = np.searchsorted(names, t)
+            posting = np.concatenate([np.arange(a, b) for a, b in zip(first[at], first[at + 1])])
+            sums[q] = np.bincount(doc[posting], weights=impact[posting] * np.repeat(w, df[at]), minlength=4000)
+        return sums
+
+    return rows, [f"file://{file}"], mean, plain
+
+
+@pytest.mark.parametrize("table,sums", [(32 << 20, 16 << 20), (200_000, 16 << 20), (0, 1), (32 << 20, 50_000)])
+def test_search_with_tables_and_lists(shard, monkeypatch, table, sums):
+    """The same hits whatever of the lists the tables take and however many queries are at work; blocks are skipped."""
+    rows, files, mean, plain = shard
+    monkeypatch.setattr(bm25, "TABLE_BYTES", table)
+    monkeypatch.setattr(bm25, "SUMS_BYTES", sums)
+    built = []
+    monkeypatch.setattr(bm25, "Index", lambda *a, index=bm25.Index: built.append(index(*a)) or built[-1])
+    got = defaultdict(list)
+    for b in bm25.search_shard(rows, files, mean, 10):
+        for x in b.to_pylist():
+            got[x["query_id"]].append((x["doc"], x["score"]))
+    want = plain()
+    assert set(got) == set(want)
+    for q, s in want.items():
+        assert [d for d, _ in got[q]] == np.lexsort((np.arange(len(s)), -s.round(9)))[:10].tolist()
+        assert [x for _, x in got[q]] == pytest.approx(np.sort(s)[::-1][:10].tolist())
+    index = built[0]
+    assert index.blocks_read < index.blocks_all if table else index.table.size == 0
+    if table == 32 << 20:  # few postings are read one by one
+        assert index.read < 0.6 * index.all
+
+
+def test_words_cost_less_than_by_expression():
+    """CPU seconds: a shard's rows take less than half of what the regular expression and a dictionary of its words take."""
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            begin = time.process_time()
+            f()
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    r = random.Random(2)
+    text = [" ".join(f"w{r.randrange(3000)}é" for _ in range(400)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(text)], ["id", "text"])
+    known = {f"w{i}é": i for i in range(3000)}
+    bm25.letters()
+    plain = least(lambda: [np.unique([known[w] for w in re.findall(r"[^\W_]+", t.lower())]) for t in text])
+    assert least(lambda: list(bm25.document_rows([batch], 5))) < plain / 2
+
+
 def test_search_writes_queries_once(spark, words):
     """More shards: the same hits and about the same bytes shuffled, and nothing is left of the queries' table."""
     r = random.Random(3)
