@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from queryloom.llm._common import checkpoint, checkpoint_folder, mix, remove_folder, strings
+from queryloom.llm._common import checkpoint, checkpoint_folder, give_back, lean, mix, remove_folder, strings
 
 K1, B, TOP = 1.2, 0.75, 10
 BLOCK, SHARD_BYTES = 64, 32 << 20
@@ -147,6 +147,7 @@ class Terms:
         return bags([text])[:2]
 
 
+@lean
 def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to partial (term, n): documents with the term; 0 counts documents, 1 their words."""
     held, docs, words, size = [], 0, 0, 0
@@ -171,6 +172,7 @@ def blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
+@lean
 def document_rows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """id, text to shard, id, terms and counts (binary)."""
     for batch in batches:
@@ -224,25 +226,36 @@ def similar_order(doc: np.ndarray, term: np.ndarray, value: np.ndarray, n: int,
 
 
 class Index:
-    """Inverted index of one shard, with the documents' own terms beside it."""
+    """Inverted index of one shard, with the documents' own terms beside it; it empties the lists that it is built from."""
 
     def __init__(self, ids: list, terms: list[np.ndarray], counts: list[np.ndarray], mean: float, k1: float = K1, b: float = B) -> None:
         n = len(ids)
         length = np.array([c.sum(dtype=np.int64) for c in counts])
         sizes = np.array([len(t) for t in terms], np.int64)
         doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        self.terms, term = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.int64), return_inverse=True)
-        term, tf = term.astype(np.int32), np.concatenate(counts) if counts else np.zeros(0)
-        impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+        impact = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
+        counts.clear()
+        weaker = (k1 * (1 - b + b * length / mean))[doc]
+        weaker += impact
+        impact *= k1 + 1
+        impact /= weaker
+        del weaker
+        term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
+        terms.clear()
+        self.terms, term = np.unique(term, return_inverse=True)
+        term = term.astype(np.int32)
         self.length = np.bincount(term, minlength=len(self.terms))  # of the lists
-        telling = ((self.length >= n / 128) & (self.length <= n / 2))[term]  # terms that neither few nor most documents have
-        order = similar_order(doc[telling], term[telling], (impact * np.log1p(n / (self.length[term] + 0.5)))[telling], n, len(self.terms))
-        place = np.empty(n, np.int32)
-        place[order] = np.arange(n, dtype=np.int32)
+        telling = np.flatnonzero(((self.length >= n / 128) & (self.length <= n / 2))[term])  # terms that neither few nor most documents have
+        rare = np.log1p(n / (self.length + 0.5))
+        order = similar_order(doc[telling], term[telling], impact[telling] * rare[term[telling]], n, len(self.terms))
+        del doc, telling
         # Documents by place: their terms and impacts as they came.
         self.ids = np.array([2**63 - 1 if i is None else i for i in ids], np.int64)[order]
-        self.own, of = ranges(np.cumsum(sizes)[order] - sizes[order], np.cumsum(sizes)[order])
-        self.own_term, self.own_impact = term[self.own], impact[self.own]
+        last = np.cumsum(sizes)[order]
+        own = places(last - sizes[order], last)
+        self.own_term, self.own_impact = term[own], impact[own]
+        del own, term, impact
+        of = np.repeat(np.arange(n, dtype=np.int32), sizes[order])
         self.own = np.append(0, np.cumsum(sizes[order]))
         # The longest lists are columns of a table of all documents; the other lists are by term and place.
         self.blocks = -(-n // BLOCK)
@@ -254,10 +267,13 @@ class Index:
         long = np.flatnonzero(column >= 0)
         self.table = np.zeros((self.blocks * BLOCK, len(longest)), np.float32)
         self.table[of[long], column[long]] = self.own_impact[long]
+        del long
         self.table_most = self.table.reshape(self.blocks, BLOCK, len(longest)).max(1, initial=0).T
         by_term = np.flatnonzero(column < 0)
+        del column
         by_term = by_term[grouped(self.own_term[by_term])]
-        self.doc, self.impact, term = of[by_term].astype(np.int32), self.own_impact[by_term].astype(np.float32), self.own_term[by_term]
+        self.doc, self.impact, term = of[by_term], self.own_impact[by_term].astype(np.float32), self.own_term[by_term]
+        del of, by_term
         new = np.ones(len(term), bool)  # segments: the postings of a term in a block
         new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)
         self.segment = np.append(np.flatnonzero(new), len(term))
@@ -390,6 +406,7 @@ def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return places(first, last), np.repeat(np.arange(len(first)), last - first)
 
 
+@lean
 def search_shard(batches: Iterator[pa.RecordBatch], files: list[str], mean: float, k: int) -> Iterator[pa.RecordBatch]:
     """Documents of a partition (see document_rows) and the files of all queries to each query's k best there."""
     ids, terms, counts = [], [], []
@@ -397,10 +414,12 @@ def search_shard(batches: Iterator[pa.RecordBatch], files: list[str], mean: floa
         ids += batch.column(1).to_pylist()
         terms += [np.frombuffer(t, np.int64) for t in batch.column(2).to_pylist()]
         counts += [np.frombuffer(c, np.uint32) for c in batch.column(3).to_pylist()]
+        del batch
     if not ids:
         return
     index = Index(ids, terms, counts, mean)
     del ids, terms, counts
+    give_back()
     for file in files:
         system, path = pyarrow.fs.FileSystem.from_uri(file)
         with system.open_input_file(path) as source:
